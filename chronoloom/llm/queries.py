@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, langid, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
     return {
+        "op1_language_id": langid.op1_language_id,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
