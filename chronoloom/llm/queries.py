@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, langid, quality_rules, token_counts, toxicity
+from . import bpe_codec, langid, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1_language_id,
         "op3_token_counts": token_counts.op3_token_counts,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op10_toxicity": toxicity.op10_toxicity,
     }
