@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, langid, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, chat_format, langid, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
+        "op9_chat_format": chat_format.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op9_chat_format": chat_format.OP9_SQL}
