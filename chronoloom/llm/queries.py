@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, simhash, token_counts, toxicity
+from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
