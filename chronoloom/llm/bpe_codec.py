@@ -86,6 +86,13 @@ def codec_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     return slim.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``docs`` with their ids in place of their text, and whether decoding gives the same tokens again."""
+    ids = encode(docs, vocabulary)
+    names = [c for c in docs.columns if c not in ("text", "n_tokens", "decoded_sha256")]
+    return decode(ids, vocabulary).select(*names, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole document with the public word-level vocabulary."""
     return codec_digests(read_table(spark, sf_dir, "documents"), default_vocabulary())

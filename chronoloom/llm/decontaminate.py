@@ -161,6 +161,17 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, similarity: flo
 
     ``docs`` has ``doc_id, text``; ``benchmark`` has ``item_id, text``.
     """
+    return _contaminated(docs, benchmark, similarity, run).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
+    bad = _contaminated(docs, benchmark, SIMILARITY, RUN).select(F.col("doc_id").alias("bad_id"), "content").distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("content")), "left_anti")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run: int) -> DataFrame:
+    """(doc_id, content, item_id, coverage, longest_run), by the text of a document too."""
     items = template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text").distinct())
     found = hits(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text"), items)
     left = found.select(F.col("id").alias("doc_id"), "content", F.col("place").alias("doc_place"), "window", F.col("slots").alias("doc_slots"))
@@ -188,9 +199,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, similarity: flo
     )
     same = reduce(lambda a, b: a & b, [cover[k].eqNullSafe(runs[k]) for k in item])
     return (
-        cover.join(runs, same).select(cover["doc_id"], cover["item_id"], (F.col("covered") / F.col("item_words")).alias("coverage"), "longest_run")
+        cover.join(runs, same).select(cover["doc_id"], cover["content"], cover["item_id"], (F.col("covered") / F.col("item_words")).alias("coverage"), "longest_run")
         .where((F.col("coverage") >= similarity) | (F.col("longest_run") >= run))
-        .groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"))
     )
 
 

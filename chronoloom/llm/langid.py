@@ -285,7 +285,7 @@ def identify_rows(docs: DataFrame, fitted: LanguageModels, *, keep: tuple[str, .
                 part = batch.slice(at, 256)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 lang, score, bits, rejected = identifier.identify(texts)
-                n = [len(_RUN.findall(t or "")) and sum(map(len, _RUN.findall(t))) for t in texts] if keep else [0] * len(texts)
+                n = [sum(map(len, _RUN.findall(t or ""))) for t in texts] if keep else [0] * len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(n, pa.int64()), pa.array(rejected)], names
                 )
@@ -295,6 +295,22 @@ def identify_rows(docs: DataFrame, fitted: LanguageModels, *, keep: tuple[str, .
     return slim.mapInArrow(run, f"doc_id long{kinds}, lang_pred string, score double, cross_entropy double, n_scored long, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, fitted: LanguageModels) -> DataFrame:
+    """The rows of ``docs`` whose text isn't rejected, with all their columns: no shuffle."""
+    models = docs.sparkSession.sparkContext.broadcast(fitted)
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = Identifier(models.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rejected = identifier.identify(part.column(at_text).to_pylist())[3]
+                yield part.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document; learned only from rows that aren't held out."""
     docs = read_table(spark, sf_dir, "documents")

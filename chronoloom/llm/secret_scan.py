@@ -220,6 +220,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     )
 
 
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with secrets in ``text`` replaced and ``n_chars`` counted anew; every row stays."""
+    clean = with_spans(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and all spans of every row."""
     of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")

@@ -56,15 +56,21 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """Rows with a hash of id and text, by which they can be met again."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, row_key, fp) of every row; ``fp`` is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    slim = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "row_key", "text")
+    return slim.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def golay_table() -> np.ndarray:
@@ -133,13 +139,23 @@ def links(prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (``doc_id, text``)."""
+    """(doc_id, row_key, fp, label, component_id) of every row of ``docs`` (``doc_id, text``).
+
+    ``label`` names the group, ``component_id`` is its smallest doc_id.
+    """
     rows = durable(fingerprints(docs), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(links(prints)).withColumnRenamed("node", "fp")
     grouped = prints.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(grouped.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(grouped.join(smallest, "label").select("fp", "label", "component_id"), "fp").select("doc_id", "row_key", "fp", "label", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest doc_id, with all its columns."""
+    ranked = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = near_duplicates(docs).groupBy("label").agg(F.min(ranked)["row_key"].alias("row_key")).select("row_key")
+    return with_key(docs).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
