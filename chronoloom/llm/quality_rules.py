@@ -46,8 +46,9 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside windows that occur twice or more; ``words`` is an array column.
 
-    Windows are hashed; only where the hashes aren't all distinct are they
-    sorted, and the union of the repeated windows is summed from their starts.
+    Words are hashed once, windows by the hashes of their words; only where those
+    aren't all distinct are they sorted, and the union of the repeated windows is
+    summed from their starts.
     """
 
     def covered(hashes: Column) -> Column:
@@ -77,20 +78,24 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         )
         return _let(hashes, covered)
 
-    return _let(words, over)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), over)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """Within-document figures of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = _let(
+        words_of(F.col("text")),
+        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeated")),
+    )
     row = docs.select(
-        "doc_id", "source", "text",
-        F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, BLANKS, "")).cast("long").alias("word_chars"),
+        "doc_id", "row_key", of_words.alias("w"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(words_of(F.col("text"))).cast("long").alias("n_repeat_words"),
+    ).select(
+        "doc_id", "row_key", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"),
+        "n_symbols", "n_dup_lines", F.col("w.repeated").cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return row.withColumn("base_failed", failed)
@@ -102,13 +107,14 @@ def line_rows(docs: DataFrame) -> DataFrame:
     Lines are lower-cased, digits become 0, white space is single; only their
     hashes leave the map.
     """
-    norm = F.lower(F.regexp_replace(F.trim(F.regexp_replace("line", BLANKS, " ")), r"\d+", "0"))
+    single = F.regexp_replace("line", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")  # lone blanks are left as they are
+    norm = F.lower(F.regexp_replace(F.trim(single), r"[0-9]+", "0"))
     return (
         docs.select("row_key", "source", F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
         .select("row_key", "source", "content", "place", norm.alias("line"))
         .select(
             "row_key", "source", "content", "place", F.xxhash64("line").alias("line_hash"),
-            (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"),
+            (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"),
         )
         .where(F.col("words") >= LINE_WORDS)
     )
@@ -137,7 +143,7 @@ def quality(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_kept: float
         .groupBy("row_key", "place").agg(F.first("words").alias("words"))  # a repeated row counts once
         .groupBy("row_key").agg(F.sum("words").alias("words_removed"))
     )
-    base = base_rules(docs).withColumn("row_key", F.xxhash64("doc_id", "source", "text")).drop("text", "source")
+    base = base_rules(keyed)
     gone = F.coalesce("words_removed", F.lit(0))
     return base.join(removed, "row_key", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
