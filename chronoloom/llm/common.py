@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,28 @@ def forget(df: DataFrame) -> None:
 def letter_free(text: Column) -> Column:
     """True where a text is null or has no letter."""
     return ~F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def slices(batch: pa.RecordBatch, text_column: int, *, rows: int = 256, size: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``size`` bytes of text (a longer text stands alone)."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_column)), 0), np.int64)
+    at, n = 0, len(lengths)
+    ends = np.cumsum(lengths)
+    while at < n:
+        limit = (ends[at - 1] if at else 0) + size
+        end = min(max(int(np.searchsorted(ends, limit, side="right")), at + 1), at + rows, n)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class Numbering(dict):
+    """Numbers words in order of first use; ``new`` lists those not numbered before it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        return at

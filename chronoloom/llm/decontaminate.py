@@ -9,7 +9,8 @@ the item's words, or an unbroken run of ``RUN`` words.
 
 A document's windows are tested in its own task against the sorted window hashes
 of the benchmark, broadcast in blocks of at most ``BLOCK_WINDOWS`` (16 MB), so a
-benchmark of any size costs one pass a block; only hits are shuffled.
+benchmark of any size costs one pass a block; only hits, written once, are
+shuffled.
 
 Cases: a null or empty text matches nothing; items shorter than a window match
 nothing; a null doc_id or item_id is carried through; words of punctuation alone
@@ -20,8 +21,10 @@ are not carried, so their names can't clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import Numbering, durable, read_table, slices
 
 #: Words in a window.
 WINDOW = 5
@@ -41,75 +44,84 @@ SIMILARITY = 0.8
 RUN = 20
 #: Window hashes in a broadcast block.
 BLOCK_WINDOWS = 2_000_000
-_MEMO_ENTRIES = 400_000
+_MEMO_ENTRIES = 600_000
 
 #: Unit words.
 UNITS = frozenset(
-    "% percent mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds "
+    "percent mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds "
     "ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur degree degrees km/h mph kmh hz khz mhz kb mb gb tb w kw v".split()
 )
 _EDGES = "#*$&|<>.,;:!?\"'()[]{}-_=+/\\~`@^%"
 _P = np.uint64(0x9E3779B97F4A7C15)
+_DIGIT = re.compile(r"\d")
 _SKIP, _LITERAL, _NUMBER, _NAME, _UNIT = -1, 0, 1, 2, 3
 
 
+def _kind_of(core: str, low: str) -> int:
+    """Kind of a word without its punctuation; ``low`` is the word in lower case."""
+    if not core:
+        return _SKIP
+    if not core.isalpha() and _DIGIT.search(core):
+        return _NUMBER
+    if low in UNITS:
+        return _UNIT
+    return _NAME if core != low and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:] else _LITERAL
+
+
 class Canonicalizer:
     """Texts to templates: a hash and a kind for each word, from a bounded table of words."""
 
     def __init__(self):
-        self._clear()
         self._slot = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 3)) for k in (_NUMBER, _NAME, _UNIT)}
+        self._hash, self._kind = np.zeros(_MEMO_ENTRIES, np.uint64), np.zeros(_MEMO_ENTRIES, np.int8)
+        self._clear()
 
     def _clear(self) -> None:
-        self._row: dict[str, int] = {}
-        self._hash, self._kind, self._core = np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-
-    @staticmethod
-    def _classify(piece: str) -> tuple[str, int]:
-        core = piece.strip(_EDGES)
-        if not core:
-            return ("%", _UNIT) if piece == "%" else ("", _SKIP)
-        if any(c.isdigit() for c in core):
-            return core.lower(), _NUMBER
-        if core.lower() in UNITS:
-            return core.lower(), _UNIT
-        if len(core) > 1 and core[0].isupper() and core[1:].islower():
-            return core.lower(), _NAME
-        return core.lower(), _LITERAL
-
-    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Hashes, kinds and values of the words of a text."""
-        pieces = (text or "").split()
-        if len(self._row) > _MEMO_ENTRIES:
+        self._row = Numbering()
+        self._core: list[str] = []
+
+    def _learn(self, pieces: list[str]) -> None:
+        at, core = len(self._core), [p.strip(_EDGES) for p in pieces]
+        low = [c.lower() for c in core]
+        kind = [_kind_of(c, w) for c, w in zip(core, low)]
+        if (short := at + len(pieces) - len(self._hash)) > 0:
+            self._hash, self._kind = np.pad(self._hash, (0, short)), np.pad(self._kind, (0, short))
+        self._core += low
+        self._kind[at : at + len(pieces)] = kind
+        self._hash[at : at + len(pieces)] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 3) for w in low]
+
+    def template(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, kind and table row of every word of all texts, and where each text's words end."""
+        if len(self._row) > _MEMO_ENTRIES * 3 // 4:
             self._clear()
-        if new := list(dict.fromkeys(p for p in pieces if p not in self._row)):
-            made = [self._classify(p) for p in new]
-            self._row |= {p: len(self._row) + i for i, p in enumerate(new)}
-            self._core += [c for c, _ in made]
-            self._kind = np.concatenate([self._kind, np.array([k for _, k in made], np.int8)])
-            self._hash = np.concatenate([self._hash, np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), 3) for c, _ in made], np.uint64)])
-        row = np.fromiter(map(self._row.__getitem__, pieces), np.int64, len(pieces))
-        row = row[self._kind[row] != _SKIP]
+        pieces = [(t or "").split() for t in texts]
+        row = np.fromiter(map(self._row.__getitem__, chain.from_iterable(pieces)), np.int64)
+        self._learn(self._row.new)
+        self._row.new = []
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in pieces])
+        real = self._kind[row] != _SKIP
+        row, owner = row[real], owner[real]
         kind, hashed = self._kind[row], self._hash[row]
-        after_number = np.concatenate([[False], kind[:-1] == _NUMBER])[: len(kind)]
+        after_number = np.zeros(len(kind), bool)
+        after_number[1:] = (kind[:-1] == _NUMBER) & (owner[1:] == owner[:-1])
         kind = np.where((kind == _UNIT) & ~after_number, _LITERAL, kind)
         for k, slot in self._slot.items():
-            hashed = np.where(kind == k, slot, hashed)
-        return hashed, kind, row
-
-    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and hash of every window with enough literal words, and kinds and rows of all words."""
-        hashed, kind, row = self.template(text)
-        n = len(hashed) - WINDOW + 1
-        if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), kind, row
-        total, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for j in range(WINDOW):
+            hashed[kind == k] = slot
+        return hashed, kind, row, np.cumsum(np.bincount(owner, minlength=len(texts)))
+
+    def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and hash of every window with enough literal words, and kinds, rows and ends of all words."""
+        hashed, kind, row, ends = self.template(texts)
+        n = max(len(hashed) - WINDOW + 1, 0)
+        total, literal, inside = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.ones(n + WINDOW, bool)
+        for j in range(WINDOW if n else 0):
             total = total * _P + hashed[j : j + n]
             literal += kind[j : j + n] == _LITERAL
-        at = np.flatnonzero(literal >= LITERALS)
-        return at, total[at] ^ (total[at] >> np.uint64(31)), kind, row
+        for j in range(1, WINDOW):
+            inside[np.clip(ends - j, 0, n)] = False  # would reach into the next text
+        at = np.flatnonzero((literal >= LITERALS) & inside[:n])
+        return at, total[at] ^ (total[at] >> np.uint64(31)), kind, row, ends
 
     def values(self, at: int, kind: np.ndarray, row: np.ndarray) -> list[str]:
         """The values in the slots of a window."""
@@ -126,17 +138,19 @@ def template_windows(rows: DataFrame, only: np.ndarray | None = None) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, wanted = Canonicalizer(), None if shared is None else shared.value
-        for batch in batches:
-            out = [[] for _ in names]
-            for key, content, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                at, hashed, kind, row = canon.windows(text)
-                if wanted is not None and len(at):
-                    where = np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)
-                    hit = wanted[where] == hashed
-                    at, hashed = at[hit], hashed[hit]
-                for a, h in zip(at.tolist(), hashed.view(np.int64).tolist()):
-                    for column, value in zip(out, (key, content, len(row), a, h, canon.values(a, kind, row))):
-                        column.append(value)
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            keys, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at, hashed, kind, row, ends = canon.windows(batch.column(2).to_pylist())
+            if wanted is not None and len(at):
+                where = np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)
+                hit = wanted[where] == hashed
+                at, hashed = at[hit], hashed[hit]
+            of = np.searchsorted(ends, at, side="right").tolist()
+            start = np.concatenate([[0], ends[:-1]])
+            out = [
+                [keys[i] for i in of], [contents[i] for i in of], (ends - start)[of], at - start[of], hashed.view(np.int64),
+                [canon.values(a, kind, row) for a in at.tolist()],
+            ]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
@@ -173,7 +187,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run: int) -> DataFrame:
     """(doc_id, content, item_id, coverage, longest_run), by the text of a document too."""
     items = template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text").distinct())
-    found = hits(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text"), items)
+    found = durable(hits(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text"), items), "hits")
     left = found.select(F.col("id").alias("doc_id"), "content", F.col("place").alias("doc_place"), "window", F.col("slots").alias("doc_slots"))
     right = items.select(
         F.col("id").alias("item_id"), F.col("content").alias("item_content"), F.col("n_words").alias("item_words"),
