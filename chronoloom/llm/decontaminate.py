@@ -180,8 +180,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, similarity: flo
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
-    bad = _contaminated(docs, benchmark, SIMILARITY, RUN).select(F.col("doc_id").alias("bad_id"), "content").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("content")), "left_anti")
+    bad = _contaminated(docs, benchmark, SIMILARITY, RUN).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__content"))
+    return docs.join(bad, same, "left_anti")
 
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run: int) -> DataFrame:

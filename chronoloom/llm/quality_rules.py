@@ -155,3 +155,32 @@ def quality(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_kept: float
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every whole document."""
     return quality(read_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT k, doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+),
+g AS (SELECT k, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT k, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+m AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS n FROM g) WHERE n > 1),
+r AS (SELECT k, sum(least({WINDOW}, coalesce(step, {WINDOW}))) AS n FROM (SELECT k, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS step FROM m) GROUP BY k),
+l AS (
+  SELECT k, source, text, len(line) - len(replace(line, ' ', '')) + 1 AS words, line FROM (
+    SELECT k, source, text, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) AS line
+    FROM (SELECT k, source, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE line <> ''
+),
+c AS (SELECT source, line FROM l WHERE words >= {LINE_WORDS} GROUP BY source, line HAVING count(DISTINCT text) > {LINE_LIMIT}),
+x AS (SELECT k, sum(words) AS n FROM l SEMI JOIN c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY k),
+b AS (
+  SELECT k, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS words_removed
+  FROM w LEFT JOIN r USING (k) LEFT JOIN x USING (k)
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - words_removed >= {LEAST_KEPT} * n_words AS kept, words_removed
+FROM f
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op9_chat_format": chat_format.OP9_SQL}
+    return {"op6_quality_rules": quality_rules.OP6_SQL, "op9_chat_format": chat_format.OP9_SQL}

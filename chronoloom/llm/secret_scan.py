@@ -190,12 +190,12 @@ def with_spans(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ..
     queries = [trigram_query(r.pattern) for r in rules]
     grams = F.array(*[F.lit(g) for g in sorted(set().union(*map(_trigrams, queries)))])
     index = _let(F.lower(text), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
-    indexed = docs.drop("spans").withColumn("trigram_index", index)
+    indexed = docs.drop("spans").withColumn("__trigram_index", index)
     parts = []
     for rank, (rule, query) in enumerate(zip(rules, queries)):
-        candidate = text.rlike(rule.pattern) if query is None else _holds(query, F.col("trigram_index"))
+        candidate = text.rlike(rule.pattern) if query is None else _holds(query, F.col("__trigram_index"))
         parts.append(F.when(candidate, _spans(text, rule, rank)).otherwise(F.array().cast(_NONE)))
-    return indexed.withColumn("spans", F.array_sort(F.concat(*parts))).drop("trigram_index")
+    return indexed.withColumn("spans", F.array_sort(F.concat(*parts))).drop("__trigram_index")
 
 
 def joined(spans: Column) -> Column:
@@ -222,8 +222,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and ``n_chars`` counted anew; every row stays."""
+    if "spans" in docs.columns:  # set aside meanwhile
+        return redact_secrets(docs.withColumnRenamed("spans", "__set_aside")).withColumnRenamed("__set_aside", "spans")
     clean = with_spans(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

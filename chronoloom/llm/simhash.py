@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, read_table
@@ -56,9 +56,9 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """Rows with a hash of id and text, by which they can be met again."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+def row_key() -> Column:
+    """Hash of id and text, by which rows can be met again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    slim = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "row_key", "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     return slim.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
@@ -155,7 +155,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest doc_id, with all its columns."""
     ranked = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     kept = near_duplicates(docs).groupBy("label").agg(F.min(ranked)["row_key"].alias("row_key")).select("row_key")
-    return with_key(docs).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
+    named = docs.withColumn("__row_key", row_key())
+    return named.join(kept.withColumnRenamed("row_key", "__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
