@@ -220,17 +220,22 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run:
 
 
 def _consistent(met: DataFrame, key: list[str]) -> DataFrame:
-    """Windows whose slots all fit the one-to-one mapping that most slots of their shift follow."""
+    """Windows whose slots all fit the one-to-one mapping that most slots of the item in the document follow.
+
+    One mapping holds for all shifts, so a template that repeats itself can't be
+    covered piecemeal by values that fit a different mapping in each place.
+    """
+    item = [k for k in key if k != "shift"]
     slot = met.where(F.size("item_slots") > 0).select(*key, "place", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))).alias("s"))
     slot = slot.select(*key, "place", F.col("s.i").alias("item_value"), F.col("s.d").alias("doc_value"))
-    votes = slot.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
-    best = lambda of, by: F.max(F.struct("n", of)).over(Window.partitionBy(*key, by))[of]
+    votes = slot.groupBy(*item, "item_value", "doc_value").agg(F.count("*").alias("n"))
+    best = lambda of, by: F.max(F.struct("n", of)).over(Window.partitionBy(*item, by))[of]
     odd = votes.select(
-        *key, "item_value", "doc_value",
+        *item, "item_value", "doc_value",
         ((best("doc_value", "item_value") != F.col("doc_value")) | (best("item_value", "doc_value") != F.col("item_value"))).alias("odd"),
     ).where("odd").drop("odd")
     join = lambda a, b, names: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in names])
-    bad = slot.join(odd, join(slot, odd, [*key, "item_value", "doc_value"]), "left_semi").select(*key, "place").distinct()
+    bad = slot.join(odd, join(slot, odd, [*item, "item_value", "doc_value"]), "left_semi").select(*key, "place").distinct()
     return met.join(bad, join(met, bad, [*key, "place"]), "left_anti")
 
 
