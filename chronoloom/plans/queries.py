@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-US = F.unix_micros("timestamp").alias("us")
 #: Detector figures that both engines report.
 CONFUSION = ["tp", "fp", "fn", "tn", "n_cells", "precision", "recall", "flagged_frac", "f1", "lift"]
 AUC = ["auc_roc", "auc_pr", "no_skill_baseline", "n_eval_cells", "n_positive_cells"]
@@ -42,6 +41,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.from_event_stream(ev.read_events(spark, f"{sf_dir}/events.parquet"))
 
 
+def us() -> Column:
+    """The time stamp in microseconds (a function: columns can't be made before a session)."""
+    return F.unix_micros("timestamp").alias("us")
+
+
 def day_clock(e: DataFrame) -> DataFrame:
     """The events under a one-day clock: most gaps are zero."""
     return e.withColumn("timestamp", F.date_trunc("DAY", "timestamp"))
@@ -184,7 +188,7 @@ def normal_transitions(e):
 
 @query(f"WITH {q.EV} SELECT row_id, us FROM ev ORDER BY us, row_id LIMIT 1000")
 def chronological_prefix(e):
-    return ev.chronological_prefix(e, 1000).select("row_id", US)
+    return ev.chronological_prefix(e, 1000).select("row_id", us())
 
 
 @query(f"""WITH {q.EV}, m AS (SELECT DISTINCT node FROM ev WHERE label = 'error' AND anomaly), r AS (SELECT row_id, node, row_number() OVER (ORDER BY (node NOT IN (SELECT node FROM m))::INT, node, us, row_id) AS k FROM ev)
@@ -356,12 +360,12 @@ def inject_plan_burst(e):
 
 @query(f"WITH {q.BASE}, {q.STALL} SELECT row_id, node, us, injected_row FROM sti")
 def inject_stall(e):
-    return ex.injected(e, "stall")[0].select("row_id", "node", US, "injected_row")
+    return ex.injected(e, "stall")[0].select("row_id", "node", us(), "injected_row")
 
 
 @query(f"WITH {q.BASE}, {q.BURST} SELECT row_id, node, us, injected_row FROM bui")
 def inject_burst(e):
-    return ex.injected(e, "burst")[0].select("row_id", "node", US, "injected_row")
+    return ex.injected(e, "burst")[0].select("row_id", "node", us(), "injected_row")
 
 
 @query(f"""WITH {q.BASE}, {q.STALL} SELECT injection_id, node, start_us, end_us, intensity, round(node_mad_eff_s, 6) AS node_mad_eff_s, used_pooled AS used_pooled_fallback, delta_us / 1e6 AS delta_seconds,
@@ -597,12 +601,12 @@ def synthetic_lines(e: DataFrame, grammar: str) -> DataFrame:
 
 @query(f"WITH {q.EV} SELECT row_id, us, 'R' || node AS node, CASE WHEN anomaly THEN upper(label) ELSE '-' END AS label, anomaly, raw_message FROM ev WHERE row_id % 50 <> 0")
 def parse_bgl(e):
-    return logs.well_formed(logs.parse_bgl(synthetic_lines(e, "bgl"))).select("row_id", US, "node", "label", "anomaly", "raw_message")
+    return logs.well_formed(logs.parse_bgl(synthetic_lines(e, "bgl"))).select("row_id", us(), "node", "label", "anomaly", "raw_message")
 
 
 @query(f"WITH {q.EV} SELECT row_id, us - us % 1000000 AS us, 'R' || node AS node, CASE WHEN anomaly THEN upper(label) ELSE '-' END AS label, anomaly, raw_message FROM ev WHERE row_id % 50 <> 0")
 def parse_thunderbird(e):
-    return logs.well_formed(logs.parse_thunderbird(synthetic_lines(e, "thunderbird"))).select("row_id", US, "node", "label", "anomaly", "raw_message")
+    return logs.well_formed(logs.parse_thunderbird(synthetic_lines(e, "thunderbird"))).select("row_id", us(), "node", "label", "anomaly", "raw_message")
 
 
 @query(f"""WITH {q.EV} SELECT row_id, us - us % 1000000 AS us, CASE WHEN row_id % 3 = 0 THEN '10.0.' || (row_id % 7) || '.1' END AS node, 'blk_-' || node AS block_id,
@@ -612,7 +616,7 @@ def parse_hdfs_labels(e):
     kind = F.when(F.col("node").cast("long") % 5 == 0, "Anomaly").when(F.col("node").cast("long") % 5 < 4, "Normal")
     labels = nodes.select(F.concat(F.lit("blk_-"), F.col("node")).alias("BlockId"), kind.alias("Label")).where("Label is not null")
     rows = logs.join_block_labels(logs.well_formed(logs.parse_hdfs(synthetic_lines(e, "hdfs"))), labels)
-    return rows.select("row_id", US, "node", "block_id", "label", "anomaly")
+    return rows.select("row_id", us(), "node", "block_id", "label", "anomaly")
 
 
 @query(f"WITH {q.EV} SELECT g AS grammar, count(*) FILTER (row_id % 50 = 0) AS n_malformed, count(*) AS n_lines FROM ev, (VALUES ('bgl'), ('thunderbird'), ('hdfs')) t(g) GROUP BY g")
