@@ -22,13 +22,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import letter_free, read_table
+from .common import Numbering, letter_free, read_table, slices
 
 #: Rows of each language that the models are fitted on, about.
 TRAIN_DOCS = 600
@@ -37,12 +38,13 @@ CALIBRATION_DOCS = 200
 #: Longest n-gram.
 ORDER = 4
 #: A text is rejected beyond this multiple of the worst calibration text's deviation.
-REJECT_MARGIN = 2.0
+REJECT_MARGIN = 3.0
 #: Languages learned at most; a labelled table names few.
 MAX_LANGUAGES = 500
 
 _RUN = re.compile(r"[^\W\d_]+")
 _MEMO_ENTRIES = 400_000
+_LONG_PIECE = 5_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -164,6 +166,14 @@ class LanguageModels:
     limit: float = np.inf
 
 
+def _pieces(text: str) -> list[str]:
+    """White-space separated pieces; one of very many characters is cut, which bounds memory."""
+    pieces = text.split()
+    if len(text) > _LONG_PIECE and any(len(p) > _LONG_PIECE for p in pieces):
+        pieces = [p[i : i + _LONG_PIECE] for p in pieces for i in range(0, len(p), _LONG_PIECE)]
+    return pieces
+
+
 class Identifier:
     """Scores texts with a table of the white-space separated pieces met so far."""
 
@@ -172,8 +182,8 @@ class Identifier:
         self._clear()
 
     def _clear(self) -> None:
-        self._row: dict[str, int] = {}
-        self._bits = np.zeros((0, len(self.fitted.languages) + 1))
+        self._row, self._known = Numbering(), 0
+        self._bits = np.zeros((1 << 16, len(self.fitted.languages) + 1), np.float32)
 
     def _learn(self, pieces: list[str]) -> None:
         runs = [_RUN.findall(p.lower()) for p in pieces]
@@ -185,20 +195,22 @@ class Identifier:
             new[:, -1] = np.bincount(piece, place > 0, len(pieces))
             for i, m in enumerate(self.fitted.models):
                 new[:, i] = np.bincount(piece, m.score(place, hashed), len(pieces))
-        self._row |= {p: len(self._row) + i for i, p in enumerate(pieces)}
-        self._bits = np.concatenate([self._bits, new])
+        at, self._known = self._known, self._known + len(pieces)
+        if at + len(pieces) > len(self._bits):
+            self._bits = np.pad(self._bits, ((0, max(len(self._bits), len(pieces))), (0, 0)))
+        self._bits[at : at + len(pieces)] = new
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character under every language, and the characters scored."""
         if len(self._row) > _MEMO_ENTRIES:
             self._clear()
-        split = [(t or "").split() for t in texts]
-        seen = self._row
-        if new := {p for pieces in split for p in pieces if p not in seen}:
-            self._learn(list(new))
-        row = np.fromiter(map(self._row.__getitem__, (p for s in split for p in s)), np.int64)
+        split = [_pieces(t or "") for t in texts]
+        row = np.fromiter(map(self._row.__getitem__, chain.from_iterable(split)), np.int64)
+        new, self._row.new = self._row.new, []
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
         ends = np.cumsum([len(s) for s in split])
-        sums = np.concatenate([np.zeros((1, self._bits.shape[1])), np.cumsum(self._bits[row], 0)])
+        sums = np.concatenate([np.zeros((1, self._bits.shape[1])), np.cumsum(self._bits[row], 0, dtype=np.float64)])
         total = sums[ends] - sums[ends - [len(s) for s in split]]
         n = total[:, -1]
         return -total[:, :-1] / np.maximum(n, 1)[:, None], n
@@ -213,7 +225,7 @@ class Identifier:
         low = bits[np.arange(len(texts)), best]
         worse = (bits - low[:, None]) * np.minimum(n, 64)[:, None]
         score = np.where(n > 0, 1 / np.exp2(-worse).sum(1), 0.0)
-        off = (low - f.mean[best]) / f.spread[best] * np.sqrt(n) if f.mean is not None else np.zeros(len(texts))
+        off = np.where(n > 0, low - f.mean[best], 0.0) / f.spread[best] * np.sqrt(n) if f.mean is not None else np.zeros(len(texts))
         lang = [f.languages[i] if k else "und" for i, k in zip(best, n > 0)]
         return lang, score, np.where(n > 0, low, np.nan), (n == 0) | (off > f.limit)
 
@@ -235,9 +247,11 @@ def fit(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, ca
     if not sizes:
         return LanguageModels([], [])
     share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    take = lambda wanted: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, wanted / n)])[F.col("lang")]
-    sample = rows.withColumn("share", share).where(F.col("share") < take(train_docs + calibration_docs))
-    fit_on, checked = sample.where(F.col("share") < take(train_docs)), sample.where(F.col("share") >= take(train_docs))
+    both = train_docs + calibration_docs
+    # of a small language all rows, parted between the two as the bounds are
+    take = lambda part: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(both / n, 1.0) * part)])[F.col("lang")]
+    sample = rows.withColumn("share", share).where(F.col("share") < take(1.0))
+    fit_on, checked = sample.where(F.col("share") < take(train_docs / both)), sample.where(F.col("share") >= take(train_docs / both))
     words = (
         fit_on.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
         .where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
@@ -266,7 +280,7 @@ def _calibrate(fitted: LanguageModels, scored: DataFrame) -> None:
         fitted.mean[i], fitted.spread[i] = mean, max(float(np.sqrt((off**2).mean())), 1e-6)
         worst = max(worst, float((off / fitted.spread[i]).max()))
     none = np.isnan(fitted.mean)  # too few texts to judge by: never rejected
-    fitted.mean[none], fitted.spread[none] = np.inf, 1.0
+    fitted.mean[none], fitted.spread[none] = 1e9, 1.0
     fitted.limit = max(worst, 3.0) * REJECT_MARGIN
 
 
@@ -281,8 +295,7 @@ def identify_rows(docs: DataFrame, fitted: LanguageModels, *, keep: tuple[str, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(models.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, batch.num_columns - 1):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 lang, score, bits, rejected = identifier.identify(texts)
                 n = [sum(map(len, _RUN.findall(t or ""))) for t in texts] if keep else [0] * len(texts)
@@ -303,8 +316,7 @@ def keep_identified(docs: DataFrame, fitted: LanguageModels) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(models.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, at_text):
                 rejected = identifier.identify(part.column(at_text).to_pylist())[3]
                 yield part.filter(pa.array(~rejected))
 
