@@ -18,6 +18,9 @@ import regex
 #: Largest number of entries in a worker's table of words it has met.
 MEMO_ENTRIES = 400_000
 
+#: Symbols up to which scanning for the lowest pair is the quicker way.
+_SHORT = 24
+
 #: What the tokenizer's own pattern library counts as white space.
 _SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -84,12 +87,11 @@ class Vocabulary:
         return [*word[:-1], word[-1] + self.suffix]
 
 
-def count_by_heap(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
-    """Number of tokens left after merging, by a heap over a linked list.
+def heap_merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> tuple[list[str], int]:
+    """(tokens, merges) of merging by a heap over a linked list.
 
     The lowest-ranked adjacent pair (leftmost first) is popped again and again;
-    entries whose pair has changed since they were pushed are skipped.  The
-    count is the number of starting symbols less the number of merges.
+    entries whose pair has changed since they were pushed are skipped.
     """
     n = len(symbols)
     part, left, right = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
@@ -113,11 +115,18 @@ def count_by_heap(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
             version[h] += 1
             if (r := ranks.get((part[h], part[i]))) is not None:
                 heapq.heappush(heap, (r, h, version[h]))
-    return n - merges
+    return [p for p, v in zip(part, version) if v >= 0], merges
+
+
+def count_by_heap(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+    """Number of tokens after merging: the starting symbols less the merges, with no ids looked up."""
+    return len(symbols) - heap_merge(symbols, ranks)[1]
 
 
 def merge_fragment(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge a short fragment by scanning for its lowest-ranked pair."""
+    """Merge a fragment: a short one by scanning for its lowest-ranked pair, a long one by heap."""
+    if len(symbols) > _SHORT:
+        return heap_merge(symbols, ranks)[0]
     part = list(symbols)
     while len(part) > 1:
         best = min(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Codec, default_vocabulary, file_bytes, on_worker
-from .common import read_table
+from .common import read_table, slices
 
 
 def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, make, raw) -> DataFrame:
@@ -35,8 +35,10 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = on_worker(Codec, raw.value)
         for batch in batches:
-            new = pa.array([make(codec, v) for v in batch.column(len(kept)).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], new], [*kept, name])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                new = pa.array([make(codec, v) for v in part.column(len(kept)).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], new], [*kept, name])
 
     return read.mapInArrow(run, schema)
 
@@ -87,10 +89,28 @@ def codec_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
 
 
 def encoded_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``docs`` with their ids in place of their text, and whether decoding gives the same tokens again."""
-    ids = encode(docs, vocabulary)
-    names = [c for c in docs.columns if c not in ("text", "n_tokens", "decoded_sha256")]
-    return decode(ids, vocabulary).select(*names, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``docs`` with ids in place of their text, their number and the digest of the text they decode to.
+
+    One narrow map, a few texts at a time: ids are arrays of four bytes each,
+    never Python lists of a whole batch.
+    """
+    raw = docs.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
+    names = [*kept, "n_tokens", "ids", "decoded_sha256"]
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = on_worker(Codec, raw.value)
+        for part in (p for batch in batches for p in slices(batch, len(kept), rows=64)):
+            packed = [codec.encode(t) for t in part.column(len(kept)).to_pylist()]
+            digests = [hashlib.sha256(codec.decode(np.frombuffer(x, "<u4").tolist()).encode("utf-8")).hexdigest() for x in packed]
+            size = np.array([len(x) // 4 for x in packed], np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(size), ids, pa.array(digests, pa.string())], names)
+
+    read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("\x00text"))
+    return read.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + new))
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
