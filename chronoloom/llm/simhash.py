@@ -21,7 +21,7 @@ carried, so their names can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,10 +151,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(grouped.join(smallest, "label").select("fp", "label", "component_id"), "fp").select("doc_id", "row_key", "fp", "label", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest doc_id, with all its columns."""
     ranked = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    kept = near_duplicates(docs).groupBy("label").agg(F.min(ranked)["row_key"].alias("row_key")).select("row_key")
+    kept = groups(docs).groupBy("label").agg(F.min(ranked)["row_key"].alias("row_key")).select("row_key")
     named = docs.withColumn("__row_key", row_key())
     return named.join(kept.withColumnRenamed("row_key", "__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
 

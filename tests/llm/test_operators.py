@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronoloom.llm import (
-    bpe, bpe_codec, chat_format, components, decontaminate, langid, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, toxicity,
+    bpe, bpe_codec, chat_format, components, decontaminate, langid, near_copies, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, toxicity,
 )
 from chronoloom.llm import queries as llm_queries
 from chronoloom.llm.common import read_table
@@ -200,6 +200,35 @@ def test_near_duplicates_of_awkward_rows(messy):
     assert kept.select("row_key").first()[0] == "own row_key"
 
 
+def similarity(a, b):
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_near_dedup_stage_takes_near_copies(spark, bucket):
+    rng = np.random.default_rng(5)
+    texts = [None, "", "two words", "Two  Words"]
+    for n in (60, 200, 900, 900):
+        base = [f"w{k}" for k in rng.integers(0, 4000, n)]
+        for edits in (0, 1, 2, 4, 8, 20):
+            words = list(base)
+            for at in rng.integers(0, n, edits):
+                words[int(at)] = f"x{int(rng.integers(0, 10**6))}"
+            texts.append(" ".join(words))
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df, lambda d: near_copies.near_copies(d, bucket=bucket)).collect()}
+    assert kept == set(parent) and len(kept) < len(texts) - 8
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == set(parent)
+
+
 def removed(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
