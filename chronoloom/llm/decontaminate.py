@@ -3,9 +3,12 @@
 Numbers, names and units become typed placeholders, so that a benchmark question
 with other numbers and names keeps its template.  Windows of ``WINDOW`` words of
 the templates are hash-joined, and a match counts only where the values in its
-slots fit a one-to-one mapping between the item's values and the document's.  A
-document is contaminated by an item if consistent windows cover ``SIMILARITY`` of
-the item's words, or an unbroken run of ``RUN`` words.
+slots fit a one-to-one mapping between the item's values and the document's, or
+equal the item's.  A document is contaminated by an item if consistent windows cover
+``SIMILARITY`` of the item's words, or an unbroken run of ``RUN`` words.  The mapping
+is judged for each occurrence by itself (a band of shifts narrower than the item), so
+several versions of an item in one document don't spoil each other, and once for the
+document as a whole, so an item in scattered parts counts too; the best one counts.
 
 A document's windows are tested in its own task against the sorted window hashes
 of the benchmark, broadcast in blocks of at most ``BLOCK_WINDOWS`` (16 MB), so a
@@ -29,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Numbering, durable, read_table, slices
@@ -196,8 +199,10 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run:
     )
     key = ["doc_id", "content", "item_id", "item_content", "shift"]
     met = left.join(right, "window").withColumn("shift", F.col("doc_place") - F.col("place")).select(*key, "item_words", "place", "item_slots", "doc_slots")
+    met = met.select("*", F.explode(_bands()).alias("band"))
+    key = [*key, "band"]
     consistent = _consistent(met, key)
-    # words covered, once for the item as a whole and once along each shift
+    # words covered, once for a band as a whole and once along each shift
     ends = lambda keys, name: F.least(
         F.lit(WINDOW), F.col("place") - F.coalesce(F.lag("place").over(Window.partitionBy(*keys).orderBy("place")), F.lit(-WINDOW))
     ).alias(name)
@@ -219,15 +224,26 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float, run:
     )
 
 
+def _bands() -> Column:
+    """The bands of an occurrence's shift: null for the whole document, and two half overlapping ones.
+
+    A band spans half the item at most, so copies one after another are never in one;
+    shifts within a quarter of the item, as words put in or left out make them, share one.
+    """
+    band = F.floor(F.col("shift") / F.greatest(F.floor(F.col("item_words") / 4), F.lit(1)))
+    return F.array(F.lit(None).cast("long"), band, band - 1)
+
+
 def _consistent(met: DataFrame, key: list[str]) -> DataFrame:
-    """Windows whose slots all fit the one-to-one mapping that most slots of the item in the document follow.
+    """Windows whose slots equal the item's or all fit the one-to-one mapping that most slots of the band follow.
 
-    One mapping holds for all shifts, so a template that repeats itself can't be
-    covered piecemeal by values that fit a different mapping in each place.
+    One mapping holds for all shifts of a band, so a template that repeats itself can't
+    be covered piecemeal by values that fit a different mapping in each place.
     """
     item = [k for k in key if k != "shift"]
-    slot = met.where(F.size("item_slots") > 0).select(*key, "place", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))).alias("s"))
-    slot = slot.select(*key, "place", F.col("s.i").alias("item_value"), F.col("s.d").alias("doc_value"))
+    changed = (F.col("item_slots") != F.col("doc_slots")).alias("changed")
+    slot = met.where(F.size("item_slots") > 0).select(*key, "place", changed, F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))).alias("s"))
+    slot = slot.select(*key, "place", "changed", F.col("s.i").alias("item_value"), F.col("s.d").alias("doc_value"))
     votes = slot.groupBy(*item, "item_value", "doc_value").agg(F.count("*").alias("n"))
     best = lambda of, by: F.max(F.struct("n", of)).over(Window.partitionBy(*item, by))[of]
     odd = votes.select(
@@ -235,7 +251,8 @@ def _consistent(met: DataFrame, key: list[str]) -> DataFrame:
         ((best("doc_value", "item_value") != F.col("doc_value")) | (best("item_value", "doc_value") != F.col("item_value"))).alias("odd"),
     ).where("odd").drop("odd")
     join = lambda a, b, names: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in names])
-    bad = slot.join(odd, join(slot, odd, [*item, "item_value", "doc_value"]), "left_semi").select(*key, "place").distinct()
+    changed = slot.where("changed")
+    bad = changed.join(odd, join(changed, odd, [*item, "item_value", "doc_value"]), "left_semi").select(*key, "place").distinct()
     return met.join(bad, join(met, bad, [*key, "place"]), "left_anti")
 
 

@@ -407,6 +407,31 @@ def test_slots_must_map_one_to_one(spark):
     assert got[1] == 1.0 and got.get(2, 0.0) < 0.8
 
 
+APPLES = "If Tom has 3 apples and Mary has 5 then how many apples do Tom and Mary have if Ben gives each 4 more"
+
+
+def versions(rng, n):
+    """APPLES with other names and numbers, ``n`` times in one text."""
+    out = []
+    for _ in range(n):
+        names, numbers = rng.permutation(["Anna", "Omar", "Lin", "Eva", "Paul", "Nora"])[:3], rng.permutation(np.arange(6, 99))[:3]
+        new = dict(zip(["Tom", "Mary", "Ben", "3", "5", "4"], [*names, *map(str, numbers)]))
+        out.append(" ".join(new.get(w, w) for w in APPLES.split()))
+    return " ".join(out)
+
+
+def test_versions_of_an_item_in_one_document_are_found(spark):
+    rng = np.random.default_rng(3)
+    rows = [versions(rng, 1 + k % 10) for k in range(60)] + [f"{APPLES} {versions(rng, 2)}" for _ in range(20)]
+    words = APPLES.split()
+    rows += [" ".join([*words[:11], *[f"filler{k}" for k in range(60)], *words[11:]]), " ".join([*words[:12], "well", *words[12:]])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, APPLES)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated_pairs(docs, items, similarity=0.7).collect()} == set(range(len(rows)))
+    found = {r["doc_id"] for r in decontaminate.contaminated_pairs(docs, items).collect()}
+    assert set(range(80)) <= found
+
+
 def test_planted_benchmark_items_are_found(spark, docs):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in read_table(spark, SF, "benchmark").collect()}
     whole = {(d, i) for d, t in ((r["doc_id"], " ".join((r["text"] or "").split())) for r in docs.collect()) for i, x in items.items() if x in t}
