@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a benchmark question
 with other numbers and names keeps its template.  Windows of ``WINDOW`` words of
-the templates are hash-joined, and a match counts only where the values in its
+the templates are hash-joined; those with fewer than ``LITERALS`` literal words go by
+their real words instead, so that exact copies of items dense in numbers or names match, and a match counts only where the values in its
 slots fit a one-to-one mapping between the item's values and the document's, or
 equal the item's.  A document is contaminated by an item if consistent windows cover
 ``SIMILARITY`` of the item's words, or an unbroken run of ``RUN`` words.  The mapping
@@ -16,7 +17,8 @@ benchmark of any size costs one pass a block; only hits, written once, are
 shuffled.
 
 Cases: a null or empty text matches nothing; items shorter than a window match
-nothing; a null doc_id or item_id is carried through; words of punctuation alone
+nothing; windows dense in slots match in the same words only, so other values there
+lower the coverage; a null doc_id or item_id is carried through; words of punctuation alone
 are passed over; one doc_id on several rows is judged by each text; repeated rows
 and items give one row a pair; empty tables give an empty table; other columns
 are not carried, so their names can't clash.
@@ -39,7 +41,7 @@ from .common import Numbering, durable, read_table, slices
 
 #: Words in a window.
 WINDOW = 5
-#: Words of a window that must be literal: windows of slots alone say nothing.
+#: Words of a window that must be literal for its template to count; with fewer its real words count.
 LITERALS = 3
 #: Share of an item's words that consistent windows must cover ...
 SIMILARITY = 0.8
@@ -57,6 +59,8 @@ UNITS = frozenset(
 )
 _EDGES = "#*$&|<>.,;:!?\"'()[]{}-_=+/\\~`@^%"
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Start of a hash over real words, which keeps it apart from templates.
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
 _DIGIT = re.compile(r"\d")
 _SKIP, _LITERAL, _NUMBER, _NAME, _UNIT = -1, 0, 1, 2, 3
 
@@ -94,8 +98,8 @@ class Canonicalizer:
         self._kind[at : at + len(pieces)] = kind
         self._hash[at : at + len(pieces)] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 3) for w in low]
 
-    def template(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, kind and table row of every word of all texts, and where each text's words end."""
+    def template(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash in the template and as it is, kind and table row of every word of all texts, and where each text's words end."""
         if len(self._row) > _MEMO_ENTRIES * 3 // 4:
             self._clear()
         pieces = [(t or "").split() for t in texts]
@@ -105,25 +109,28 @@ class Canonicalizer:
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in pieces])
         real = self._kind[row] != _SKIP
         row, owner = row[real], owner[real]
-        kind, hashed = self._kind[row], self._hash[row]
+        kind, plain = self._kind[row], self._hash[row]
+        hashed = plain.copy()
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = (kind[:-1] == _NUMBER) & (owner[1:] == owner[:-1])
         kind = np.where((kind == _UNIT) & ~after_number, _LITERAL, kind)
         for k, slot in self._slot.items():
             hashed[kind == k] = slot
-        return hashed, kind, row, np.cumsum(np.bincount(owner, minlength=len(texts)))
+        return hashed, plain, kind, row, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
     def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and hash of every window with enough literal words, and kinds, rows and ends of all words."""
-        hashed, kind, row, ends = self.template(texts)
+        """Start and hash of every window, and kinds, rows and ends of all words."""
+        hashed, plain, kind, row, ends = self.template(texts)
         n = max(len(hashed) - WINDOW + 1, 0)
-        total, literal, inside = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.ones(n + WINDOW, bool)
+        total, exact, literal, inside = np.zeros(n, np.uint64), np.full(n, _EXACT), np.zeros(n, np.int8), np.ones(n + WINDOW, bool)
         for j in range(WINDOW if n else 0):
             total = total * _P + hashed[j : j + n]
+            exact = exact * _P + plain[j : j + n]
             literal += kind[j : j + n] == _LITERAL
         for j in range(1, WINDOW):
             inside[np.clip(ends - j, 0, n)] = False  # would reach into the next text
-        at = np.flatnonzero((literal >= LITERALS) & inside[:n])
+        total = np.where(literal >= LITERALS, total, exact)
+        at = np.flatnonzero(inside[:n])
         return at, total[at] ^ (total[at] >> np.uint64(31)), kind, row, ends
 
     def values(self, at: int, kind: np.ndarray, row: np.ndarray) -> list[str]:

@@ -432,6 +432,18 @@ def test_versions_of_an_item_in_one_document_are_found(spark):
     assert set(range(80)) <= found
 
 
+def test_copies_of_items_dense_in_slots_are_found(spark):
+    dense = [
+        "Evaluate 12 + 15 * 3 - 7 and divide by 4", "Who wrote The Old Man And The Sea in 1952 and won The Nobel Prize In Literature",
+        "Solve 3x + 5 = 2x - 7 for x given y = 4 and z = 9", "1 2 3 4 5 6 7 8 9",
+    ]
+    items = spark.createDataFrame(list(enumerate(dense)), "item_id long, text string")
+    rows = [f"Some words before. {t} and some after" for t in dense] + ["9 8 7 6 5 4 3 2 1 and The Young Man And The River In Love"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated_pairs(docs, items).collect()}
+    assert got == {(i, i): 1.0 for i in range(len(dense))}
+
+
 def test_planted_benchmark_items_are_found(spark, docs):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in read_table(spark, SF, "benchmark").collect()}
     whole = {(d, i) for d, t in ((r["doc_id"], " ".join((r["text"] or "").split())) for r in docs.collect()) for i, x in items.items() if x in t}
