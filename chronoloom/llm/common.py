@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Folder used where the session names none (tests on one machine).
 _LOCAL_FOLDER: list[str] = []
+#: Folders written by :func:`durable` and not deleted yet.
+_WRITTEN: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (a test on one machine) is a temporary
-    folder made.
+    Where the session sets none, a temporary folder serves a session on one
+    machine; on a cluster that is an error, as executors would each write to
+    their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="chronoloom-"))
     return "file://" + _LOCAL_FOLDER[0]
@@ -43,16 +48,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a frame made by :func:`durable` once it has been used."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete whatever :func:`durable` has written and nobody has deleted yet.
+
+    For the end of a job: results are lazy and read such files, so only their
+    user knows when they have been used.
+    """
+    for folder in list(_WRITTEN):
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.difference_update({w for w in _WRITTEN if w.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]})
 
 
 def letter_free(text: Column) -> Column:
@@ -73,13 +92,23 @@ def slices(batch: pa.RecordBatch, text_column: int, *, rows: int = 256, size: in
 
 
 class Numbering(dict):
-    """Numbers words in order of first use; ``new`` lists those not numbered before it was last emptied."""
+    """Numbers words in order of first use; ``new`` lists those not numbered before it was last emptied.
 
-    def __init__(self):
+    ``full`` once the words are many or long together, so that unspaced scripts,
+    whose "words" are paragraphs, don't fill the memory.
+    """
+
+    def __init__(self, entries: int = 400_000, characters: int = 8_000_000):
         super().__init__()
         self.new: list[str] = []
+        self._entries, self._left = entries, characters
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.new.append(word)
+        self._left -= len(word)
         return at
+
+    @property
+    def full(self) -> bool:
+        return len(self) > self._entries or self._left < 0
