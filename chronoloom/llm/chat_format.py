@@ -7,15 +7,18 @@ taken out by an anti-join, identical ones keep the smallest id, and the turns of
 those that remain are rendered.
 
 The rolling hash is the exclusive-or of 64-bit hashes of (turn, role, text),
-twice with different seeds, along with the number of turns.  It is summed in
-blocks of turn numbers, so one conversation of very many turns is spread over
-tasks.
+twice with different seeds, along with the number of turns.  Rows are sorted by
+range over all tasks; hashes are summed for each task's part of a conversation
+first, so one conversation of very many turns, or of very many rows under one
+turn number, is spread over tasks.
 
 Cases: repeated rows count once; turns with one number are ordered by role, then
-text; a null turn comes first; a null role renders as ``user`` and a null text as
-empty, but neither equals its stand-in when conversations are compared; rows with
-a null conv_id form one conversation; an empty table gives an empty table; other
-columns are not carried, so their names can't clash.
+text, nulls first, and each row of them ends a prefix; a null turn comes first; a
+null role renders as ``user`` and a null text as empty, but neither equals its
+stand-in when conversations are compared; the marks of the template inside a role
+or text get a blank (``< |``), so that a text can't forge a turn; rows with a null
+conv_id form one conversation; an empty table gives an empty table; other columns
+are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import durable, read_table
 
-#: Turn numbers in a block of the rolling hash.
-BLOCK = 1024
 _KEY = ["n", "a", "b"]
 
 
@@ -38,22 +39,22 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, n, a, b, last): the rolling hash of every turn prefix.
+    """(conv_id, n, a, b, last): the rolling hash of every prefix of every conversation.
 
-    Hashes of distinct rows are combined for each (conversation, turn) before
-    the shuffle; running values go over blocks first, then within a block.
+    Distinct rows are sorted by range, so a block is what one task holds of a
+    conversation; running values go over blocks first, then within a block.
     """
-    whole = F.concat_ws(",", *[F.col(c).isNull().cast("string") for c in ("turn", "role", "text")])
-    hashed = _turns(conversations).select(
-        "conv_id", F.coalesce("turn", F.lit(-(2**62))).alias("turn"),
-        F.xxhash64(F.lit("a"), whole, "turn", "role", "text").alias("a"), F.xxhash64(F.lit("b"), "text", whole, "role", "turn").alias("b"),
+    order = ["conv_id", "turn", "role", "text"]
+    whole = F.concat_ws(",", *[F.col(c).isNull().cast("string") for c in order[1:]])
+    rows = _turns(conversations).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    each = durable(
+        rows.select(
+            "conv_id", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("place"),
+            F.xxhash64(F.lit("a"), whole, "turn", "role", "text").alias("a"), F.xxhash64(F.lit("b"), "text", whole, "role", "turn").alias("b"),
+        ),
+        "turns",
     )
-    each = (
-        hashed.groupBy("conv_id", "turn", "a", "b").agg(F.lit(1).alias("one"))
-        .groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-        .withColumn("block", F.floor(F.col("turn") / BLOCK))
-    )
-    blocks = each.groupBy("conv_id", "block").agg(F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    blocks = each.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole_of = Window.partitionBy("conv_id")
     offsets = blocks.select(
@@ -61,11 +62,11 @@ def turn_prefixes(conversations: DataFrame) -> DataFrame:
         *[F.coalesce(f(c).over(before), F.lit(0)).alias(f"{c}0") for c, f in (("n", F.sum), ("a", F.bit_xor), ("b", F.bit_xor))],
         F.sum("n").over(whole_of).alias("total"),
     )
-    upto = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    running = each.select("conv_id", "block", "turn", F.sum("n").over(upto).alias("n"), F.bit_xor("a").over(upto).alias("a"), F.bit_xor("b").over(upto).alias("b"))
+    upto = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    running = each.select("conv_id", "block", F.count("*").over(upto).alias("n"), F.bit_xor("a").over(upto).alias("a"), F.bit_xor("b").over(upto).alias("b"))
     same = running["conv_id"].eqNullSafe(offsets["of"]) & (running["block"] == offsets["of_block"])
     return running.join(offsets, same).select(
-        "conv_id", "turn", (F.col("n") + F.col("n0")).alias("n"),
+        "conv_id", (F.col("n") + F.col("n0")).alias("n"),
         F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b"),
         (F.col("n") + F.col("n0") == F.col("total")).alias("last"),
     )
@@ -84,8 +85,9 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """One turn in the template."""
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    """One turn in the template; marks inside it are parted by a blank."""
+    plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    return F.concat(F.lit("<|"), plain(F.coalesce(role, F.lit("user"))), F.lit("|>\n"), plain(F.coalesce(text, F.lit(""))), F.lit("\n"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ u AS (SELECT l, len(l) AS n, min(conv_id) AS conv_id, count(*) AS n_same FROM c
 p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
 m AS (SELECT conv_id, n, n_same FROM u ANTI JOIN p USING (l))
 SELECT t.conv_id, t.turn, t.role,
-  '<|' || coalesce(t.role, 'user') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) AS rendered,
+  '<|' || replace(coalesce(t.role, 'user'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || chr(10) AS rendered,
   CAST(m.n AS BIGINT) AS n_turns, CAST(m.n_same AS BIGINT) AS n_same
 FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
 """
