@@ -2,31 +2,38 @@
 
 For each language a character n-gram model over blank-padded words is held in
 sorted arrays of 64-bit n-gram hashes.  A text gets the language of the lowest
-cross-entropy in bits a character, so length plays no part; a text that fits
-even its best language far worse than that language's own calibration texts is
-rejected.
+cross-entropy in bits a character, so length plays no part.  A text is rejected
+if it fits even its best language worse than all but one in 1,000 calibration
+texts of its length do, and by half as much again: the excess over the language's
+usual cross-entropy may be ``a + b / sqrt(letters)``, with a and b from the
+calibration texts of all languages, so that a language with few of them has the
+same limit, and short texts a wider one.
 
 Learning reads a bounded sample: about ``TRAIN_DOCS`` + ``CALIBRATION_DOCS``
-rows of each learned language, picked by a hash of the id.  Prediction reads
-every row, whole, and only its text.
+rows of each learned language (fewer if there are more than ``ALL_DOCS`` over all
+languages), picked by a hash of id and text; of a language's words in it the
+``WORDS`` most frequent are learned.  Prediction reads every row, whole, and only
+its text.
 
-Cases: a null text or one without a letter gets ``und``, score 0 and is
+Cases: a null text or one without a letter (``\\p{L}``) gets ``und``, score 0 and is
 rejected; rows with a null ``lang`` or id are predicted but not learned from;
-ties go to the alphabetically first language; repeated rows give repeated rows;
-an empty table (or one with nothing to learn from) gives ``und`` throughout;
-other columns are not carried, so their names can't clash.
+identical rows are learned from once; ties go to the alphabetically first
+language; repeated rows give repeated rows; an empty table (or one with nothing to
+learn from) gives ``und`` throughout; other columns are not carried, so their
+names can't clash.  Long texts and long unspaced words are scored whole, the
+latter in stretches that know the letters before them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Numbering, letter_free, read_table, slices
@@ -34,17 +41,21 @@ from .common import Numbering, letter_free, read_table, slices
 #: Rows of each language that the models are fitted on, about.
 TRAIN_DOCS = 600
 #: Further rows of each language that the rejection is calibrated on, about.
-CALIBRATION_DOCS = 200
+CALIBRATION_DOCS = 1_000
+#: Rows of all languages together, about; of very many languages fewer each.
+ALL_DOCS = 100_000
+#: Distinct words learned of a language at most, the most frequent ones.
+WORDS = 200_000
 #: Longest n-gram.
 ORDER = 4
-#: A text is rejected beyond this multiple of the worst calibration text's deviation.
-REJECT_MARGIN = 3.0
-#: Languages learned at most; a labelled table names few.
-MAX_LANGUAGES = 500
-
-_RUN = re.compile(r"[^\W\d_]+")
-_MEMO_ENTRIES = 400_000
-_LONG_PIECE = 5_000
+#: Share of the calibration texts that may lie beyond the limit before it is widened by the margin.
+REJECT_RATE, REJECT_MARGIN = 0.001, 1.5
+#: Letters from which a text counts as long when the limit is set.
+LONG_TEXT = 256
+
+_RUN = regex.compile(r"\p{L}+")
+#: Letters scored at once.
+_STRETCH = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -60,17 +71,19 @@ def ngrams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[n
     The k-th array holds, for every character, the hash of the k characters
     that end there (of no meaning where the word begins later than that).
     """
-    text = "".join([f" {w} " for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    start = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(codes)) - start[word]
+    padded = [f" {w} " for w in words]
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    word = np.repeat(np.arange(len(padded)), size)
+    return word, np.arange(len(word)) - (np.cumsum(size) - size)[word], _hashes("".join(padded), order)
+
+
+def _hashes(text: str, order: int) -> list[np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     unit, rolled, out = _mix(codes + np.uint64(1)), np.zeros(len(codes), np.uint64), [np.zeros(len(codes), np.uint64)]
     for _ in range(order):
         rolled = np.concatenate([[np.uint64(0)], rolled[:-1]]) * _P + unit if len(codes) else rolled
         out.append(rolled)
-    return word, place, out
+    return out
 
 
 @dataclass
@@ -157,21 +170,12 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModels:
-    """The models of all languages and what rejection needs."""
+    """The models of all languages and what rejection needs: usual cross-entropies, and a and b of the limit."""
 
     languages: list[str]
     models: list[CharModel]
     mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    limit: float = np.inf
-
-
-def _pieces(text: str) -> list[str]:
-    """White-space separated pieces; one of very many characters is cut, which bounds memory."""
-    pieces = text.split()
-    if len(text) > _LONG_PIECE and any(len(p) > _LONG_PIECE for p in pieces):
-        pieces = [p[i : i + _LONG_PIECE] for p in pieces for i in range(0, len(p), _LONG_PIECE)]
-    return pieces
+    limit: tuple[float, float] = (np.inf, 0.0)
 
 
 class Identifier:
@@ -186,29 +190,40 @@ class Identifier:
         self._bits = np.zeros((1 << 16, len(self.fitted.languages) + 1), np.float32)
 
     def _learn(self, pieces: list[str]) -> None:
-        runs = [_RUN.findall(p.lower()) for p in pieces]
-        owner = np.repeat(np.arange(len(pieces)), [len(r) for r in runs])
-        word, place, hashed = ngrams([w for r in runs for w in r], ORDER)
+        """Put the bits of new pieces under each language, and their letters, into the table."""
         new = np.zeros((len(pieces), self._bits.shape[1]))
-        if len(word):
-            piece = owner[word]
-            new[:, -1] = np.bincount(piece, place > 0, len(pieces))
-            for i, m in enumerate(self.fitted.models):
-                new[:, i] = np.bincount(piece, m.score(place, hashed), len(pieces))
+        found = [(i, w) for i, p in enumerate(pieces) for w in _RUN.findall(p.lower())]
+        for at in range(0, len(found), 20_000):
+            part = [(i, w) for i, w in found[at : at + 20_000] if len(w) <= _STRETCH]
+            if part:
+                word, place, hashed = ngrams([w for _, w in part], ORDER)
+                self._add(new, np.array([i for i, _ in part])[word], place, hashed)
+        for i, w in found:
+            for start in range(0, len(w) + 2 if len(w) > _STRETCH else 0, _STRETCH):
+                before = min(start, ORDER)  # known letters that aren't counted again
+                hashed = _hashes(f" {w} "[start - before : start + _STRETCH], ORDER)
+                place = np.arange(len(hashed[0])) + start - before
+                self._add(new, np.full(len(place), i), place, hashed, before)
         at, self._known = self._known, self._known + len(pieces)
-        if at + len(pieces) > len(self._bits):
+        if self._known > len(self._bits):
             self._bits = np.pad(self._bits, ((0, max(len(self._bits), len(pieces))), (0, 0)))
         self._bits[at : at + len(pieces)] = new
 
+    def _add(self, total: np.ndarray, row: np.ndarray, place: np.ndarray, hashed: list[np.ndarray], skip: int = 0) -> None:
+        row = row[skip:]
+        total[:, -1] += np.bincount(row, (place > 0)[skip:], len(total))
+        for i, m in enumerate(self.fitted.models):
+            total[:, i] += np.bincount(row, m.score(place, hashed)[skip:], len(total))
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character under every language, and the characters scored."""
-        if len(self._row) > _MEMO_ENTRIES:
+        if self._row.full:
             self._clear()
-        split = [_pieces(t or "") for t in texts]
+        split = [(t or "").split() for t in texts]
         row = np.fromiter(map(self._row.__getitem__, chain.from_iterable(split)), np.int64)
         new, self._row.new = self._row.new, []
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
+        if new:
+            self._learn(new)
         ends = np.cumsum([len(s) for s in split])
         sums = np.concatenate([np.zeros((1, self._bits.shape[1])), np.cumsum(self._bits[row], 0, dtype=np.float64)])
         total = sums[ends] - sums[ends - [len(s) for s in split]]
@@ -225,9 +240,10 @@ class Identifier:
         low = bits[np.arange(len(texts)), best]
         worse = (bits - low[:, None]) * np.minimum(n, 64)[:, None]
         score = np.where(n > 0, 1 / np.exp2(-worse).sum(1), 0.0)
-        off = np.where(n > 0, low - f.mean[best], 0.0) / f.spread[best] * np.sqrt(n) if f.mean is not None else np.zeros(len(texts))
+        a, b = f.limit
+        off = low - f.mean[best] if f.mean is not None else np.zeros(len(texts))
         lang = [f.languages[i] if k else "und" for i, k in zip(best, n > 0)]
-        return lang, score, np.where(n > 0, low, np.nan), (n == 0) | (off > f.limit)
+        return lang, score, np.where(n > 0, low, np.nan), (n == 0) | (off > a + b / np.sqrt(np.maximum(n, 1)))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -239,49 +255,49 @@ def fit(docs: DataFrame, *, order: int = ORDER, train_docs: int = TRAIN_DOCS, ca
     """Fit models on the rows of ``docs`` (``doc_id, text, lang``) that may be learned from.
 
     Rows of each language are sampled down to the documented bounds by a hash of
-    the id, words are counted on the cluster, and only the counted words of the
+    id and text, words are counted on the cluster, and only the counted words of the
     sample reach the driver.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~letter_free(F.col("text")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~letter_free(F.col("text"))).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModels([], [])
-    share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
     both = train_docs + calibration_docs
+    wanted = min(both, ALL_DOCS / len(sizes))
     # of a small language all rows, parted between the two as the bounds are
-    take = lambda part: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(both / n, 1.0) * part)])[F.col("lang")]
-    sample = rows.withColumn("share", share).where(F.col("share") < take(1.0))
+    take = lambda part: F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(wanted / n, 1.0) * part)])[F.col("lang")]
+    sample = rows.withColumn("share", share).where(F.col("share") < take(1.0)).distinct()
     fit_on, checked = sample.where(F.col("share") < take(train_docs / both)), sample.where(F.col("share") >= take(train_docs / both))
-    words = (
+    counted = (
         fit_on.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
+        .where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     )
+    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    words = counted.withColumn("most", most).where(F.col("most") <= WORDS).drop("most").toPandas()
     languages, models = [], []
     for lang, part in words.sort_values(["lang", "word"]).groupby("lang"):
         languages.append(lang)
         models.append(CharModel.fit(part["word"].tolist(), part["n"].to_numpy(), order))
     fitted = LanguageModels(languages, models)
-    _calibrate(fitted, identify_rows(checked.select("doc_id", "lang", "text"), fitted, keep=("lang",)))
+    _calibrate(fitted, identify_rows(checked, fitted, keep=("lang",)))
     return fitted
 
 
 def _calibrate(fitted: LanguageModels, scored: DataFrame) -> None:
-    """Set the usual cross-entropy of each language, its spread and the limit."""
-    k = len(fitted.languages)
-    fitted.mean, fitted.spread = np.full(k, np.nan), np.full(k, np.nan)
+    """Set the usual cross-entropy of each language and the limit of the excess over it."""
     rows = scored.where(F.col("lang") == F.col("lang_pred")).select("lang", "cross_entropy", "n_scored").toPandas()
-    worst = 0.0
-    for i, lang in enumerate(fitted.languages):
-        part = rows[rows["lang"] == lang]
-        if len(part) < 5:
-            continue
-        mean = np.average(part["cross_entropy"], weights=part["n_scored"])
-        off = (part["cross_entropy"] - mean) * np.sqrt(part["n_scored"])
-        fitted.mean[i], fitted.spread[i] = mean, max(float(np.sqrt((off**2).mean())), 1e-6)
-        worst = max(worst, float((off / fitted.spread[i]).max()))
-    none = np.isnan(fitted.mean)  # too few texts to judge by: never rejected
-    fitted.mean[none], fitted.spread[none] = 1e9, 1.0
-    fitted.limit = max(worst, 3.0) * REJECT_MARGIN
+    if len(rows) < 5:  # nothing to judge by: only texts without a letter are rejected
+        return
+    usual = lambda r: float(np.average(r["cross_entropy"], weights=r["n_scored"]))
+    parts = {lang: part for lang, part in rows.groupby("lang") if len(part) >= 5}
+    fitted.mean = np.array([usual(parts.get(lang, rows)) for lang in fitted.languages])
+    at = rows["lang"].map({lang: i for i, lang in enumerate(fitted.languages)}).to_numpy()
+    off, n = rows["cross_entropy"].to_numpy() - fitted.mean[at], rows["n_scored"].to_numpy()
+    high = lambda x: max(float(np.quantile(x, 1 - REJECT_RATE, method="higher")), 0.0) if len(x) else 0.0
+    a = high(off[n >= LONG_TEXT])
+    b = high((off - a)[n < LONG_TEXT] * np.sqrt(n[n < LONG_TEXT]))
+    fitted.limit = (max(a, 0.25) * REJECT_MARGIN, max(b, 2.0) * REJECT_MARGIN)
 
 
 def identify_rows(docs: DataFrame, fitted: LanguageModels, *, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -298,7 +314,7 @@ def identify_rows(docs: DataFrame, fitted: LanguageModels, *, keep: tuple[str, .
             for part in slices(batch, batch.num_columns - 1):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 lang, score, bits, rejected = identifier.identify(texts)
-                n = [sum(map(len, _RUN.findall(t or ""))) for t in texts] if keep else [0] * len(texts)
+                n = [sum(map(len, _RUN.findall((t or "").lower()))) for t in texts] if keep else [0] * len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(n, pa.int64()), pa.array(rejected)], names
                 )
