@@ -22,7 +22,8 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def running_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base of the running sums and of its inverse, at least."""
     if len(_POWERS.get("up", ())) < n:
         size = max(n, CHUNK + 2 * LENGTH)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -39,7 +40,7 @@ class Rolled:
     """Hashes of any substring of a buffer, from running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data) + 1)
+        up, self._down = running_powers(len(data) + 1)
         self._sum = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * up[: len(data)], out=self._sum[1:])
 
