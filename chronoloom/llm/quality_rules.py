@@ -2,10 +2,12 @@
 
 A document first meets within-document rules (too few words, too much repeated
 in eight-word windows).  Then normalised lines are hashed and, for each host
-(``source``), the distinct documents that hold a line are counted; lines in more
-of a host's documents than ``line_limit`` are taken away, and a document that
+(``source``), the distinct documents that hold a line are counted; lines in one of
+``LINE_PART`` of a host's documents or more (and in ``LINE_FLOOR`` at least, so that a small host has
+boilerplate too but chance doesn't make it) are taken away, and a document that
 keeps too small a share of its words is rejected.  Byte-identical copies count
-as one document: a copied document isn't boilerplate of itself.
+as one document: a copied document isn't boilerplate of itself.  Lines are
+normalised once and written, as their hashes, for the two uses.
 
 Cases: a null text has no words and fails; a null source is a host of its own;
 rows with one doc_id repeated are judged each; lines without a word are not
@@ -19,16 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import durable, read_table
 
 #: What parts words; every other character belongs to one.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Words in a repetition window.
 WINDOW = 8
-#: A line in more documents of a host than this is taken away.
-LINE_LIMIT = 200
-#: Lines shorter than this many words are left in: they recur by chance.
-LINE_WORDS = 3
+#: A line in one of so many of a host's distinct documents ...
+LINE_PART = 10
+#: ... and in so many of them at least is taken away.
+LINE_FLOOR = 10
 #: A document that keeps a smaller share of its words is rejected.
 LEAST_KEPT = 0.3
 
@@ -90,11 +92,11 @@ def base_rules(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeated")),
     )
     row = docs.select(
-        "doc_id", "row_key", of_words.alias("w"),
+        "doc_id", "doc", "row_key", of_words.alias("w"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ).select(
-        "doc_id", "row_key", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"),
+        "doc_id", "doc", "row_key", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"),
         "n_symbols", "n_dup_lines", F.col("w.repeated").cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -104,48 +106,56 @@ def base_rules(docs: DataFrame) -> DataFrame:
 def line_rows(docs: DataFrame) -> DataFrame:
     """One row for each normalised line of a document, with its place and its words.
 
-    Lines are lower-cased, digits become 0, white space is single; only their
-    hashes leave the map.
+    Texts are lower-cased, digits become 0, white space is single; only the hashes
+    of their lines leave the map.
     """
-    single = F.regexp_replace("line", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")  # lone blanks are left as they are
-    norm = F.lower(F.regexp_replace(F.trim(single), r"[0-9]+", "0"))
+    blank = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"  # lone blanks are left as they are
+    norm = F.lower(F.regexp_replace(F.regexp_replace("text", blank, " "), r"[0-9]+", "0"))
     return (
-        docs.select("row_key", "source", F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-        .select("row_key", "source", "content", "place", norm.alias("line"))
+        docs.select("doc", "row_key", "source", "content", F.posexplode(F.split(norm, "\n")).alias("place", "line"))
+        .select("doc", "row_key", "source", "content", "place", F.trim("line").alias("line")).where("line <> ''")
         .select(
-            "row_key", "source", "content", "place", F.xxhash64("line").alias("line_hash"),
+            "doc", "row_key", "source", "content", "place", F.xxhash64("line").alias("line_hash"),
             (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"),
         )
-        .where(F.col("words") >= LINE_WORDS)
     )
 
 
-def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """(source, line_hash) found in more than ``limit`` distinct documents of a source.
+def frequent_lines(lines: DataFrame, docs: DataFrame, part: int, floor: int) -> DataFrame:
+    """(source, line_hash) in one of ``part`` of a source's distinct documents or more, and in ``floor`` at least.
 
-    Two grouped counts, both combined before they are shuffled, so that a very
-    common line or a large host costs a row a task.
+    Grouped counts, combined before they are shuffled, so that a very common line
+    or a large host costs a row a task.
     """
-    return (
+    hosts = docs.groupBy("source", "content").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_documents"))
+    counts = (
         lines.groupBy("source", "line_hash", "content").agg(F.lit(1).alias("one"))
-        .groupBy("source", "line_hash").agg(F.count("*").alias("documents"))
-        .where(F.col("documents") > limit)
+        .groupBy("source", "line_hash").agg(F.count("*").alias("documents")).where(F.col("documents") >= floor)
     )
+    met = counts.join(hosts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host")))
+    return met.where(F.col("documents") * part >= F.col("host_documents")).select("source", "line_hash")
+
 
+def quality(docs: DataFrame, *, line_part: int = LINE_PART, line_floor: int = LINE_FLOOR, least_kept: float = LEAST_KEPT) -> DataFrame:
+    """Figures and verdict of every row of ``docs`` (``doc_id, text, source``).
 
-def quality(docs: DataFrame, *, line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
-    """Figures and verdict of every row of ``docs`` (``doc_id, text, source``)."""
-    keyed = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "source", "text").alias("row_key"))
-    lines = line_rows(keyed)
-    common = frequent_lines(lines, line_limit)
+    A row is told by its id and a hash of the rest.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), "source").select(
+        "doc_id", "text", "source", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("content"),
+        F.xxhash64(F.col("doc_id").isNull(), F.col("source").isNull(), "source", "text").alias("row_key"),
+    )
+    lines = durable(line_rows(keyed), "lines")
+    common = frequent_lines(lines, keyed.select("source", "content"), line_part, line_floor)
     removed = (
         lines.join(common, lines["line_hash"].eqNullSafe(common["line_hash"]) & lines["source"].eqNullSafe(common["source"]), "left_semi")
-        .groupBy("row_key", "place").agg(F.first("words").alias("words"))  # a repeated row counts once
-        .groupBy("row_key").agg(F.sum("words").alias("words_removed"))
+        .groupBy("doc", "row_key", "place").agg(F.first("words").alias("words"))  # a repeated row counts once
+        .groupBy("doc", "row_key").agg(F.sum("words").alias("words_removed"))
     )
     base = base_rules(keyed)
     gone = F.coalesce("words_removed", F.lit(0))
-    return base.join(removed, "row_key", "left").select(
+    return base.join(removed, ["doc", "row_key"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("n_words") - gone >= least_kept * F.col("n_words"))).alias("kept"),
         gone.cast("long").alias("words_removed"),
@@ -171,7 +181,9 @@ l AS (
     SELECT k, source, text, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) AS line
     FROM (SELECT k, source, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE line <> ''
 ),
-c AS (SELECT source, line FROM l WHERE words >= {LINE_WORDS} GROUP BY source, line HAVING count(DISTINCT text) > {LINE_LIMIT}),
+h AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+f0 AS (SELECT source, line, count(DISTINCT text) AS n FROM l GROUP BY source, line),
+c AS (SELECT f0.source, line FROM f0 JOIN h ON f0.source IS NOT DISTINCT FROM h.source WHERE f0.n >= {LINE_FLOOR} AND {LINE_PART} * f0.n >= h.n),
 x AS (SELECT k, sum(words) AS n FROM l SEMI JOIN c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY k),
 b AS (
   SELECT k, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

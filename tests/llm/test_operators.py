@@ -307,7 +307,7 @@ def test_lines_common_on_a_host_go(spark):
     rows += [(10, "accept ALL cookies 7 please\n" * 8 + "only these few words are its own " * 1, "a")]
     rows += [(20 + i, f"Accept all cookies 12 please\n{body(i)}", f"host{i}") for i in range(6)]
     rows += [(30, body(99), "b")] * 5 + [(40 + i, body(98), "b") for i in range(5)]
-    got = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_limit=4).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_part=2, line_floor=5).collect()}
     assert got[0]["words_removed"] == 5 and got[0]["kept"]
     assert got[10]["words_removed"] == 40 and not got[10]["kept"]
     assert got[20]["words_removed"] == 0 and got[20]["kept"]
