@@ -1,16 +1,18 @@
-"""Secret scans over a trigram index, in DataFrame functions alone.
+"""Secret scans over a trigram inverted index, in DataFrame functions alone.
 
 For each rule a Boolean query over trigrams is derived from its regular
-expression.  The index holds, for each document, which of the queries' trigrams
-it has; a rule's postings are intersected and united as its query says, and only
-candidates are verified with the expression itself.  A rule whose expression has
-no mandatory trigram scans every document.
+expression.  The index is a table of postings, (trigram, text), of the trigrams that
+some query asks for; it is written once.  The postings of each text meet in one
+grouping, which intersects and unites them as the queries say (by text, so that a
+trigram that a third of all texts hold is in no one task); what is left are the
+candidates, (text, rules), and only those are verified with the expressions
+themselves.  A rule whose expression has no mandatory trigram scans every text.
 
 Cases: a null text counts as empty (no spans); overlapping spans of different
 kinds are all reported; repeated rows give repeated rows; an empty table gives an
-empty table; other columns are kept by :func:`with_spans` unless they bear the
-name of a new one.  Positions are in code points.  Matching never recurses with
-the length of a text.
+empty table; other columns are kept by :func:`with_spans`, but for one that bears
+the name ``spans``, which is replaced.  Positions are in code points.  Matching never
+recurses with the length of a text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import durable, read_table
 
 
 @dataclass(frozen=True)
@@ -182,20 +184,48 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
 
 _NONE = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: A text is told by its row's id and two hashes.
+_TEXT = ["\x00id", "\x00a", "\x00b"]
 
 
-def with_spans(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``spans``: all matches of all rules by start, then rule order."""
+def _told(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``docs`` with the columns ``_TEXT``."""
+    hashes = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text), F.xxhash64(F.lit("b"), text))
+    return docs.withColumns(dict(zip(_TEXT, hashes)))
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(trigram, text): the inverted index of ``docs``, of the trigrams that the rules' queries ask for; letters count in either case."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    grams = F.array(*[F.lit(g) for g in sorted(set().union(*(_trigrams(trigram_query(r.pattern)) for r in rules)))]).cast("array<string>")
+    held = _let(F.lower(text), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
+    return _told(docs, id_col, text).select(F.explode(held).alias("trigram"), *_TEXT)
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(text, rules): the texts whose postings satisfy some rule's query, and the places of those rules."""
+    held = index.groupBy(*_TEXT).agg(F.collect_set("trigram").alias("held"))
     queries = [trigram_query(r.pattern) for r in rules]
-    grams = F.array(*[F.lit(g) for g in sorted(set().union(*map(_trigrams, queries)))])
-    index = _let(F.lower(text), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
-    indexed = docs.drop("spans").withColumn("__trigram_index", index)
+    fits = [F.when(_holds(q, F.col("held")), F.lit(k)) for k, q in enumerate(queries) if q is not None]
+    found = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<int>")
+    return held.select(*_TEXT, found.alias("\x00rules")).where(F.size("\x00rules") > 0)
+
+
+def with_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Add ``spans``: all matches of all rules by start, then rule order.
+
+    The candidates are written, so their size is known when they are joined.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = durable(candidates(postings(docs, rules, text_col=text_col, id_col=id_col), rules), "candidates")
+    met = _told(docs.drop("spans"), id_col, text).join(found, _TEXT, "left")
     parts = []
-    for rank, (rule, query) in enumerate(zip(rules, queries)):
-        candidate = text.rlike(rule.pattern) if query is None else _holds(query, F.col("__trigram_index"))
+    for rank, rule in enumerate(rules):
+        mandatory = trigram_query(rule.pattern) is not None
+        candidate = F.coalesce(F.array_contains("\x00rules", rank), F.lit(False)) if mandatory else text.rlike(rule.pattern)
         parts.append(F.when(candidate, _spans(text, rule, rank)).otherwise(F.array().cast(_NONE)))
-    return indexed.withColumn("spans", F.array_sort(F.concat(*parts))).drop("__trigram_index")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
+    return met.select(*kept, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
