@@ -152,11 +152,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest doc_id, with all its columns."""
-    ranked = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    kept = groups(docs).groupBy("label").agg(F.min(ranked)["row_key"].alias("row_key")).select("row_key")
-    named = docs.withColumn("__row_key", row_key())
-    return named.join(kept.withColumnRenamed("row_key", "__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
+    """``docs`` with one row of each group, that of the smallest doc_id, with all its columns.
+
+    A row is told by its id and the hash of id and text together.
+    """
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    kept = groups(docs).groupBy("label").agg(F.min(ranked).alias("least")).select(F.coalesce("least.doc_id", F.lit(0)).alias("\x00id"), F.col("least.row_key").alias("\x00key"))
+    named = docs.withColumns({"\x00id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "\x00key": row_key()})
+    return named.join(kept, ["\x00id", "\x00key"], "left_semi").dropDuplicates(["\x00id", "\x00key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ hashed to ``2**BITS`` places.  Per-coordinate rates and L1 sparsity leave few
 weights, which are broadcast as two short sorted arrays.
 
 Fitting reads a bounded sample of labelled rows (``TRAIN_DOCS``, picked by a
-hash of the id); scoring reads every row, whole, and only its text.
+hash of id and text, identical ones once); scoring reads every row, whole, and only its text.
 
 Cases: a null or empty text has no features and gets the bias alone; rows
 without a label are scored but not learned from; several labels of one document
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .langid import held_out
 
-#: Labelled rows that are learned from at most, about.
+#: Labelled rows that are learned from at most.
 TRAIN_DOCS = 10_000
 #: Hash places: 2 to this power.
 BITS = 22
@@ -115,13 +115,14 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, al
 def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, bits: int = BITS) -> Weights:
     """Fit on about ``train_docs`` of the labelled rows: features are made on the
     cluster, and those of the sample alone reach the driver."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    total = known.count()
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.distinct(), "doc_id")
+    total = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(known.distinct(), "doc_id").count()
     if not total:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), -1e-9)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000)) / 1_000_000
-    picked = F.col("doc_id").isNotNull() & (share < train_docs / total)
-    sample = docs.where(picked).select("doc_id", "text").join(known.where(picked), "doc_id").select("doc_id", "toxic", "text")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("toxicity sample")), F.lit(1_000_000))
+    picked = met.withColumn("place", place).where(F.col("place") < 1_200_000 * train_docs / total).distinct()
+    sample = picked.orderBy("place", "doc_id", "toxic").limit(train_docs).select("doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer(bits)
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, bit
     rows = sample.mapInArrow(run, "doc_id long, toxic int, x binary").collect()
     if not rows:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), -1e-9)
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["x"])))
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["x"])))  # whatever order tasks end in
     return ftrl([np.frombuffer(bytes(r["x"]), "<u4") for r in rows], np.array([float(r["toxic"] > 0) for r in rows]), bits=bits)
 
 
