@@ -91,13 +91,26 @@ def mine_online(rows: DataFrame, *, group: str = "source_file", message: str = "
     return rows.select(kept).repartition(group).sortWithinPartitions(group, "row_id").mapInPandas(run, schema)
 
 
-def train_templates(rows: DataFrame, *, message: str = "raw_message", sample: int = 50_000) -> TemplateMiner:
-    """A miner trained on a bounded sample (the rows of smallest hash, in order of row id)."""
-    drawn = rows.select("row_id", message).orderBy(F.xxhash64("row_id"), "row_id").limit(sample).orderBy("row_id").toPandas()
-    miner = TemplateMiner()
-    for text in drawn[message]:
-        miner.add(text or "")
-    return miner
+def train_templates(rows: DataFrame, *, message: str = "raw_message", parts: int = 32) -> TemplateMiner:
+    """A miner that has met every message: distinct ones are mined in parts, and the parts' templates merged.
+
+    Distinct messages are dealt by a hash, so the parts, and with them the
+    templates, don't depend on how the table lies.  Only templates reach the driver.
+    """
+    distinct = rows.select(F.coalesce(message, F.lit("")).alias("m")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        miner = TemplateMiner()
+        for part in batches:
+            for m in part["m"]:
+                miner.add(m)
+        yield pd.DataFrame({"t": miner.templates()})
+
+    found = distinct.repartition(parts, "m").sortWithinPartitions("m").mapInPandas(run, "t string").distinct().orderBy("t").toPandas()
+    merged = TemplateMiner()
+    for t in found["t"]:
+        merged.add(t)
+    return merged
 
 
 def assign_templates(rows: DataFrame, miner: TemplateMiner, *, message: str = "raw_message") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantile import exact_quantile
 from ..functions.timing import log_ratio, robust_z, scale
 from ..schema import SYSTEM_LOG, Profile
 
@@ -26,47 +27,9 @@ def node_baselines(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
 def pooled_baseline(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
     """One row (pooled_median, pooled_mad) over all gaps, or those above zero."""
     pool = gaps.where("gap_prev_s > 0") if profile.exclude_zero_from_pooled else gaps
-    middle = pool.agg(F.median("gap_prev_s").alias("pooled_median"))
-    return (
-        pool.select("gap_prev_s").crossJoin(F.broadcast(middle))
-        .agg(F.first("pooled_median").alias("pooled_median"), F.median(F.abs(F.col("gap_prev_s") - F.col("pooled_median"))).alias("pooled_mad"))
-    )
-
-
-def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, small: int = 100_000) -> float | None:
-    """Linear-interpolated quantile of any number of values, within bounded memory.
-
-    Counts per bin are combined before the shuffle; the bin that holds the wanted
-    rank is split again until few values are left.  Use it in place of
-    ``percentile``, whose state holds every distinct value in one task.
-    """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    first = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if not first["n"]:
-        return None
-    rank = q * (first["n"] - 1)
-    return _ranked(values, int(rank), first, bins, small) * (1 - rank % 1) + (
-        _ranked(values, int(rank) + 1, first, bins, small) * (rank % 1) if rank % 1 else 0.0
-    )
-
-
-def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> float:
-    """The k-th smallest value, from 0."""
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    below = 0
-    while n > small and lo < hi:
-        at = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
-        inside = values.where(F.col("v").between(lo, hi))
-        seen = below
-        for row in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
-            if seen + row["n"] > k:
-                below, n, lo, hi = seen, row["n"], row["lo"], row["hi"]
-                break
-            seen += row["n"]
-    if lo == hi:
-        return lo
-    left = values.where(F.col("v").between(lo, hi)).orderBy("v").limit(k - below + 1).agg(F.max("v")).first()
-    return left[0]
+    middle = exact_quantile(pool, "gap_prev_s", 0.5)
+    spread = None if middle is None else exact_quantile(pool.select(F.abs(F.col("gap_prev_s") - middle).alias("spread")), "spread", 0.5)
+    return gaps.sparkSession.createDataFrame([(middle, spread)], "pooled_median double, pooled_mad double")
 
 
 def with_baseline(rows: DataFrame, nodes: DataFrame, pooled: DataFrame) -> DataFrame:
@@ -95,8 +58,8 @@ def z_of(gap: str | Column, profile: Profile = SYSTEM_LOG) -> Column:
 
 
 def log_ratio_of(gap: str, profile: Profile = SYSTEM_LOG) -> Column:
-    """ln(gap / median) against the row's baseline, 0 for a missing gap."""
-    return log_ratio(F.col(gap), F.col("median"), profile.mad_floor_s)
+    """ln(gap / median) against the row's baseline, 0 for a missing gap; to twelve digits, so that equal gaps tie."""
+    return F.round(log_ratio(F.col(gap), F.col("median"), profile.mad_floor_s), 12)
 
 
 def scale_of(profile: Profile = SYSTEM_LOG) -> Column:

@@ -8,16 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantile import exact_quantile
 from ..schema import SYSTEM_LOG, Profile
+from ..sources.sinks import stage
 from .sequence import node_window
 
 
 def threshold(normal_scores: DataFrame, q: float = 0.95) -> DataFrame:
     """One row: linear quantile of ``score`` over normal training rows."""
-    return normal_scores.agg(F.percentile("score", F.lit(q)).alias("threshold"))
+    return normal_scores.sparkSession.createDataFrame([(exact_quantile(normal_scores, "score", q),)], "threshold double")
 
 
 def flag_above(scored: DataFrame, limit: DataFrame) -> DataFrame:
@@ -27,6 +29,7 @@ def flag_above(scored: DataFrame, limit: DataFrame) -> DataFrame:
 
 def fit_score(detector, train: DataFrame, rows: DataFrame, q: float = 0.95) -> DataFrame:
     """Fit on ``train``, score ``rows`` and flag those above the training quantile."""
+    train = stage(train, "training-rows")  # read by every step of a fit
     fitted = detector.fit(train)
     return flag_above(fitted.score(rows), threshold(fitted.score(train), q))
 
@@ -171,51 +174,49 @@ class IsolationForest:
         return self._matrix(rows).withColumn("score", isolation("_x")).drop("_x")
 
 
-def next_event_counts(train: DataFrame, order: int = 2) -> list[DataFrame]:
-    """Counts (ctx, template_id, cnt, total, kinds) of next events after contexts of length ``order`` down to 0.
+def next_event_counts(train: DataFrame, order: int = 10) -> DataFrame:
+    """(ctx, total, kinds, targets): next events after every context of up to ``order`` events, the empty one included.
 
-    Stands in for a recurrent next-event model behind the same contract: a score
-    -log p(target) and a top-k test.
+    ``targets`` has the count and rank of each next event.  Stands in for a recurrent
+    next-event model behind the same contract: a score -log p(target) and a top-k test.
     """
-    w = node_window()
-    rows = train.select("template_id", *[F.lag("template_id", k).over(w).alias(f"_l{k}") for k in range(1, order + 1)])
-    out = []
-    for n in range(order, -1, -1):
-        key = F.array(*[F.col(f"_l{k}") for k in range(n, 0, -1)]).cast("array<int>") if n else F.array().cast("array<int>")
-        whole = rows.where(" and ".join(f"_l{k} is not null" for k in range(1, n + 1)) or "true")
-        counts = whole.groupBy(key.alias("ctx"), "template_id").agg(F.count("*").alias("cnt"))
-        of = Window.partitionBy("ctx")
-        out.append(counts.withColumns({"total": F.sum("cnt").over(of), "kinds": F.count("*").over(of), "rank": F.rank().over(of.orderBy(F.desc("cnt"), "template_id"))}))
-    return out
+    rows = train.select("template_id", _before(order)).select("template_id", F.explode(_contexts()).alias("ctx"))
+    counts = rows.groupBy("ctx", "template_id").agg(F.count("*").alias("cnt"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("less"), F.col("template_id").alias("target"))))
+    of = counts.groupBy("ctx").agg(F.sum("cnt").alias("total"), F.count("*").alias("kinds"), best.alias("best"))
+    ranked = F.transform("best", lambda x, i: F.struct(x["target"].alias("target"), (-x["less"]).alias("cnt"), (i + 1).alias("rank")))
+    return of.select("ctx", "total", "kinds", ranked.alias("targets"))
 
 
-def next_event_scores(encoded: DataFrame, counts: list[DataFrame], n_templates: int, *, history: int = 10, top_k: int = 9, alpha: float = 1.0) -> DataFrame:
-    """(row_id, score, flag): -log p of each event given those before it, and whether it is outside the top k.
+def _before(order: int):
+    """``ids``: those of up to ``order`` events before an event."""
+    return F.collect_list("template_id").over(node_window().rowsBetween(-order, -1)).alias("ids")
+
+
+def _contexts():
+    """The contexts in ``ids``, longest first, each as an array."""
+    return F.transform(F.sequence(F.size("ids"), F.lit(0)), lambda n: F.slice("ids", F.size("ids") - n + 1, n))
+
+
+def next_event_scores(encoded: DataFrame, counts: DataFrame, n_templates: int, *, order: int = 10, history: int = 10, top_k: int = 9, alpha: float = 1.0) -> DataFrame:
+    """(row_id, node, score, flag): -log p of each event given those before it, and whether it is outside the top k.
 
     The longest context seen in training decides; counts are smoothed by ``alpha``.
-    Events with fewer than ``history`` predecessors score 0 and aren't flagged.
+    Events with fewer than ``history`` predecessors score 0 and aren't flagged.  The
+    empty context, which every event has, is one row and joined apart.
     """
-    w = node_window()
-    order = len(counts) - 1
-    rows = encoded.select(
-        "row_id", "node", "template_id", (F.row_number().over(w) - 1).alias("_before"), *[F.lag("template_id", k).over(w).alias(f"_l{k}") for k in range(1, order + 1)]
-    )
-    logp, rank = F.lit(None).cast("double"), F.lit(None).cast("long")
-    for n, table in zip(range(order, -1, -1), counts):
-        key = F.array(*[F.col(f"_l{k}") for k in range(n, 0, -1)]).cast("array<int>") if n else F.array().cast("array<int>")
-        totals = table.groupBy("ctx").agg(F.max("total").alias(f"_t{n}"), F.max("kinds").alias(f"_kinds{n}"))
-        hits = table.select("ctx", F.col("template_id").alias("_target"), F.col("cnt").alias(f"_c{n}"), F.col("rank").alias(f"_r{n}"))
-        rows = rows.withColumn("_ctx", key)
-        rows = rows.join(totals.withColumnRenamed("ctx", "_of"), F.col("_ctx") == F.col("_of"), "left").drop("_of")
-        rows = rows.join(hits, (F.col("_ctx") == F.col("ctx")) & (F.col("template_id") == F.col("_target")), "left").drop("ctx", "_target", "_ctx")
-        p = (F.coalesce(f"_c{n}", F.lit(0)) + alpha) / (F.col(f"_t{n}") + alpha * (n_templates + 1))
-        logp = F.coalesce(logp, F.when(F.col(f"_t{n}").isNotNull(), F.log(p)))
-        place = F.coalesce(F.col(f"_r{n}").cast("long"), F.col(f"_kinds{n}") + 1)
-        rank = F.coalesce(rank, F.when(F.col(f"_t{n}").isNotNull(), place))
-    k = min(top_k, n_templates + 1)
-    full = F.col("_before") >= history
-    return rows.select(
-        "row_id", "node", F.when(full, -logp).otherwise(F.lit(0.0)).alias("score"), F.coalesce(full & (rank > k), F.lit(False)).alias("flag")
+    rows = encoded.select("row_id", "node", "template_id", (F.row_number().over(node_window()) - 1).alias("before"), _before(order))
+    asked = rows.where(F.col("before") >= history).select("row_id", "template_id", F.explode(_contexts()).alias("ctx")).where(F.size("ctx") > 0)
+    hit = lambda: F.get(F.filter("targets", lambda t: t["target"] == F.col("template_id")), F.lit(0))
+    row = lambda size: F.struct(size.alias("size"), "total", "kinds", hit().alias("hit"))
+    met = asked.join(counts.where(F.size("ctx") > 0), "ctx").groupBy("row_id").agg(F.max_by(row(F.size("ctx")), F.size("ctx")).alias("seen"))
+    empty = F.broadcast(counts.where(F.size("ctx") == 0).select("total", "kinds", "targets"))
+    scored = rows.select("row_id", "node", "template_id", "before").join(met, "row_id", "left").crossJoin(empty).withColumn("seen", F.coalesce("seen", row(F.lit(0))))
+    p = (F.coalesce("seen.hit.cnt", F.lit(0)) + alpha) / (F.col("seen.total") + alpha * (n_templates + 1))
+    rank = F.coalesce(F.col("seen.hit.rank").cast("long"), F.col("seen.kinds") + 1)
+    full = F.col("before") >= history
+    return scored.select(
+        "row_id", "node", F.when(full, -F.log(p)).otherwise(F.lit(0.0)).alias("score"), F.coalesce(full & (rank > min(top_k, n_templates + 1)), F.lit(False)).alias("flag")
     )
 
 

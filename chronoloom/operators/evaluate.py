@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import ratio_or_null, ratio_or_zero
 from ..schema import SYSTEM_LOG, Profile
+from ..sources.sinks import stage
 from .windows import CELL, by_time
 
 
@@ -68,16 +69,26 @@ def chance_rate(detected: DataFrame, flagged_fraction: DataFrame) -> DataFrame:
 
 
 def score_table(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(score, pos, neg) by distinct score, with the counts below it and the totals."""
+    """(score, pos, neg) by distinct score, with the counts below it and the totals.
+
+    Scores are dealt by range, and a task's part of a group is summed first, so no
+    task has to sort all distinct scores.
+    """
     by = by or []
     table = cells.groupBy(*by, "score").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
-    up, whole = Window.partitionBy(*by).orderBy("score"), Window.partitionBy(*by)
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    return table.withColumns(
-        {
-            "neg_below": F.sum("neg").over(up) - F.col("neg"), "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down),
-            "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole),
-        }
+    table = stage(table.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score").withColumn("_part", F.spark_partition_id()), "scores")
+    parts = table.groupBy(*by, "_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    offsets = parts.select(
+        *by, "_part", F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_pos_before"), F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_neg_before"),
+        F.sum("_pos").over(whole).alias("n_pos"), F.sum("_neg").over(whole).alias("n_neg"),
+    )
+    up = Window.partitionBy(*by, "_part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    rows = table.withColumns({"_pos_up": F.sum("pos").over(up), "_neg_up": F.sum("neg").over(up)}).join(F.broadcast(offsets), [*by, "_part"])
+    return rows.select(
+        *by, "score", "pos", "neg", (c("_neg_up") - c("neg") + c("_neg_before")).alias("neg_below"),
+        (c("n_pos") - c("_pos_up") - c("_pos_before") + c("pos")).alias("tp"), (c("n_neg") - c("_neg_up") - c("_neg_before") + c("neg")).alias("fp"), "n_pos", "n_neg",
     )
 
 
@@ -130,7 +141,9 @@ def bootstrap_ci(cells: DataFrame, labelled: DataFrame, n_injections: int, *, re
     ranks = score_table(cells).where("pos > 0").select("score", ((F.col("neg_below") + 0.5 * F.col("neg")) / F.col("n_neg")).alias("rank"))
     positives = cells.where("truth").join(ranks, "score").join(owner, CELL)
     each = positives.groupBy("injection_id").agg(F.count("*").alias("k"), F.sum("rank").alias("ranks"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.lit(n_injections)).cast("int")
+    # the first eight digits of an md5, which other engines have too
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))
+    draw = (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n_injections).cast("int")
     drawn = (
         spark.range(replicates).withColumnRenamed("id", "rep").crossJoin(spark.range(n_injections).withColumnRenamed("id", "i"))
         .select("rep", draw.alias("injection_id")).groupBy("rep", "injection_id").agg(F.count("*").alias("mult"))
@@ -181,11 +194,40 @@ def labelling_diagnostic(labelled: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def consolidate(results: list[DataFrame], aucs: DataFrame, keys: list[str]) -> DataFrame:
-    """Result rows united, the first of each key kept, with their AUC columns; fails if a key has none."""
+    """Result rows united, the first of each key kept, with their AUC columns; fails if a key has none or several."""
     rows = reduce(DataFrame.unionByName, [r.withColumn("_order", F.lit(i)) for i, r in enumerate(results)])
     first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))).where("_rank = 1").drop("_rank", "_order")
-    met = first.join(aucs.withColumn("_found", F.lit(True)), keys, "left")
-    return met.where(F.assert_true(F.col("_found").isNotNull(), "a result has no AUC").isNull()).drop("_found")
+    met = stage(first.join(aucs.withColumn("_found", F.lit(1)), keys, "left"), "consolidated")
+    per_key = met.groupBy(*keys).agg(F.count("_found").alias("n")).where("n <> 1")
+    if odd := per_key.limit(5).collect():  # result tables are small
+        raise ValueError(f"results without exactly one AUC row: {odd}")
+    return met.drop("_found")
+
+
+def display_table(results: DataFrame, labels: dict[str, str], column: str = "detector") -> DataFrame:
+    """Results with the label to show and its place in the order of ``labels``; ``flagged_frac`` is the base rate."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    places = F.create_map(*[F.lit(x) for k, name in enumerate(labels) for x in (name, k)])
+    return results.withColumns({f"{column}_label": names[F.col(column)], f"{column}_order": places[F.col(column)]}).withColumnRenamed("flagged_frac", "base_rate")
+
+
+def side_by_side(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Two result tables by key, each column as ``old_`` and ``new_``, and whether they agree."""
+    left = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in columns])
+    right = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in columns])
+    return left.join(right, keys).withColumn("same", same)
+
+
+def cross_check(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row: keys on both sides, keys on one alone, keys met more than once, and the largest difference of ``value``."""
+    left = a.select(*keys, F.col(value).alias("_a"), F.lit(1).alias("_in_a"))
+    met = left.join(b.select(*keys, F.col(value).alias("_b"), F.lit(1).alias("_in_b")), keys, "full")
+    both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    one = met.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(both).alias("both"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("diff"))
+    return one.agg(
+        F.count_if("both").alias("n_both"), F.count_if(~F.col("both")).alias("n_one_side"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.max("diff").alias("max_abs_diff")
+    )
 
 
 def conflicting_duplicates(results: DataFrame, keys: list[str]) -> DataFrame:

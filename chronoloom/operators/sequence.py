@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantile import exact_quantile
 from ..functions.timing import seconds_between
 
 CONTEXT = ["prev_template", "next_template", "prev_anomaly", "gap_prev_s", "gap_next_s"]
@@ -43,7 +44,8 @@ def normal_transition() -> Column:
 
 def split_cutoff(events: DataFrame, fraction: float) -> DataFrame:
     """One row: the instant (microseconds) at the linear quantile of time."""
-    return events.agg(F.percentile(F.unix_micros("timestamp"), F.lit(fraction)).alias("cutoff_us"))
+    at = exact_quantile(events.select(F.unix_micros("timestamp").alias("us")), "us", fraction)
+    return events.sparkSession.createDataFrame([(at,)], "cutoff_us double")
 
 
 def chronological_split(events: DataFrame, fraction: float = 0.7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +77,15 @@ def term_counts(windowed: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def count_vectors(windowed: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """(node, window_idx, n_events, label, counts): sparse vectors; a window of unknown templates is all zero."""
-    terms = term_counts(windowed, vocab).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("terms"))
-    make = F.udf(lambda t: SparseVector(size, [(x[0], float(x[1])) for x in (t or [])]), VectorUDT())
-    return roll_up_positions(windowed).join(terms, CELL, "left").select(*CELL, "n_events", "label", make("terms").alias("counts"))
+    """(node, window_idx, n_events, label, counts): count vectors; a window of unknown templates is all zero."""
+    terms = term_counts(windowed, vocab).groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("term_id", "cnt"))).alias("terms"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("terms", i), F.lit(0)).cast("double"))
+    return roll_up_positions(windowed).join(terms, CELL, "left").select(*CELL, "n_events", "label", array_to_vector(counts).alias("counts"))
+
+
+def back_to_rows(windowed: DataFrame, scored: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``windowed`` with what their window got; its own window column is dropped, so that others can be assigned."""
+    return windowed.join(scored.select(*CELL, *columns), CELL).drop("window_idx")
 
 
 def coverage(train: DataFrame, test_windowed: DataFrame, vocab: DataFrame) -> DataFrame:

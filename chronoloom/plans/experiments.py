@@ -6,13 +6,17 @@ are small next to it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timing import cell_index, seconds_between
+
 from ..operators import audit, baseline, detect, evaluate, features, inject, sequence, windows
 from ..schema import SPARSE, Profile
+from ..sources.sinks import stage
 
 
 def normal_gaps(context: DataFrame, profile: Profile = SPARSE) -> tuple[DataFrame, DataFrame]:
@@ -40,39 +44,127 @@ def audited(context: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     return audit.timing_gap(baseline.with_baseline(rows, nodes, pooled), profile)
 
 
-def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int | None = None, planner=inject.plan_by_hash) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(injected events, labels, labelled cells) of one fault type."""
-    context = sequence.add_sequence_context(events)
-    nodes, pooled = normal_gaps(context, profile)
-    plan = planner(context, nodes, pooled, kind, profile, seed)
+@dataclass(frozen=True)
+class Clean:
+    """The clean table's parts that every run needs, each worked out once and written."""
+
+    events: DataFrame
+    profile: Profile
+    context: DataFrame
+    nodes: DataFrame
+    pooled: DataFrame
+    train_nodes: DataFrame
+    train_pooled: DataFrame
+    limit: DataFrame
+
+    @classmethod
+    def of(cls, events: DataFrame, profile: Profile = SPARSE) -> Clean:
+        """Context, baselines of all and of the training period's normal transitions, and the log ratio's limit."""
+        context = stage(sequence.add_sequence_context(events), "context")
+        nodes, pooled = normal_gaps(context, profile)
+        train = training_period(context, profile).where(sequence.normal_transition())
+        train_nodes, train_pooled = stage(baseline.node_baselines(train, profile), "baselines"), baseline.pooled_baseline(train, profile)
+        ratio = baseline.with_baseline(train, train_nodes, train_pooled).withColumn("log_ratio", baseline.log_ratio_of("gap_prev_s", profile))
+        limit = detect.threshold(detect.LogRatio().score(ratio), profile.threshold_quantile)
+        return cls(events, profile, context, stage(nodes, "baselines"), pooled, train_nodes, train_pooled, limit)
+
+
+def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int | None = None, planner=inject.plan_by_hash, clean: Clean | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(injected events, labels, labelled cells) of one fault type; moved events and labels are written once."""
+    if clean is None:
+        context = stage(sequence.add_sequence_context(events), "context")
+        nodes, pooled = normal_gaps(context, profile)
+    else:
+        context, nodes, pooled = clean.context, clean.nodes, clean.pooled
+    plan = stage(planner(context, nodes, pooled, kind, profile, seed), "plan")
     if kind == "stall":
-        plan = inject.stall_plan_scaled(plan, nodes, pooled, profile)
-        moved = inject.apply_stalls(events, plan, profile)
-        labels = inject.stall_labels(events, moved, plan)
+        plan = stage(inject.stall_plan_scaled(plan, nodes, pooled, profile), "plan")
+        moved = stage(inject.apply_stalls(events, plan, profile), "moved")
+        labels = stage(inject.stall_labels(events, moved, plan), "labels")
     else:
-        moved = inject.apply_bursts(events, plan, profile)
-        labels = inject.burst_labels(events, moved, plan)
+        moved = stage(inject.apply_bursts(events, plan, profile), "moved")
+        labels = stage(inject.burst_labels(events, moved, plan), "labels")
     return moved, labels, inject.grid_labels(labels, moved, profile.grid_s)
 
 
-def timing_cells(events: DataFrame, moved: DataFrame, labelled: DataFrame, profile: Profile = SPARSE) -> DataFrame:
-    """Cells of injected data: truth, and score and flag of the z (``z``, ``fz``) and log-ratio (``r``, ``fr``) detectors.
+def timing_rows(clean: Clean, moved: DataFrame) -> DataFrame:
+    """Rows of injected data with score and flag of the z (``z``, ``fz``) and log-ratio (``r``, ``fr``) detectors.
 
     Both are fitted on the normal transitions of the clean training period.
     """
-    train = training_period(sequence.add_sequence_context(events), profile).where(sequence.normal_transition())
-    nodes, pooled = baseline.node_baselines(train, profile), baseline.pooled_baseline(train, profile)
-    columns = {"z_score": F.coalesce(baseline.z_of("gap_prev_s", profile), F.lit(0.0)), "log_ratio": baseline.log_ratio_of("gap_prev_s", profile)}
-    limit = detect.threshold(detect.LogRatio().score(baseline.with_baseline(train, nodes, pooled).withColumns(columns)), profile.threshold_quantile)
-    rows = baseline.with_baseline(sequence.add_sequence_context(moved), nodes, pooled).withColumns(columns)
-    rows = evaluate.eval_grid(rows, profile).crossJoin(F.broadcast(limit))
-    z, r = F.abs("z_score"), F.abs("log_ratio")
-    by_cell = rows.groupBy(*windows.CELL).agg(
-        F.max(z).alias("z"), F.bool_or(z > profile.z_limit).alias("fz"), F.max(r).alias("r"), F.bool_or(r > F.col("threshold")).alias("fr")
-    )
+    rows = baseline.with_baseline(sequence.add_sequence_context(moved), clean.train_nodes, clean.train_pooled).crossJoin(F.broadcast(clean.limit))
+    z, r = F.abs(F.coalesce(baseline.z_of("gap_prev_s", clean.profile), F.lit(0.0))), F.abs(baseline.log_ratio_of("gap_prev_s", clean.profile))
+    return rows.select(*[c for c in moved.columns], z.alias("z"), (z > clean.profile.z_limit).alias("fz"), r.alias("r"), (r > F.col("threshold")).alias("fr"))
+
+
+def timing_cells(clean: Clean, moved: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Cells of injected data with truth and both timing detectors' scores and flags."""
+    rows = evaluate.eval_grid(timing_rows(clean, moved), clean.profile)
+    by_cell = rows.groupBy(*windows.CELL).agg(F.max("z").alias("z"), F.bool_or("fz").alias("fz"), F.max("r").alias("r"), F.bool_or("fr").alias("fr"))
     return evaluate.with_cell_truth(by_cell, labelled)
 
 
+#: Count detectors, by the name under which they report.
+COUNT_DETECTORS = ("count_vector_pca", "isolation_forest_counts")
+
+
+def count_detector(name: str, profile: Profile = SPARSE):
+    """A new count detector."""
+    return detect.CountPCA(profile.pca_components) if name == "count_vector_pca" else detect.IsolationForest("counts", profile.trees)
+
+
+def count_rows(clean: Clean, moved: DataFrame, names: tuple[str, ...] = COUNT_DETECTORS) -> DataFrame:
+    """(detector, row_id, node, timestamp, score, flag): count detectors fitted on the clean training period, scored on all injected rows.
+
+    Windows of ``window_events`` events give the scores, which go back to their rows.
+    """
+    profile = clean.profile
+    train = windows.by_count(training_period(clean.context, profile), profile.window_events)
+    vocab = stage(windows.vocabulary(train, profile.vocabulary), "vocabulary")
+    fit_on = stage(windows.count_vectors(train, vocab, profile.vocabulary).where("not label"), "train-vectors")
+    windowed = windows.by_count(moved, profile.window_events)
+    vectors = stage(windows.count_vectors(windowed, vocab, profile.vocabulary), "vectors")
+    out = []
+    for name in names:
+        scored = detect.fit_score(count_detector(name, profile), fit_on, vectors, profile.threshold_quantile)
+        out.append(windows.back_to_rows(windowed, scored, "score", "flag").select(F.lit(name).alias("detector"), "row_id", "node", "timestamp", "score", "flag"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def all_rows(clean: Clean, moved: DataFrame) -> DataFrame:
+    """(detector, row_id, node, timestamp, score, flag) of all four detectors."""
+    rows = timing_rows(clean, moved)
+    one = lambda name, score, flag: rows.select(F.lit(name).alias("detector"), "row_id", "node", "timestamp", F.col(score).alias("score"), F.col(flag).alias("flag"))
+    timing = one("z_score_threshold", "z", "fz").unionByName(one("log_ratio_threshold", "r", "fr"))
+    return timing.unionByName(count_rows(clean, moved))
+
+
+def all_cells(clean: Clean, kind: str, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(detector, node, window_idx, truth, score, flag) of all four detectors on one fault, written; and the labelled cells."""
+    moved, _, labelled = injected(clean.events, kind, clean.profile, seed, clean=clean)
+    labelled = stage(labelled, "labelled")
+    origin = moved.groupBy("node").agg(F.min("timestamp").alias("_origin"))
+    at = cell_index(seconds_between(F.col("_origin"), F.col("timestamp")), F.lit(float(clean.profile.grid_s)))
+    gridded = all_rows(clean, moved).join(origin, "node").withColumn("window_idx", at)
+    cells = gridded.groupBy("detector", *windows.CELL).agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.bool_or(F.coalesce("flag", F.lit(False))).alias("flag"))
+    return stage(evaluate.with_cell_truth(cells, labelled), "cells"), labelled
+
+
+def result_rows(cells: DataFrame, labelled: DataFrame) -> DataFrame:
+    """A row a detector: confusion figures, lift, detection rate with what chance would give, and both AUCs."""
+    figures = evaluate.confusion(cells, by=["detector"])
+    met = labelled.join(cells.select("detector", *windows.CELL, "flag"), windows.CELL, "left")
+    detectors = figures.select("detector")
+    # a labelled cell without events has no row of any detector: it counts as not flagged
+    grid = labelled.crossJoin(F.broadcast(detectors)).join(met.select("detector", "injection_id", *windows.CELL, "flag"), ["detector", "injection_id", *windows.CELL], "left")
+    found = grid.groupBy("detector", "injection_id").agg(F.coalesce(F.bool_or("flag"), F.lit(False)).alias("detected"), F.count("flag").alias("n_populated"))
+    chance = F.when(F.col("n_populated") > 0, 1 - F.pow(1 - F.col("flagged_frac"), F.col("n_populated"))).otherwise(F.lit(0.0))
+    rates = found.join(figures.select("detector", "flagged_frac"), "detector").groupBy("detector").agg(
+        F.count_if("detected").alias("n_detected"), F.count("*").alias("n_injections"), F.avg(F.col("detected").cast("double")).alias("detection_rate"), F.avg(chance).alias("expected_by_chance")
+    )
+    return figures.join(rates, "detector").join(evaluate.auc(cells, ["detector"]), "detector")
+
+
 def by_detector(cells: DataFrame) -> DataFrame:
     """The cells of both timing detectors in long form: detector, score, flag, truth."""
     z = cells.select(*windows.CELL, "truth", F.lit("z_score_threshold").alias("detector"), F.col("z").alias("score"), F.col("fz").alias("flag"))
@@ -105,24 +197,74 @@ def timing_forest(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     return detect.fit_score(forest, rows.where("is_train").where(sequence.normal_transition()), rows.where("not is_train"), profile.threshold_quantile)
 
 
-def multi_seed(events: DataFrame, kind: str, seeds: tuple[int, ...], profile: Profile = SPARSE) -> DataFrame:
-    """(seed, detector, auc_roc, ...) of a fault type over several plans."""
-    runs = []
-    for seed in seeds:
-        moved, _, labelled = injected(events, kind, profile, seed)
-        runs.append(evaluate.auc(by_detector(timing_cells(events, moved, labelled, profile)), ["detector"]).withColumn("seed", F.lit(seed)))
-    return reduce(DataFrame.unionByName, runs)
+def timing_forest_on(clean: Clean, moved: DataFrame) -> DataFrame:
+    """Injected rows with timing features, score and flag of the isolation forest fitted on the clean training period."""
+    build = lambda rows: features.build_features(rows, clean.train_nodes, clean.train_pooled, clean.profile)
+    train = build(clean.context).join(F.broadcast(sequence.split_cutoff(clean.context, clean.profile.train_fraction)), how="cross")
+    train = train.where(F.unix_micros("timestamp") <= F.col("cutoff_us")).where(sequence.normal_transition())
+    forest = detect.IsolationForest(features.FEATURES, clean.profile.trees)
+    return detect.fit_score(forest, train, build(sequence.add_sequence_context(moved)), clean.profile.threshold_quantile)
 
 
-def window_sweep(events: DataFrame, moved: DataFrame, labels: DataFrame, schemes: list[tuple[str, float]], profile: Profile = SPARSE) -> DataFrame:
-    """Confusion figures of the z detector for each window scheme; a window is true if any of its rows lies in a span."""
-    context = sequence.add_sequence_context(moved)
-    nodes, pooled = normal_gaps(sequence.add_sequence_context(events), profile)
-    rows = baseline.with_baseline(inject.in_span(context, labels), nodes, pooled)
-    z = F.abs(F.coalesce(baseline.z_of("gap_prev_s", profile), F.lit(0.0)))
-    rows = rows.select("row_id", "node", "timestamp", "anomaly", F.col("in_span").alias("truth"), z.alias("score"), (z > profile.z_limit).alias("flag"))
+def rescored(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
+    """(detector, unit, confusion figures): three detectors' test-period flags in windows or rows of their own, and on the common grid."""
+    split = sequence.chronological_split(events, profile.train_fraction)
+    test = stage(split.where("not is_train").drop("is_train", "cutoff_us"), "test")
+    grid = evaluate.eval_grid(test, profile).select("row_id", *windows.CELL, "anomaly")
+    native, common = [], []
+    for name in COUNT_DETECTORS:
+        scored = stage(count_detector_windows(events, count_detector(name, profile), profile=profile).select(*windows.CELL, "label", "flag"), "flags")
+        native.append(evaluate.confusion(scored, truth="label").withColumns({"detector": F.lit(name), "unit": F.lit("window")}))
+        common.append((name, windows.back_to_rows(windows.by_count(test, profile.window_events), scored, "flag").select("row_id", "flag")))
+    forest = stage(timing_forest(events, profile).select("row_id", "anomaly", "flag"), "flags")
+    native.append(evaluate.confusion(forest, truth="anomaly").withColumns({"detector": F.lit("timing_isolation_forest"), "unit": F.lit("row")}))
+    common.append(("timing_isolation_forest", forest.select("row_id", "flag")))
+    for name, flags in common:
+        cells = evaluate.to_cells(grid.join(flags, "row_id", "left"), truth="anomaly", flag="flag")
+        native.append(evaluate.confusion(cells).withColumns({"detector": F.lit(name), "unit": F.lit("grid")}))
+    return reduce(DataFrame.unionByName, native)
+
+
+def multi_seed(events: DataFrame, kinds: tuple[str, ...], seeds: tuple[int, ...], profile: Profile = SPARSE) -> DataFrame:
+    """(fault_type, seed, detector, auc_roc, ...) of the timing detectors over several plans; the clean table's parts are made once."""
+    clean, runs = Clean.of(events, profile), []
+    for kind in kinds:
+        for seed in seeds:
+            moved, _, labelled = injected(events, kind, profile, seed, clean=clean)
+            cells = by_detector(timing_cells(clean, moved, labelled))
+            runs.append(cells.withColumns({"fault_type": F.lit(kind), "seed": F.lit(seed)}))
+    return evaluate.auc(reduce(DataFrame.unionByName, runs), ["fault_type", "seed", "detector"])
+
+
+#: Window schemes of the sweep.
+SCHEMES = (("fixed_count", 5), ("fixed_count", 10), ("fixed_count", 20), ("fixed_time", 43_200), ("fixed_time", 86_400), ("fixed_time", 172_800))
+
+
+def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), schemes=SCHEMES, *, all_detectors: bool = False) -> DataFrame:
+    """Confusion figures, lift and AUC for each fault, window scheme and detector; a window is true if any of its rows lies in a span."""
     out = []
-    for scheme, size in schemes:
-        cells = evaluate.to_cells(windows.assign(rows, scheme, size), truth="truth", flag="flag", score="score")
-        out.append(evaluate.confusion(cells).withColumns({"scheme": F.lit(scheme), "size": F.lit(int(size))}))
-    return reduce(DataFrame.unionByName, out)
+    for kind in kinds:
+        moved, labels, _ = injected(clean.events, kind, clean.profile, clean=clean)
+        spans = inject.in_span(moved, labels, "truth").select("row_id", "node", "timestamp", "truth")
+        if all_detectors:
+            rows = all_rows(clean, moved)
+        else:
+            t = timing_rows(clean, moved)
+            one = lambda name, score, flag: t.select(F.lit(name).alias("detector"), "row_id", F.col(score).alias("score"), F.col(flag).alias("flag"))  # noqa: B023, E731
+            rows = one("z_score_threshold", "z", "fz").unionByName(one("log_ratio_threshold", "r", "fr"))
+        rows = stage(rows.select("detector", "row_id", "score", "flag"), "sweep-rows")
+        for scheme, size in schemes:
+            met = rows.join(windows.assign(spans, scheme, size), "row_id")
+            cells = met.groupBy("detector", *windows.CELL).agg(F.bool_or("truth").alias("truth"), F.bool_or("flag").alias("flag"), F.max("score").alias("score"))
+            out.append(cells.withColumns({"fault_type": F.lit(kind), "scheme": F.lit(scheme), "size": F.lit(int(size))}))
+    cells, by = stage(reduce(DataFrame.unionByName, out), "sweep-cells"), ["fault_type", "scheme", "size", "detector"]
+    return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
+
+
+def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE) -> DataFrame:
+    """``scored`` with score and flag of the next-event detector learned from normal training events of ``events``."""
+    normal = sequence.chronological_split(events, profile.train_fraction).where("is_train and not anomaly")
+    vocab = stage(windows.sorted_vocabulary(normal), "vocabulary")
+    counts = stage(detect.next_event_counts(windows.encode(normal, vocab), order), "contexts")
+    scores = detect.next_event_scores(windows.encode(scored, vocab), counts, vocab.count(), order=order)
+    return scored.join(scores.drop("node"), "row_id")

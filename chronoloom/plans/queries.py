@@ -12,6 +12,7 @@ from ..operators import audit, baseline, detect, evaluate, features, inject, seq
 from ..schema import SPARSE
 from ..sources import events as ev
 from ..sources import logs
+from ..sources.sinks import stage
 from . import experiments as ex
 from . import sql as q
 
@@ -404,13 +405,15 @@ def ordering_check(e):
     return one("stall").unionByName(one("burst"))
 
 
-@query(f"""WITH {q.BASE}, {q.STALL}, {q.context('ictx', '(SELECT row_id, us, node, anomaly, event_template, injected_row FROM sti)')}, {q.scored('iz', 'ictx')}
-SELECT count(*) AS n_injected, round(avg((coalesce(abs((gap_prev_s - median) / scale) > 3.0, false) OR coalesce(abs((gap_next_s - median) / scale) > 3.0, false))::INT), 6) AS timing_rate FROM iz WHERE injected_row""")
+@query(f"""WITH {q.BASE}, {q.STALL}, {q.context('ictx', '(SELECT row_id, us, node, anomaly, event_template, injected_row FROM sti)')}, {q.scored('iz', 'ictx')},
+{_RARE.replace("FROM z c", "FROM iz c").replace("FROM ev WHERE", "FROM ictx WHERE")}, {_ORDER.replace("FROM ctx WHERE", "FROM ictx WHERE")}
+SELECT count(*) AS n_injected, round(avg(coalesce(new_or_rare, false)::INT), 6) AS template_rate, round(avg(coalesce(pure_order, false)::INT), 6) AS order_rate, round(avg(coalesce(timing_gap, false)::INT), 6) AS timing_rate
+FROM au WHERE injected_row""")
 def instrument_validation(e):
     nodes, pooled = ex.normal_gaps(context(e))
-    moved = context(ex.injected(e, "stall")[0])
+    moved = stage(context(ex.injected(e, "stall")[0]), "moved-context")
     rows = audit.timing_gap(baseline.with_baseline(audit.pure_order(audit.template_rarity(moved, SPARSE)), nodes, pooled), SPARSE)
-    return rounded(audit.instrument_rates(rows).select("n_injected", "timing_rate"))
+    return rounded(audit.instrument_rates(rows))
 
 
 @query(f"""WITH {q.BASE}, {q.STALL}, {q.cells('g', 'sti')}, l AS (SELECT DISTINCT node, window_idx FROM stg), p AS (SELECT DISTINCT node, window_idx FROM g)
@@ -425,8 +428,9 @@ def labeling_diagnostic(e):
 
 
 def cells_of(e: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    moved, _, labelled = ex.injected(e, kind)
-    return ex.timing_cells(e, moved, labelled), labelled
+    clean = ex.Clean.of(e)
+    moved, _, labelled = ex.injected(e, kind, clean=clean)
+    return stage(ex.timing_cells(clean, moved, labelled), "cells"), labelled
 
 
 _LONG = "SELECT 'z_score_threshold' AS detector, node, window_idx, z AS score, fz AS flag, truth FROM {0}_c UNION ALL SELECT 'log_ratio_threshold', node, window_idx, r, fr, truth FROM {0}_c"
@@ -492,18 +496,21 @@ _SIZES = (43_200, 86_400, 172_800)
 
 
 def grid_results(e: DataFrame) -> DataFrame:
-    rows = ex.scored_timing(context(e))
+    rows = stage(ex.scored_timing(context(e)), "scored")
+    train = ex.training_period(rows).where(sequence.normal_transition())
+    rows = rows.crossJoin(F.broadcast(detect.threshold(detect.LogRatio().score(train))))
     out = None
     for size in _SIZES:
-        g = windows.by_time(rows.withColumns({"fz": F.abs("z_score") > 3.0, "fr": F.abs("log_ratio") > 1.5}), size)
+        g = windows.by_time(rows.withColumns({"fz": F.abs("z_score") > 3.0, "fr": F.abs("log_ratio") > F.col("threshold")}), size)
         for d in ("fz", "fr"):
             one = evaluate.confusion(evaluate.to_cells(g, truth="anomaly", flag=d)).select(F.lit(size).alias("grid_size_s"), F.lit(d).alias("detector"), *CONFUSION)
             out = one if out is None else out.unionByName(one)
     return rounded(out)
 
 
-_GRIDS = ",\n".join(f"{q.cells(f'g{s}', 'z', s)}, c{s} AS (SELECT node, window_idx, bool_or(anomaly) AS truth, bool_or(abs(z_score) > 3.0) AS fz, bool_or(abs(log_ratio) > 1.5) AS fr FROM g{s} GROUP BY node, window_idx)" for s in _SIZES)
-_GRID_RESULTS = f"{q.BASE}, {_GRIDS}, gr AS (" + " UNION ALL ".join(q.confusion(f"c{s}", "truth", d, f"{s} AS grid_size_s, '{d}' AS detector,") for s in _SIZES for d in ("fz", "fr")) + ")"
+_GRIDS = ",\n".join(f"{q.cells(f'g{s}', 'z', s)}, c{s} AS (SELECT node, window_idx, bool_or(anomaly) AS truth, bool_or(abs(z_score) > 3.0) AS fz, bool_or(abs(log_ratio) > threshold) AS fr FROM g{s}, lim GROUP BY node, window_idx)" for s in _SIZES)
+_LIMIT = f"cut AS (SELECT quantile_cont(us, 0.7) AS cutoff_us FROM ev), lim AS (SELECT quantile_cont(abs(log_ratio), 0.95) AS threshold FROM z, cut WHERE us <= cut.cutoff_us AND {_NORMAL})"
+_GRID_RESULTS = f"{q.BASE}, {_LIMIT}, {_GRIDS}, gr AS (" + " UNION ALL ".join(q.confusion(f"c{s}", "truth", d, f"{s} AS grid_size_s, '{d}' AS detector,") for s in _SIZES for d in ("fz", "fr")) + ")"
 
 
 @query(f"WITH {_GRID_RESULTS} SELECT * FROM gr")
@@ -521,29 +528,6 @@ def f1_swing(e):
     return rounded(evaluate.f1_swing(grid_results(e)))
 
 
-@query(f"""WITH {_GRID_RESULTS} SELECT detector, round(avg(f1), 6) AS mean, round(coalesce(stddev_samp(f1), 0.0), 6) AS std, count(f1) AS n_seeds, min(f1) AS min, max(f1) AS max, min(f1) < 0.5 AND max(f1) > 0.5 AS crosses_chance
-FROM gr GROUP BY detector""")
-def multiseed_summary(e):
-    return rounded(evaluate.seed_summary(grid_results(e), ["detector"], "f1"))
-
-
-@query(f"WITH {_GRID_RESULTS}, a AS (SELECT detector, grid_size_s, n_cells AS n_eval_cells FROM gr) SELECT grid_size_s, detector, f1, n_eval_cells FROM gr JOIN a USING (detector, grid_size_s)")
-def consolidated(e):
-    results = grid_results(e)
-    aucs = results.select("detector", "grid_size_s", F.col("n_cells").alias("n_eval_cells"))
-    return evaluate.consolidate([results, results], aucs, ["detector", "grid_size_s"]).select("grid_size_s", "detector", "f1", "n_eval_cells")
-
-
-_CTXN = "SELECT node, CAST((row_number() OVER (PARTITION BY node ORDER BY row_id) - 1) // 10 AS BIGINT) AS window_idx, value_len FROM (SELECT *, length(event_template) AS value_len FROM {})"
-
-
-@query(f"""WITH {q.BASE}, {q.STALL}, a AS (SELECT node, window_idx, max(value_len) AS s FROM ({_CTXN.format('ev')}) GROUP BY ALL), b AS (SELECT node, window_idx, max(value_len) AS s FROM ({_CTXN.format('sti')}) GROUP BY ALL)
-SELECT count(*) AS n_common_windows, CAST(max(abs(a.s - b.s)) AS DOUBLE) AS max_abs_score_diff, count(*) FILTER (abs(a.s - b.s) > 1e-9) AS n_differing_windows FROM a JOIN b USING (node, window_idx)""")
-def invariance_fixed_count(e):
-    score = lambda d: windows.by_position(d, 10).groupBy(*windows.CELL).agg(F.max(F.length("event_template")).cast("double").alias("score"))
-    return evaluate.invariance(score(e), score(ex.injected(e, "stall")[0]))
-
-
 @query(f"""WITH {q.BASE}, {q.STALL}, {q.cells('ga', 'ev')}, {q.cells('gb', 'sti')}, a AS (SELECT node, window_idx, count(*) AS s FROM ga GROUP BY ALL), b AS (SELECT node, window_idx, count(*) AS s FROM gb GROUP BY ALL)
 SELECT count(*) AS n_common_windows, CAST(max(abs(a.s - b.s)) AS DOUBLE) AS max_abs_score_diff, count(*) FILTER (abs(a.s - b.s) > 1e-9) AS n_differing_windows FROM a JOIN b USING (node, window_idx)""")
 def invariance_fixed_time(e):
@@ -574,12 +558,6 @@ def span_breach(e):
     return met.groupBy("injection_id").agg(r6(F.max("z")).alias("max_abs_z"), (F.max("z") > 3.0).alias("breach"))
 
 
-@query()
-def window_sweep(e):
-    moved, labels, _ = ex.injected(e, "stall")
-    return rounded(ex.window_sweep(e, moved, labels, [("fixed_count", 10), ("fixed_count", 20), ("fixed_time", 43_200), ("fixed_time", 86_400)]).select("scheme", "size", *CONFUSION))
-
-
 # --- raw logs ------------------------------------------------------------------
 
 
@@ -668,40 +646,17 @@ def _values(column: str) -> Column:
     return vector_to_array(column)
 
 
-@query()
-def score_histogram(e):
-    return detect.score_histogram(detect.FixedZ().score(ex.scored_timing(context(e))), "anomaly")
-
-
-@query()
-def deeplog_scores(e):
-    s = sequence.chronological_split(e)
-    vocab = windows.sorted_vocabulary(s.where("is_train and not anomaly"))
-    train = windows.encode(s.where("is_train and not anomaly"), vocab)
-    return detect.next_event_scores(windows.encode(e, vocab), detect.next_event_counts(train), vocab.count())
-
-
-@query()
-def bootstrap_ci(e):
-    cells, labelled = cells_of(e, "stall")
-    return evaluate.bootstrap_ci(cells.withColumn("score", F.col("z")), labelled, SPARSE.n_injections)
-
-
 @query()
 def inject_plan_generator(e):
     c = context(e)
     return inject.plan_by_generator(c, *ex.normal_gaps(c), "stall", SPARSE)
 
 
-@query()
-def multi_seed_auc(e):
-    return ex.multi_seed(e, "stall", (42, 43), SPARSE)
-
-
 @query()
 def drain_templates(e):
-    rows = e.select("row_id", F.lit("events").alias("source_file"), F.concat_ws(" ", "label", "raw_message").alias("raw_message"))
-    return templates.mine_online(rows).select("row_id", "event_template")
+    """Each node's stream is mined by itself, in order."""
+    rows = e.select("row_id", "node", F.concat_ws(" ", "label", "raw_message").alias("raw_message"))
+    return templates.mine_online(rows, group="node").select("row_id", "event_template")
 
 
 @query()
@@ -712,9 +667,13 @@ def drain_templates_parallel(e):
 
 def queries() -> dict[str, Query]:
     """Every query of the event-log operators."""
+    from . import results  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Their DuckDB SQL, where SQL can express them."""
+    from . import results  # noqa: F401
+
     return dict(_SQL)

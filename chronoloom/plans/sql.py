@@ -32,7 +32,7 @@ def scored(name: str, source: str, p: str = "") -> str:
     """Rows with the baseline that applies, its scale, z and log ratio."""
     return f"""{name} AS (
   SELECT *, (gap_prev_s - median) / scale AS z_raw, coalesce((gap_prev_s - median) / scale, 0.0) AS z_score,
-    CASE WHEN gap_prev_s IS NULL THEN 0.0 ELSE ln(greatest(gap_prev_s, 0.001) / greatest(median, 0.001)) END AS log_ratio
+    CASE WHEN gap_prev_s IS NULL THEN 0.0 ELSE round(ln(greatest(gap_prev_s, 0.001) / greatest(median, 0.001)), 12) END AS log_ratio
   FROM (
     SELECT c.*, CASE WHEN b.status = 'valid' THEN b.median ELSE pooled_median END AS median,
       greatest(CASE WHEN b.status = 'valid' THEN b.mad ELSE pooled_mad END * 1.4826, 0.001) AS scale, coalesce(b.status <> 'valid', true) AS used_pooled
@@ -130,3 +130,41 @@ def auc(source: str, lead: str = "") -> str:
   round(max(n_pos) / (max(n_pos) + max(n_neg)), 6) AS no_skill_baseline, CAST(max(n_pos) + max(n_neg) AS BIGINT) AS n_eval_cells, CAST(max(n_pos) AS BIGINT) AS n_positive_cells
 FROM (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS neg_below, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
   FROM (SELECT score, count(*) FILTER (truth) AS pos, count(*) FILTER (NOT truth) AS neg FROM {source} GROUP BY score))"""
+
+
+def second(sql: str) -> str:
+    """A statement under a one-hour clock and the rules of a log with a coarse clock.
+
+    Zero gaps stay out of the pooled baseline, only nodes with a valid baseline are
+    injected, and moved times are cut to milliseconds.
+    """
+    cut = lambda us: f"({us}) - ({us}) % 1000"
+    for old, new in (
+        ("epoch_us(ts) AS us", "epoch_us(ts) - epoch_us(ts) % 3600000000 AS us"),
+        ("FROM nt x", "FROM (SELECT * FROM nt WHERE gap_prev_s > 0) x"),
+        ("FROM t_nt x", "FROM (SELECT * FROM t_nt WHERE gap_prev_s > 0) x"),
+        ("SELECT node FROM nb WHERE greatest(", "SELECT node FROM nb WHERE status = 'valid' AND greatest("),
+        ("c.us + CASE WHEN c.position > p.start_pos THEN p.delta_us ELSE 0 END AS us", f"CASE WHEN c.position > p.start_pos THEN {cut('c.us + p.delta_us')} ELSE c.us END AS us"),
+        ("CAST(us - saved AS BIGINT) AS us", f"CASE WHEN saved <> 0 THEN {cut('CAST(us - saved AS BIGINT)')} ELSE us END AS us"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+def contexts(name: str, source: str, order: int = 10) -> str:
+    """Rows (row_id, node, template_id, before, h): the ids of up to ``order`` events before each."""
+    return f"""{name} AS (SELECT row_id, node, template_id, row_number() OVER w - 1 AS before,
+  coalesce(list(template_id) OVER (PARTITION BY node ORDER BY us, row_id ROWS BETWEEN {order} PRECEDING AND 1 PRECEDING), []) AS h FROM {source} WINDOW w AS (PARTITION BY node ORDER BY us, row_id))"""
+
+
+def next_event(source: str, order: int = 10, history: int = 10, top_k: int = 9) -> str:
+    """dl: (row_id, node, score, flag) of the next-event detector over ``source`` (encoded as en), learned from tr_en."""
+    asked = f"SELECT *, h[len(h) - n + 1:] AS ctx FROM {{0}}, range(0, {order + 1}) t(n) WHERE n <= len(h)"
+    return f"""{contexts('tr_h', 'tr_en', order)}, {contexts('en_h', source, order)},
+tc AS (SELECT ctx, template_id AS target, count(*) AS cnt FROM ({asked.format('tr_h')}) GROUP BY ALL),
+tk AS (SELECT *, sum(cnt) OVER (PARTITION BY ctx) AS total, count(*) OVER (PARTITION BY ctx) AS kinds, row_number() OVER (PARTITION BY ctx ORDER BY cnt DESC, target) AS rank FROM tc),
+tt AS (SELECT ctx, any_value(total) AS total, any_value(kinds) AS kinds FROM tk GROUP BY ctx),
+seen AS (SELECT a.*, total, kinds, row_number() OVER (PARTITION BY row_id ORDER BY n DESC) AS pick FROM ({asked.format('en_h')}) a JOIN tt USING (ctx)),
+dl AS (SELECT s.row_id, s.node, CASE WHEN before >= {history} THEN -ln((coalesce(cnt, 0) + 1.0) / (s.total + 1.0 * ((SELECT count(*) FROM sv) + 1))) ELSE 0.0 END AS score,
+  before >= {history} AND coalesce(rank, s.kinds + 1) > least({top_k}, (SELECT count(*) FROM sv) + 1) AS flag
+  FROM (SELECT * FROM seen WHERE pick = 1) s LEFT JOIN tk ON tk.ctx = s.ctx AND tk.target = s.template_id)"""

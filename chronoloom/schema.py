@@ -67,3 +67,5 @@ SYSTEM_LOG = Profile()
 SECOND_LOG = replace(SYSTEM_LOG, exclude_zero_from_pooled=True, require_valid_baseline=True, millisecond_clock=True)
 #: The ``events`` table: about one event a user every seven hours.
 SPARSE = replace(SYSTEM_LOG, rare_frequency=0.02, window_events=10, grid_s=86_400, fault_cap_s=900_000.0)
+#: The same under a one-hour clock, with the rules of a log with a coarse clock.
+SPARSE_SECOND = replace(SPARSE, exclude_zero_from_pooled=True, require_valid_baseline=True, millisecond_clock=True)

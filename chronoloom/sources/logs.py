@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_FIELD = r"(\S+)"
-#: label, epoch, date, node, precise time, node, type, component, level, content
-BGL = r"^\s*" + r"\s+".join([_FIELD] * 9) + r"(?:\s+(.*?))?\s*$"
-#: label, epoch, date, node, month, day, time, user, content
-THUNDERBIRD = r"^\s*" + r"\s+".join([_FIELD] * 8) + r"(?:\s+(.*?))?\s*$"
-#: date, time, process, level, content
-HDFS = r"^\s*" + r"\s+".join([_FIELD] * 4) + r"\s+(\S.*?)\s*$"
+#: White space as Python's ``str.split`` sees it.
+_BLANK = r"(?U)[\s\x1C-\x1F]+"
+#: Fields of a line before its content, which is the rest as it stands.
+#: label, epoch, date, node, precise time, node, type, component, level
+BGL = 9
+#: label, epoch, date, node, month, day, time, user
+THUNDERBIRD = 8
+#: date, time, process, level
+HDFS = 4
 _BLOCK, _TO = r"(blk_-?\d+)", r"dest: /([\d.]+)"
 
 
@@ -36,40 +38,44 @@ def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return numbered if limit is None else numbered.where(F.col("row_id") < limit)
 
 
-def _part(pattern: str, k: int) -> Column:
-    return F.regexp_extract("line", pattern, k)
+def _fields(lines: DataFrame, n: int, least: int) -> DataFrame:
+    """(row_id, f, malformed): each line split once into ``n`` fields and the rest; fewer than ``least`` parts break the grammar."""
+    parts = F.split(F.regexp_replace("line", "^" + _BLANK, ""), _BLANK, n + 1)
+    rows = lines.select("row_id", parts.alias("f"))
+    return rows.withColumn("malformed", F.coalesce(F.get("f", F.lit(least - 1)), F.lit("")) == "")
+
+
+def _field(k: int) -> Column:
+    """The k-th part, from 1; empty if there are fewer."""
+    return F.coalesce(F.get("f", F.lit(k - 1)), F.lit(""))
 
 
 def parse_bgl(lines: DataFrame) -> DataFrame:
-    """A log with microsecond time stamps: label first, ``-`` for normal."""
-    time = F.try_to_timestamp(_part(BGL, 5), F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS"))
-    return _events(lines, BGL, time, _part(BGL, 4), _part(BGL, 1), _part(BGL, 10))
+    """A log with microsecond time stamps: label first, ``-`` for normal; a line may have no content."""
+    return _events(_fields(lines, BGL, BGL), F.try_to_timestamp(_field(5), F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS")), _field(10))
 
 
 def parse_thunderbird(lines: DataFrame) -> DataFrame:
     """A log whose clock is the epoch second in its second field."""
-    time = F.timestamp_seconds(F.try_cast(_part(THUNDERBIRD, 2), "bigint") if hasattr(F, "try_cast") else _part(THUNDERBIRD, 2).try_cast("bigint"))
-    return _events(lines, THUNDERBIRD, time, _part(THUNDERBIRD, 4), _part(THUNDERBIRD, 1), _part(THUNDERBIRD, 9))
+    return _events(_fields(lines, THUNDERBIRD, THUNDERBIRD), F.timestamp_seconds(_field(2).try_cast("bigint")), _field(9))
 
 
-def _events(lines: DataFrame, pattern: str, time: Column, node: Column, label: Column, content: Column) -> DataFrame:
-    fits = F.col("line").rlike(pattern)
-    return lines.select(
-        "row_id", time.alias("timestamp"), node.alias("node"), label.alias("label"),
-        (label != "-").alias("anomaly"), content.alias("raw_message"), (~fits).alias("malformed"),
-    )
+def _events(rows: DataFrame, time: Column, content: Column) -> DataFrame:
+    label = _field(1)
+    return rows.select(
+        "row_id", time.alias("timestamp"), _field(4).alias("node"), label.alias("label"), (label != "-").alias("anomaly"), content.alias("raw_message"), "malformed"
+    )
 
 
 def parse_hdfs(lines: DataFrame) -> DataFrame:
     """A session-keyed log: the first block id of a line is its session, ``dest:`` its node."""
-    fits = F.col("line").rlike(HDFS) & _part(HDFS, 5).rlike(_BLOCK)
-    content = _part(HDFS, 5)
-    return lines.select(
+    content = _field(5)
+    return _fields(lines, HDFS, HDFS + 1).select(
         "row_id",
-        F.try_to_timestamp(F.concat_ws(" ", _part(HDFS, 1), _part(HDFS, 2)), F.lit("yyMMdd HHmmss")).alias("timestamp"),
+        F.try_to_timestamp(F.concat_ws(" ", _field(1), _field(2)), F.lit("yyMMdd HHmmss")).alias("timestamp"),
         F.nullif(F.regexp_extract(content, _TO, 1), F.lit("")).alias("node"),
         F.nullif(F.regexp_extract(content, _BLOCK, 1), F.lit("")).alias("block_id"),
-        content.alias("raw_message"), (~fits).alias("malformed"),
+        content.alias("raw_message"), (F.col("malformed") | ~content.rlike(_BLOCK)).alias("malformed"),
     )
 
 

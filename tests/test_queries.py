@@ -9,7 +9,7 @@ from chronoloom.plans import queries as plans
 
 from .conftest import SF
 
-SLOW = {"bootstrap_ci", "multi_seed_auc", "window_sweep"}
+SLOW = {"bootstrap_table"}
 
 
 def norm(v):
