@@ -4,13 +4,14 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.functions.templates import TemplateMiner
+from chronoloom.functions.templates import TemplateMiner, assign_templates, train_templates
 from chronoloom.operators import audit, baseline, detect, evaluate, features, inject, sequence, windows
 from chronoloom.schema import SPARSE, SYSTEM_LOG
 from chronoloom.sources import events as ev
-from chronoloom.sources import logs
+from chronoloom.sources import logs, sinks
 
 from .conftest import SF
 
@@ -173,13 +174,96 @@ def test_log_grammars_edge_lines(spark):
         "row_id long, line string",
     )
     rows = {r["row_id"]: r for r in logs.parse_bgl(lines).collect()}
-    assert rows[0]["raw_message"] == "hello  world" and not rows[0]["anomaly"] and not rows[0]["malformed"]
+    assert rows[0]["raw_message"] == "hello  world " and not rows[0]["anomaly"] and not rows[0]["malformed"]
     assert rows[1]["malformed"] and rows[2]["raw_message"] == "" and rows[2]["anomaly"]
     hdfs = spark.createDataFrame([(0, "081109 203615 148 INFO got blk_-1 and blk_2 dest: /10.0.0.1:80"), (1, "081109 203615 148 INFO nothing here"), (2, "081109 203615 148 INFO blk_7")], "row_id long, line string")
     rows = {r["row_id"]: r for r in logs.parse_hdfs(hdfs).collect()}
     assert (rows[0]["block_id"], rows[0]["node"]) == ("blk_-1", "10.0.0.1") and rows[1]["malformed"] and rows[2]["node"] is None
 
 
+def test_lines_split_as_python_splits_them(spark):
+    """The content is the rest of the line: its trailing blanks and odd line separators stay; any white space parts fields."""
+    texts = [
+        "- 1 d R02 2005-06-03-15.42.50.675872 R02 RAS KERNEL INFO a\u2028b\x85c  ", "-\u00a01\u2003d\tR02 2005-06-03-15.42.50.675872 R02 RAS KERNEL INFO x", "\x1c- 1 d\x1fR02 t R02 RAS K I c",
+        "- 1 d n t n T C L   ", "- 1 d n t n T C   ", "", "   ",
+    ]
+    got = {r["row_id"]: r for r in logs.parse_bgl(spark.createDataFrame(list(enumerate(texts)), "row_id long, line string")).collect()}
+    for i, t in enumerate(texts):
+        parts = t.split(None, 9)
+        assert got[i]["malformed"] == (len(parts) < 9)
+        if len(parts) >= 9:
+            assert (got[i]["label"], got[i]["node"], got[i]["raw_message"]) == (parts[0], parts[3], parts[9] if len(parts) > 9 else "")
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    events = sequence.add_sequence_context(stream(spark).limit(200))
+    sinks.write_injection(events, events.select("row_id", "timestamp"), events.select("row_id", "node"), inject.run_config(spark, "stall", SPARSE, 7), str(tmp_path / "run"))
+    back = ev.read_events(spark, str(tmp_path / "run/events"))
+    assert back.count() == 200 and not set(sinks.CONTEXT_COLUMNS) & set(back.columns)
+    labels = sinks.read_table(spark, str(tmp_path / "run/labels"), "row_id long, timestamp timestamp")
+    assert sorted(labels.collect()) == sorted(events.select("row_id", "timestamp").collect())
+    config = spark.read.json(str(tmp_path / "run/config")).first()
+    assert config["n_eligible"] == 7 and config["grid_s"] == SPARSE.grid_s
+
+
+def test_a_growing_table_takes_each_run_once(spark, tmp_path):
+    path, keys = str(tmp_path / "sweep"), ["scheme", "seed"]
+    run = lambda *rows: spark.createDataFrame(list(rows), "scheme string, seed int, auc double")
+    sinks.append_runs(run(("a", 1, 0.5), ("a", 2, 0.6)), path, keys)
+    wanted = run(("a", 2, 0.0), ("b", 1, 0.0), (None, 1, 0.0)).select(*keys)
+    assert {tuple(r) for r in sinks.missing_runs(spark, path, wanted, keys).collect()} == {("b", 1), (None, 1)}
+    whole = sinks.append_runs(run(("a", 2, 0.9), ("b", 1, 0.7)), path, keys)
+    assert sorted(map(tuple, whole.collect())) == [("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, 0.7)]
+
+
+def test_next_event_scores_match_plain_back_off(spark):
+    rows = table(spark, [(n, t, False, "x") for n in "ab" for t in range(120)]).withColumn("template_id", F.pmod(F.xxhash64(F.floor(F.col("row_id") / 2) % 7, F.col("row_id") % 3), F.lit(4)).cast("int"))
+    ids = {n: [r["template_id"] for r in rows.where(F.col("node") == n).orderBy("row_id").collect()] for n in "ab"}
+    counts = {}
+    for x in ids.values():
+        for i, t in enumerate(x):
+            for k in range(min(i, 3) + 1):
+                of = counts.setdefault(tuple(x[i - k : i]), {})
+                of[t] = of.get(t, 0) + 1
+    got = {r["row_id"]: r for r in detect.next_event_scores(rows, detect.next_event_counts(rows, 3), 4, order=3, history=3, top_k=2).collect()}
+    for j, n in enumerate("ab"):
+        for i, t in enumerate(ids[n]):
+            r = got[j * 120 + i]
+            if i < 3:
+                assert r["score"] == 0 and not r["flag"]
+                continue
+            of = next(counts[c] for k in range(3, -1, -1) if (c := tuple(ids[n][i - k : i])) in counts)
+            rank = sorted(of, key=lambda x: (-of[x], x)).index(t) + 1
+            assert np.isclose(r["score"], -np.log((of[t] + 1) / (sum(of.values()) + 5))) and r["flag"] == (rank > 2)
+
+
+def test_areas_match_a_plain_count_over_several_ranges(spark):
+    rng = np.random.default_rng(5)
+    score, truth = np.round(rng.normal(size=400), 1), rng.random(400) < 0.2
+    cells = spark.createDataFrame([(str(i % 2), float(s), bool(t)) for i, (s, t) in enumerate(zip(score, truth))], "g string, score double, truth boolean")
+    for r in evaluate.auc(cells.repartition(7), ["g"]).collect():
+        s, t = score[int(r["g"]) :: 2], truth[int(r["g"]) :: 2]
+        pairs = [(a > b) + 0.5 * (a == b) for a in s[t] for b in s[~t]]
+        steps = [(sum(t[s == v]) / t.sum()) * (t[s >= v].sum() / (s >= v).sum()) for v in np.unique(s)]
+        assert np.isclose(r["auc_roc"], np.mean(pairs)) and np.isclose(r["auc_pr"], sum(steps))
+
+
+def test_consolidation_wants_one_area_a_key(spark):
+    rows, areas = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double"), spark.createDataFrame([("a", 0.5)], "k string, auc double")
+    with pytest.raises(ValueError):
+        evaluate.consolidate([rows], areas, ["k"])
+    with pytest.raises(ValueError):
+        evaluate.consolidate([rows.where("k = 'a'")], areas.unionByName(areas), ["k"])
+    found = evaluate.consolidate([rows.where("k = 'a'"), rows.where("k = 'a'")], areas, ["k"])
+    assert [tuple(r) for r in found.collect()] == [("a", 1.0, 0.5)]
+
+
+def test_every_message_is_mined(spark):
+    rows = spark.createDataFrame([(i, f"{'open' if i % 2 else 'close'} file f{i} at {i * 7}") for i in range(300)] + [(999, "a rare kind of message")], "row_id long, raw_message string")
+    found = {r["event_template"] for r in assign_templates(rows, train_templates(rows, parts=5)).collect()}
+    assert found == {"open file <*> at <*>", "close file <*> at <*>", "a rare kind of message"}
+
+
 def test_lines_are_numbered_in_file_order(spark, tmp_path):
     (tmp_path / "log").write_bytes(b"".join(b"line %d\n" % i for i in range(2000)) + b"bad \xff byte\n")
     rows = logs.read_lines(spark, str(tmp_path / "log"), limit=2001).orderBy("row_id").collect()
