@@ -245,6 +245,37 @@ def test_near_dedup_stage_takes_near_copies(spark, bucket):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == set(parent)
 
 
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_near_copies_of_a_crowded_band(spark, bucket):
+    """Chains, stars and strangers that share shingles enough to meet in large bands lose no link."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(70):  # a drift: each text changes one more word of the one before, so ends differ while neighbours link
+        texts.append(" ".join([f"d{at}" if at < k else w for at, w in enumerate(base)]))
+    for _ in range(50):  # strangers: similar to many, near copies of few
+        words = list(base)
+        for at in rng.choice(200, int(rng.integers(3, 9)), replace=False):
+            words[int(at)] = f"x{int(rng.integers(0, 10**6))}"
+        texts.append(" ".join(words))
+    parent = list(range(len(texts)))
+    sets = [near_copies.shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in near_copies.near_copies(df, bucket=bucket).collect():
+        found.setdefault(r["label"], set()).add(r["doc_id"])
+    wanted = {}
+    for at, p in enumerate(parent):
+        wanted.setdefault(p, set()).add(at)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+
+
 def removed(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
