@@ -276,6 +276,58 @@ def test_near_copies_of_a_crowded_band(spark, bucket):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_first_shingles_meet_every_similar_set():
+    """Under any counts, sets at 0.8 or more share a key, and the first they share passes the bound on what follows."""
+    rng = np.random.default_rng(17)
+    similar = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 80))
+        x = rng.choice(500, n, replace=False)
+        kept = x[rng.random(n) < rng.choice([0.8, 0.9, 1.0])]
+        y = np.union1d(kept, rng.integers(500, 900, int(rng.integers(0, max(n // 6, 2)))))
+        x, y = np.unique(x).astype(np.int64), y.astype(np.int64)
+        common = len(np.intersect1d(x, y))
+        if common * 5 < 4 * (len(x) + len(y) - common):
+            continue
+        similar += 1
+        counts = np.zeros(near_copies.COUNTERS, np.int64)
+        counts[:900] = rng.integers(0, 6, 900)
+        a, b = (near_copies.first_shingles(s, counts).tolist() for s in (x, y))
+        met = [(len(x) - i, len(y) - b.index(k)) for i, k in enumerate(a) if k in b]
+        assert any(9 * min(rests) >= 4 * (len(x) + len(y)) for rests in met)
+    assert similar > 100
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_near_copies_that_share_a_passage(spark, bucket):
+    """Many texts with one long passage in common, some of them near copies of each other: groups as by all pairs."""
+    rng = np.random.default_rng(23)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for own in (10, 20, 30, 40, 80):
+        for _ in range(14):
+            words = [f"w{k}" for k in rng.integers(0, 10**6, own)]
+            texts.append(" ".join(words + passage))
+            if rng.random() < 0.5:
+                words[int(rng.integers(0, own))] = "changed"
+                texts.append(" ".join(passage + words))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    wanted, found = {}, {}
+    for at, p in enumerate(parent):
+        wanted.setdefault(p, set()).add(at)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in near_copies.near_copies(df, bucket=bucket).collect():
+        found.setdefault(r["label"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+    assert 1 < len(wanted) < len(texts)
+
+
 def removed(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
