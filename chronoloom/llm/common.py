@@ -40,15 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _LOCAL_FOLDER[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; :func:`forget_all` deletes what is written there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

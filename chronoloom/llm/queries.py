@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": bpe_codec.op8_bpe_codec,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_token_files": token_files.op11_token_files,
     }
 
 
