@@ -252,7 +252,7 @@ class Codec:
         fragment, last = key
         v = self.vocabulary
         symbols = v.start_symbols(fragment) if last else list(fragment)
-        return _packed(v.ids[t] for t in merge_fragment(symbols, v.ranks) if t in v.ids)
+        return packed(v.ids[t] for t in merge_fragment(symbols, v.ranks) if t in v.ids)
 
     def _chunk_ids(self, chunk: str) -> bytes:
         out, of = [], self._by_fragment
@@ -266,7 +266,7 @@ class Codec:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
         v, of = self.vocabulary, self._by_chunk.__getitem__
         return b"".join(
-            _packed([v.special[part]]) if special else b"".join(map(of, v.chunks(part)))
+            packed([v.special[part]]) if special else b"".join(map(of, v.chunks(part)))
             for part, special in v.segments(text or "")
         )
 
@@ -279,7 +279,7 @@ class Codec:
             return " ".join([known[i] for i in ids if 0 <= i < len(known) and known[i] is not None])
 
 
-def _packed(ids) -> bytes:
+def packed(ids) -> bytes:
     out = array("I", ids)
     assert out.itemsize == 4
     if array("H", [1]).tobytes() != b"\x01\x00":

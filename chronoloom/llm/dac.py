@@ -41,9 +41,11 @@ _HEAD, _LEVEL = struct.Struct("<4sIIQQIQ"), struct.Struct("<IQQQQ")
 
 def best_widths(values: np.ndarray) -> list[int]:
     """Widths of the levels with the fewest bits, bitmaps included."""
-    longest = max(int(values.max(initial=0)).bit_length(), 1)
-    # beyond[k]: integers that need more than k bits
-    beyond = [len(values), *(int(np.count_nonzero(values >> k)) for k in range(1, longest))]
+    # frexp gives the number of bits of a positive integer
+    lengths = sum((np.bincount(np.frexp(values[at : at + STEP])[1], minlength=33) for at in range(0, len(values), STEP)), np.zeros(33, np.int64))
+    longest = max(int(np.flatnonzero(lengths).max(initial=0)), 1)
+    beyond = lengths[::-1].cumsum()[::-1][1:].tolist()  # [k]: integers that need more than k bits
+    beyond = [len(values), *beyond[1:]]
     cost, width = [0] * (longest + 1), [0] * (longest + 1)
     for at in range(longest - 1, -1, -1):
         cost[at], width[at] = min((beyond[at] * (w + (at + w < longest)) + cost[at + w], w) for w in range(1, longest - at + 1))
@@ -54,24 +56,49 @@ def best_widths(values: np.ndarray) -> list[int]:
     return found
 
 
+def _places(width: int) -> list[tuple[int, int, int]]:
+    """(value, word, shift) of eight values in 64-bit words; a negative shift takes the bits that the word before has no room for."""
+    found = []
+    for j in range(8):
+        word, shift = divmod(j * width, 64)
+        found.append((j, word, shift))
+        if shift + width > 64:
+            found.append((j, word + 1, shift - 64))
+    return found
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bits of each value, one after the other."""
-    parts, shifts = [], np.arange(width, dtype=np.uint32)
-    for at in range(0, len(values), STEP):  # STEP is a multiple of 8, so that parts end at whole bytes
-        bits = ((values[at : at + STEP, None].astype(np.uint32) >> shifts) & np.uint32(1)).astype(np.uint8)
-        parts.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
+    """The lowest ``width`` bits of each value, one after the other: eight values make ``width`` bytes."""
+    parts, mask = [], np.uint64((1 << width) - 1)
+    for at in range(0, len(values), STEP):  # STEP is a multiple of 8
+        some = values[at : at + STEP].astype(np.uint64) & mask
+        rows = np.concatenate([some, np.zeros(-len(some) % 8, np.uint64)]).reshape(-1, 8).T
+        words = np.zeros(((width + 7) // 8, rows.shape[1]), np.uint64)
+        for j, word, shift in _places(width):
+            words[word] |= rows[j] << np.uint64(shift) if shift >= 0 else rows[j] >> np.uint64(-shift)
+        raw = np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8)[:, :width]
+        parts.append(raw.tobytes()[: (len(some) * width + 7) // 8])
     return b"".join(parts)
 
 
 def unpack(raw: memoryview | bytes, width: int, first: int, n: int) -> np.ndarray:
-    """Values ``first`` to ``first + n`` of packed ones; ``raw`` begins at the byte of the first."""
-    out, weights = np.empty(n, np.uint32), (np.uint32(1) << np.arange(width, dtype=np.uint32))
-    data, skip = np.frombuffer(raw, np.uint8), first * width % 8
-    for at in range(0, n, STEP):
-        k = min(STEP, n - at)
-        lo, hi = (skip + at * width) // 8, (skip + (at + k) * width + 7) // 8
-        bits = np.unpackbits(data[lo:hi], bitorder="little")[(skip + at * width) % 8 :][: k * width]
-        out[at : at + k] = bits.reshape(k, width) @ weights
+    """Values ``first`` to ``first + n`` of packed ones; ``raw`` begins at the byte of the first of its eight."""
+    out, data, skip, mask = np.empty(n, np.uint32), np.frombuffer(raw, np.uint8), first % 8, np.uint64((1 << width) - 1)
+    for at in range(0, n + skip, STEP):
+        k = min(STEP, n + skip - at)
+        groups = -(-k // 8)
+        wide = np.zeros((groups, 8 * ((width + 7) // 8)), np.uint8)
+        some = data[at // 8 * width : (at // 8 + groups) * width]
+        if len(some) < groups * width:  # the last eight are not all there
+            some = np.concatenate([some, np.zeros(groups * width - len(some), np.uint8)])
+        wide[:, :width] = some.reshape(groups, width)
+        words = np.ascontiguousarray(wide.view("<u8").astype(np.uint64, copy=False).T)
+        found = np.zeros((8, groups), np.uint64)
+        for j, word, shift in _places(width):
+            found[j] |= words[word] >> np.uint64(shift) if shift >= 0 else words[word] << np.uint64(-shift)
+        flat = (found & mask).T.reshape(-1)[:k].astype(np.uint32)
+        lo = skip if not at else 0
+        out[at + lo - skip : at + k - skip] = flat[lo:]
     return out
 
 
@@ -116,7 +143,7 @@ class DacFile:
 
     def _chunks(self, k: int, first: int, n: int) -> np.ndarray:
         w, _, at, _, _ = self.levels[k]
-        lo, hi = first * w // 8, ((first + n) * w + 7) // 8
+        lo, hi = first // 8 * w, ((first + n) * w + 7) // 8
         return unpack(self._read(at + lo, hi - lo), w, first, n)
 
     def _bits(self, k: int, first: int, n: int) -> np.ndarray:

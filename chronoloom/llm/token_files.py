@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols, file_bytes
+from .bpe import byte_symbols, file_bytes, packed
 from .common import durable, read_table, scratch, slices
 from .dac import DacFile, encode
 
@@ -41,7 +41,7 @@ FILE_TOKENS, END = 1 << 22, 2
 #: Bytes of pieces and their ids that a worker keeps, about, and the longest piece kept.
 MEMO_BYTES, MEMO_PIECE = 192_000_000, 64
 #: White space other than blanks and line feeds, by any version of Unicode.
-_OTHER = re.compile(r"[^\S \n]|\u180e")
+_OTHER = re.compile("[\t\v-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Where a blank between two characters that aren't white space begins a word.
 _CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 #: Pieces of characters beyond these go to the tokenizers library, whose classes of later ones may differ.
@@ -53,6 +53,21 @@ PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets":
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class _Pieces(dict):
+    """Ids by piece, without the blank before it; those of long pieces aren't kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make, self.used = make, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._make(" " + piece)
+        if len(piece) <= MEMO_PIECE:
+            self[piece] = ids
+            self.used += 150 + len(piece) + len(ids)
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts as the tokenizers library gives them, piece by piece.
 
@@ -75,35 +90,26 @@ class PieceEncoder:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self._plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._special = special
-        self._memo: dict[str, bytes] = {}
-        self._used = 0
+        self._has_special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+        self._memo = _Pieces(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece) and not any(x in piece for x in self._special):
-            ids = self._plain.encode_ordinary(piece)
-        else:
-            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        plain = piece.isascii() or _PLAIN.fullmatch(piece)
+        if plain and not self._has_special(piece):
+            return packed(self._plain.encode_ordinary(piece))
+        return packed(self._tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self._memo  # by piece without the blank before it, which all but a text's first have
-        if self._used > MEMO_BYTES:
+        out, memo = [], self._memo
+        if memo.used > MEMO_BYTES:
             memo.clear()
-            self._used = 0
-        odd = lambda t: "  " in t or " \n" in t or "\n " in t or _OTHER.search(t)
-        cut = [_CUT.split(t) if odd(t) else t.split(" ") for t in (t or "" for t in texts)]
-        firsts = [p.pop(0) for p in cut]
-        long = []
-        for w in set(chain.from_iterable(cut)) - memo.keys():
-            memo[w] = ids = self._piece(" " + w)
-            self._used += 150 + len(w) + len(ids)
-            if len(w) > MEMO_PIECE:
-                long.append(w)
-        out = [self._piece(f) + b"".join(map(memo.__getitem__, p)) for f, p in zip(firsts, cut)]
-        for w in long:
-            self._used -= 150 + len(w) + len(memo.pop(w))
+            memo.used = 0
+        for t in texts:
+            t = t or ""
+            odd = "  " in t or " \n" in t or "\n " in t or _OTHER.search(t)
+            first, *later = _CUT.split(t) if odd else t.split(" ")
+            out.append(self._piece(first) + b"".join(map(memo.__getitem__, later)))
         return out
 
 
@@ -128,22 +134,22 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, *, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, partition, number = _encoder(raw.value), TaskContext.get().partitionId(), 0
         ids: list = []
-        packed: list[bytes] = []
+        coded: list[bytes] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // 4 for p in packed])
-            body = encode(np.frombuffer(b"".join(packed), "<u4"), ids, ends, partition, number)
+            ends = np.cumsum([len(p) // 4 for p in coded])
+            body = encode(np.frombuffer(b"".join(coded), "<u4"), ids, ends, partition, number)
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["file"])
 
         for part in (p for batch in batches for p in slices(batch, 1, rows=1024, size=2_000_000)):
             for doc_id, found in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                 ids.append(doc_id)
-                packed.append(found + tail)
+                coded.append(found + tail)
                 held += len(found) // 4 + 1
                 if held >= file_tokens:
                     yield out()
-                    ids, packed, held, number = [], [], 0, number + 1
+                    ids, coded, held, number = [], [], 0, number + 1
         if ids:
             yield out()
 

@@ -44,7 +44,7 @@ def test_packed_values_are_read_from_any_place(width, first, n):
     values = np.random.default_rng(width).integers(0, 1 << width, 5000, np.uint64).astype(np.uint32)
     raw = pack(values, width)
     assert len(raw) == (5000 * width + 7) // 8
-    assert unpack(raw[first * width // 8 :], width, first, n).tolist() == values[first : first + n].tolist()
+    assert unpack(raw[first // 8 * width :], width, first, n).tolist() == values[first : first + n].tolist()
 
 
 def test_widths_cost_the_fewest_bits():
