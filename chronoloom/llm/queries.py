@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_format, decontaminate, langid, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe_codec, chat_format, decontaminate, importance, langid, lexical_search, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_token_files": token_files.op11_token_files,
+        "op12_importance_resampling": importance.op12_importance_resampling,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op6_quality_rules": quality_rules.OP6_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op6_quality_rules": quality_rules.OP6_SQL, "op9_chat_format": chat_format.OP9_SQL, "op13_lexical_search": lexical_search.OP13_SQL}
