@@ -1,10 +1,15 @@
-"""Exact quantiles of any number of values."""
+"""Exact quantiles of any number of values, of a whole table or of every key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
+
+#: Values of a key whose median is worked out in one task.
+FEW = 100_000
+
 
 def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, small: int = 100_000) -> float | None:
     """Linear-interpolated quantile of any number of values, within bounded memory.
@@ -19,17 +24,25 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, sm
         return None
     if first["n"] <= small:
         return values.agg(F.percentile("v", F.lit(q))).first()[0]
+    values = stage(values, "quantile-values")  # every round counts them again
     rank = q * (first["n"] - 1)
     low = _ranked(values, int(rank), first, bins, small)
     return low + (_ranked(values, int(rank) + 1, first, bins, small) - low) * (rank % 1) if rank % 1 else low
 
 
+def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of a value between two bounds, which have a bin each, so that a range always shrinks (infinite bounds too)."""
+    share = F.nanvl((v / 2 - lo / 2) / (hi / 2 - lo / 2), F.lit(0.0))  # halves don't overflow
+    inner = 1 + F.least(F.floor(share * (bins - 2)), F.lit(bins - 3))
+    return F.when(v == lo, 0).when(v == hi, bins - 1).otherwise(inner).cast("int")
+
+
 def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> float:
     """The k-th smallest value, from 0."""
     n, lo, hi = stats["n"], stats["lo"], stats["hi"]
     below = 0
     while n > small and lo < hi:
-        at = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        at = _bin(F.col("v"), F.lit(lo), F.lit(hi), bins)
         inside = values.where(F.col("v").between(lo, hi))
         seen = below
         for row in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
@@ -41,3 +54,46 @@ def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> float:
         return lo
     left = values.where(F.col("v").between(lo, hi)).orderBy("v").limit(k - below + 1).agg(F.max("v")).first()
     return left[0]
+
+
+def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bins: int = 512) -> DataFrame:
+    """(key, n, median) of the values of every key; null and NaN values aren't counted.
+
+    Keys of up to ``few`` values are worked out in one grouped pass.  The middle ranks of
+    all larger keys are looked for together, pass by pass: values are counted by key
+    and bin before the shuffle, the bin that holds a rank becomes the range of the next
+    pass, until a range has ``few`` values or one.  No task holds a key's values.
+    """
+    v = F.col(column).cast("double")
+    values = df.select(F.col(key).alias("key"), v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    name = lambda d: d.select(F.col("key").alias(key), "n", "median")
+    sizes = values.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    large = sizes.where(F.col("n") > few)
+    if large.isEmpty():
+        return name(values.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")))
+    large = stage(large, "large-keys")
+    values = stage(values, "key-values")  # read by every pass
+    small = values.join(large.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_anti")
+    # one row for each key and middle rank: the rank within [lo, hi], which holds ``left`` values
+    rank = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
+    found, todo = None, large.select(F.col("key").alias("_key"), rank, F.col("n").alias("left"), "lo", "hi").withColumn("wanted", F.col("rank"))
+    while True:
+        todo = stage(todo, "ranks")
+        ended = todo.where(F.col("lo") == F.col("hi")).select("_key", "wanted", F.col("lo").alias("v"))
+        short = todo.where((F.col("lo") < F.col("hi")) & (F.col("left") <= few))
+        met = lambda t: values.join(t, F.col("key").eqNullSafe(F.col("_key")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.row_number().over(Window.partitionBy("_key", "wanted").orderBy("v")) - 1
+        picked = met(short).select("_key", "wanted", "v", "rank", place.alias("place")).where(F.col("place") == F.col("rank")).select("_key", "wanted", "v")
+        now = ended.unionByName(picked)
+        found = now if found is None else found.unionByName(now)
+        todo = todo.where((F.col("lo") < F.col("hi")) & (F.col("left") > few))
+        if todo.isEmpty():
+            break
+        at = _bin(F.col("v"), F.col("lo"), F.col("hi"), bins)
+        counted = met(todo).groupBy("_key", "wanted", "rank", at.alias("bin")).agg(F.count("*").alias("left"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        w = Window.partitionBy("_key", "wanted").orderBy("bin")
+        upto = counted.withColumn("_upto", F.sum("left").over(w))
+        todo = upto.where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("left") <= F.col("rank"))).select("_key", (F.col("rank") - F.col("_upto") + F.col("left")).alias("rank"), "left", "lo", "hi", "wanted")
+    middle = found.groupBy("_key").agg(F.avg("v").alias("median"))
+    many = large.join(middle, F.col("key").eqNullSafe(F.col("_key"))).select("key", "n", "median")
+    return name(small.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")).unionByName(many))

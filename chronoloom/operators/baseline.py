@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantile import exact_quantile
+from ..functions.quantile import exact_quantile, grouped_medians
 from ..functions.timing import log_ratio, robust_z, scale
 from ..schema import SYSTEM_LOG, Profile
 
@@ -13,13 +13,13 @@ from ..schema import SYSTEM_LOG, Profile
 def node_baselines(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
     """(node, n, median, mad, status) of ``gaps`` (node, gap_prev_s).
 
-    Two grouped passes by node; status is ``valid``, ``low_count`` or ``zero_mad``.
+    Two passes of exact medians by node, in bounded memory for nodes of any size;
+    status is ``valid``, ``low_count`` or ``zero_mad``.
     """
     gaps = gaps.select("node", "gap_prev_s")
-    middle = gaps.groupBy("node").agg(F.count("*").alias("n"), F.median("gap_prev_s").alias("median"))
-    spread = (
-        gaps.join(middle.select("node", "median"), "node").groupBy("node").agg(F.median(F.abs(F.col("gap_prev_s") - F.col("median"))).alias("mad"))
-    )
+    middle = grouped_medians(gaps, "node", "gap_prev_s")
+    apart = gaps.join(middle.select("node", "median"), "node").select("node", F.abs(F.col("gap_prev_s") - F.col("median")).alias("spread"))
+    spread = grouped_medians(apart, "node", "spread").select("node", F.col("median").alias("mad"))
     status = F.when(F.col("n") < profile.min_baseline, "low_count").when(F.col("mad") > 0, "valid").otherwise("zero_mad")
     return middle.join(spread, "node").select("node", "n", "median", "mad", status.alias("status"))
 

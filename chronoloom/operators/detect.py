@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.ordered import by_node
 from ..functions.quantile import exact_quantile
 from ..schema import SYSTEM_LOG, Profile
 from ..sources.sinks import stage
-from .sequence import node_window
 
 
 def threshold(normal_scores: DataFrame, q: float = 0.95) -> DataFrame:
@@ -180,7 +180,7 @@ def next_event_counts(train: DataFrame, order: int = 10) -> DataFrame:
     ``targets`` has the count and rank of each next event.  Stands in for a recurrent
     next-event model behind the same contract: a score -log p(target) and a top-k test.
     """
-    rows = train.select("template_id", _before(order)).select("template_id", F.explode(_contexts()).alias("ctx"))
+    rows = _with_ids(train.select("row_id", "timestamp", "node", "template_id"), order).select("template_id", F.explode(_contexts()).alias("ctx"))
     counts = rows.groupBy("ctx", "template_id").agg(F.count("*").alias("cnt"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("less"), F.col("template_id").alias("target"))))
     of = counts.groupBy("ctx").agg(F.sum("cnt").alias("total"), F.count("*").alias("kinds"), best.alias("best"))
@@ -188,9 +188,13 @@ def next_event_counts(train: DataFrame, order: int = 10) -> DataFrame:
     return of.select("ctx", "total", "kinds", ranked.alias("targets"))
 
 
-def _before(order: int):
-    """``ids``: those of up to ``order`` events before an event."""
-    return F.collect_list("template_id").over(node_window().rowsBetween(-order, -1)).alias("ids")
+def _with_ids(encoded: DataFrame, order: int) -> DataFrame:
+    """``ids``: those of up to ``order`` events before an event; ``before``: how many there are in all."""
+
+    def carried(rows: DataFrame, w: WindowSpec, earlier) -> DataFrame:
+        return rows.withColumns({"before": earlier("rows"), "ids": F.collect_list("template_id").over(w.rowsBetween(-order, -1))})
+
+    return by_node(encoded, carried, before=order, sums={"rows": F.lit(1)})
 
 
 def _contexts():
@@ -205,7 +209,7 @@ def next_event_scores(encoded: DataFrame, counts: DataFrame, n_templates: int, *
     Events with fewer than ``history`` predecessors score 0 and aren't flagged.  The
     empty context, which every event has, is one row and joined apart.
     """
-    rows = encoded.select("row_id", "node", "template_id", (F.row_number().over(node_window()) - 1).alias("before"), _before(order))
+    rows = _with_ids(encoded.select("row_id", "timestamp", "node", "template_id"), order)
     asked = rows.where(F.col("before") >= history).select("row_id", "template_id", F.explode(_contexts()).alias("ctx")).where(F.size("ctx") > 0)
     hit = lambda: F.get(F.filter("targets", lambda t: t["target"] == F.col("template_id")), F.lit(0))
     row = lambda size: F.struct(size.alias("size"), "total", "kinds", hit().alias("hit"))

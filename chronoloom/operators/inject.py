@@ -7,19 +7,20 @@ and arithmetic in whole microseconds.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.ordered import by_node
 from ..functions.timing import cell_index, seconds_between, shifted
 from ..schema import SYSTEM_LOG, Profile
 from .baseline import scale_of, with_baseline, z_of
-from .sequence import node_window
+from .sequence import add_position
 
 
 def with_position(events: DataFrame) -> DataFrame:
     """``position`` of each event in its node, from 0, and the node's size ``node_n``."""
     sizes = events.groupBy("node").agg(F.count("*").alias("node_n"))
-    return events.withColumn("position", F.row_number().over(node_window()) - 1).join(sizes, "node")
+    return add_position(events).join(sizes, "node")
 
 
 def eligible_nodes(events: DataFrame, nodes: DataFrame, min_events: int, profile: Profile = SYSTEM_LOG) -> DataFrame:
@@ -58,19 +59,23 @@ def plan_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind:
         (F.lit(1) if stall else _pick(profile.burst_lengths, seed, "length", F.col("node"))).alias("burst_length"),
         _pick(profile.intensities, seed, "intensity", F.col("node")).alias("intensity"),
     )
-    rows = context.withColumn("position", F.row_number().over(node_window()) - 1).join(F.broadcast(chosen), "node")
-    rows = with_baseline(rows, nodes, pooled)
-    far = F.abs(z_of("gap_prev_s", profile)) > profile.z_limit
-    w = Window.partitionBy("node").orderBy("position")
+    rows = with_baseline(add_position(context).join(F.broadcast(chosen), "node"), nodes, pooled)
+    far = F.coalesce((F.abs(z_of("gap_prev_s", profile)) > profile.z_limit).cast("long"), F.lit(0))
+    lengths = sorted({1} if stall else set(profile.burst_lengths))
     # gaps beyond the limit among the burst_length events that follow: a difference of running counts
-    upto = F.sum(far.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_far", F.coalesce(upto, F.lit(0)))
-    later = F.lit(None).cast("long")
-    for length in sorted({1} if stall else set(profile.burst_lengths)):
-        later = F.when(F.col("burst_length") == length, F.lead("_far", length).over(w)).otherwise(later)
+    upto = lambda d, w, earlier: d.withColumn("_upto", earlier("far") + F.col("_far"))
+    rows = by_node(rows.withColumn("_far", far), upto, sums={"far": F.col("_far")}, order=("position",))
+
+    def beyond(d: DataFrame, w: WindowSpec, _) -> DataFrame:
+        later = F.lit(None).cast("long")
+        for length in lengths:
+            later = F.when(F.col("burst_length") == length, F.lead("_upto", length).over(w)).otherwise(later)
+        return d.withColumn("_later", later)
+
+    rows = by_node(rows, beyond, after=lengths[-1], order=("position",))
     first = F.floor(F.col("node_n") * lo)
     last = F.least(F.greatest(F.floor(F.col("node_n") * hi), first + 1), F.col("node_n") - F.col("burst_length") - (0 if stall else 1))
-    inside = rows.withColumn("_bad", (later - F.col("_far") > 0).cast("int")).where((F.col("position") >= first) & (F.col("position") < last))
+    inside = rows.withColumn("_bad", (F.col("_later") - F.col("_upto") > 0).cast("int")).where((F.col("position") >= first) & (F.col("position") < last))
     best = F.min(F.struct("_bad", _hash(seed, "start", F.col("node"), F.col("position").cast("string")).alias("h"), "position"))
     return inside.groupBy("injection_id", "node", "node_n", "burst_length", "intensity").agg(best["position"].alias("start_pos")).withColumn("seed", F.lit(seed))
 
@@ -111,7 +116,7 @@ def plan_by_generator(context: DataFrame, nodes: DataFrame, pooled: DataFrame, k
         return spark.createDataFrame([], "injection_id int, node string, node_n long, start_pos long, burst_length int, intensity double, seed long")
     tries = spark.createDataFrame(tried, "k int, node string, length int, t int, start long")
     asked = tries.select("k", "node", "t", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("length"))).alias("position"))
-    scored = with_baseline(context.withColumn("position", (F.row_number().over(node_window()) - 1).cast("long")), nodes, pooled)
+    scored = with_baseline(add_position(context), nodes, pooled)
     far = F.coalesce(F.abs(z_of("gap_prev_s", profile)) > profile.z_limit, F.lit(True))
     met = scored.select("node", "position", far.alias("far")).join(F.broadcast(asked), ["node", "position"])
     good = {r["k"]: r["t"] for r in met.groupBy("k", "t").agg(F.bool_or("far").alias("far")).where("not far").groupBy("k").agg(F.min("t").alias("t")).collect()}
@@ -126,7 +131,7 @@ def plan_by_generator(context: DataFrame, nodes: DataFrame, pooled: DataFrame, k
 
 def _planned(events: DataFrame, plan: DataFrame, *more: str) -> DataFrame:
     cols = [F.col("node").alias("_node"), "start_pos", *more]
-    return events.withColumn("position", F.row_number().over(node_window()) - 1).join(F.broadcast(plan.select(*cols)), F.col("node") == F.col("_node"), "left").drop("_node")
+    return add_position(events).join(F.broadcast(plan.select(*cols)), F.col("node") == F.col("_node"), "left").drop("_node")
 
 
 def _clock(ts: Column, profile: Profile) -> Column:
@@ -157,14 +162,16 @@ def apply_bursts(events: DataFrame, plan: DataFrame, profile: Profile = SYSTEM_L
     One running sum gives both: it grows within the burst and stays after it.
     """
     rows = _planned(events, plan, "burst_length", "intensity")
-    w = node_window()
     inside = F.coalesce((F.col("position") > F.col("start_pos")) & (F.col("position") <= F.col("start_pos") + F.col("burst_length")), F.lit(False))
-    gap = F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(w)
-    saved = F.when(inside, gap - F.bround(gap / F.col("intensity")).cast("long")).otherwise(F.lit(0))
-    total = F.sum("_saved").over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    def saved(d: DataFrame, w: WindowSpec, _) -> DataFrame:
+        gap = F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(w)
+        return d.withColumn("_saved", F.when(inside, gap - F.bround(gap / F.col("intensity")).cast("long")).otherwise(F.lit(0)))
+
+    total = lambda d, w, earlier: d.withColumn("_total", earlier("saved") + F.coalesce("_saved", F.lit(0)))
     return (
-        rows.withColumns({"_saved": saved, "injected_row": inside})
-        .withColumn("_total", total)
+        by_node(by_node(rows, saved, before=1), total, sums={"saved": F.col("_saved")})
+        .withColumn("injected_row", inside)
         .withColumn("timestamp", F.when(F.col("_total") != 0, _clock(shifted(F.col("timestamp"), -F.col("_total")), profile)).otherwise(F.col("timestamp")))
         .drop("position", "start_pos", "burst_length", "intensity", "_saved", "_total")
     )

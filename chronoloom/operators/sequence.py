@@ -6,35 +6,39 @@ physical order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.ordered import by_node
 from ..functions.quantile import exact_quantile
 from ..functions.timing import seconds_between
 
 CONTEXT = ["prev_template", "next_template", "prev_anomaly", "gap_prev_s", "gap_next_s"]
 
 
-def node_window():
-    """A node's events in order."""
-    return Window.partitionBy("node").orderBy("timestamp", "row_id")
-
-
 def add_sequence_context(events: DataFrame) -> DataFrame:
     """Neighbouring templates, the label before, and the gaps on both sides.
 
-    One shuffle by node, shared by all five columns and by later node windows.
+    One shuffle by node, shared by all five columns and by later node windows; a
+    very long node is dealt in blocks.
     """
-    w = node_window()
-    return events.withColumns(
-        {
+
+    def neighbours(rows: DataFrame, w: WindowSpec, _) -> DataFrame:
+        return rows.withColumns({
             "prev_template": F.lag("event_template").over(w),
             "next_template": F.lead("event_template").over(w),
             "prev_anomaly": F.lag("anomaly").over(w),
             "gap_prev_s": seconds_between(F.lag("timestamp").over(w), F.col("timestamp")),
             "gap_next_s": seconds_between(F.col("timestamp"), F.lead("timestamp").over(w)),
-        }
-    )
+        })
+
+    return by_node(events, neighbours, before=1, after=1)
+
+
+def add_position(events: DataFrame, name: str = "position", order: tuple[str, ...] = ("timestamp", "row_id")) -> DataFrame:
+    """Each event's place within its node, from 0."""
+    place = lambda rows, w, earlier: rows.withColumn(name, earlier("rows"))
+    return by_node(events, place, sums={"rows": F.lit(1)}, order=order)
 
 
 def normal_transition() -> Column:
@@ -72,10 +76,11 @@ def zero_gap_summary(context: DataFrame) -> DataFrame:
 
 def sliding_sequences(encoded: DataFrame, length: int) -> DataFrame:
     """(row_id, node, context, target): the ``length`` ids before each event that has so many."""
-    w = node_window().rowsBetween(-length, -1)
-    return encoded.select("row_id", "node", F.collect_list("template_id").over(w).alias("context"), F.col("template_id").alias("target")).where(
-        F.size("context") == length
-    )
+    def contexts(rows: DataFrame, w: WindowSpec, _) -> DataFrame:
+        return rows.withColumn("context", F.collect_list("template_id").over(w.rowsBetween(-length, -1)))
+
+    done = by_node(encoded.select("row_id", "timestamp", "node", "template_id"), contexts, before=length)
+    return done.where(F.size("context") == length).select("row_id", "node", "context", F.col("template_id").alias("target"))
 
 
 def ordering_violations(events: DataFrame, position: str = "row_id") -> DataFrame:
@@ -83,8 +88,10 @@ def ordering_violations(events: DataFrame, position: str = "row_id") -> DataFram
 
     Order is judged by position, not by time: sorted by time nothing could be out of order.
     """
-    w = Window.partitionBy("node").orderBy(position)
-    back = (F.col("timestamp") < F.lag("timestamp").over(w)).alias("back")
-    return events.select("node", back).agg(
+
+    def backwards(rows: DataFrame, w: WindowSpec, _) -> DataFrame:
+        return rows.withColumn("back", F.col("timestamp") < F.lag("timestamp").over(w))
+
+    return by_node(events.select("node", "timestamp", position), backwards, before=1, order=(position,)).agg(
         F.count_if("back").alias("n_violations"), F.countDistinct(F.when(F.col("back"), F.col("node"))).alias("n_nodes")
     )

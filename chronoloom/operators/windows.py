@@ -7,20 +7,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import cell_index, seconds_between
-from .sequence import node_window
+from .sequence import add_position
 
 CELL = ["node", "window_idx"]
 
 
 def by_count(events: DataFrame, size: int, name: str = "window_idx") -> DataFrame:
     """Windows of ``size`` consecutive events of a node."""
-    return events.withColumn(name, F.floor((F.row_number().over(node_window()) - 1) / size))
+    return add_position(events, name).withColumn(name, F.floor(F.col(name) / size))
 
 
 def by_position(events: DataFrame, size: int, name: str = "window_idx") -> DataFrame:
     """Windows of ``size`` events by row id alone: no change of clock can move an event."""
-    w = Window.partitionBy("node").orderBy("row_id")
-    return events.withColumn(name, F.floor((F.row_number().over(w) - 1) / size))
+    return add_position(events, name, ("row_id",)).withColumn(name, F.floor(F.col(name) / size))
 
 
 def by_time(events: DataFrame, seconds: float, name: str = "window_idx") -> DataFrame:

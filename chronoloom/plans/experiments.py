@@ -16,7 +16,7 @@ from ..functions.timing import cell_index, seconds_between
 
 from ..operators import audit, baseline, detect, evaluate, features, inject, sequence, windows
 from ..schema import SPARSE, Profile
-from ..sources.sinks import stage
+from ..sources.sinks import scratch, stage, sweep
 
 
 def normal_gaps(context: DataFrame, profile: Profile = SPARSE) -> tuple[DataFrame, DataFrame]:
@@ -225,40 +225,70 @@ def rescored(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     return reduce(DataFrame.unionByName, native)
 
 
-def multi_seed(events: DataFrame, kinds: tuple[str, ...], seeds: tuple[int, ...], profile: Profile = SPARSE) -> DataFrame:
-    """(fault_type, seed, detector, auc_roc, ...) of the timing detectors over several plans; the clean table's parts are made once."""
-    clean, runs = Clean.of(events, profile), []
-    for kind in kinds:
-        for seed in seeds:
-            moved, _, labelled = injected(events, kind, profile, seed, clean=clean)
-            cells = by_detector(timing_cells(clean, moved, labelled))
-            runs.append(cells.withColumns({"fault_type": F.lit(kind), "seed": F.lit(seed)}))
-    return evaluate.auc(reduce(DataFrame.unionByName, runs), ["fault_type", "seed", "detector"])
+def multi_seed(
+    events: DataFrame, kinds: tuple[str, ...], seeds: tuple[int, ...], profile: Profile = SPARSE, *, all_detectors: bool = False, path: str | None = None
+) -> DataFrame:
+    """(fault_type, seed, detector, auc_roc, ...) over several plans; the clean table's parts are made once.
+
+    Each fault and seed is a run of its own, published when it is whole: with a ``path``
+    a sweep that was stopped goes on.
+    """
+    spark, made = events.sparkSession, []
+
+    def run(fault_type: str, seed: int) -> DataFrame:
+        clean = made[0] if made else made.append(Clean.of(events, profile)) or made[0]
+        if all_detectors:
+            return evaluate.auc(all_cells(clean, fault_type, seed)[0], ["detector"])
+        moved, _, labelled = injected(events, fault_type, profile, seed, clean=clean)
+        return evaluate.auc(by_detector(timing_cells(clean, moved, labelled)), ["detector"])
+
+    return sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seed": s} for k in kinds for s in seeds], run)
 
 
 #: Window schemes of the sweep.
 SCHEMES = (("fixed_count", 5), ("fixed_count", 10), ("fixed_count", 20), ("fixed_time", 43_200), ("fixed_time", 86_400), ("fixed_time", 172_800))
 
 
-def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), schemes=SCHEMES, *, all_detectors: bool = False) -> DataFrame:
-    """Confusion figures, lift and AUC for each fault, window scheme and detector; a window is true if any of its rows lies in a span."""
-    out = []
-    for kind in kinds:
-        moved, labels, _ = injected(clean.events, kind, clean.profile, clean=clean)
-        spans = inject.in_span(moved, labels, "truth").select("row_id", "node", "timestamp", "truth")
+def _in_schemes(rows: DataFrame, schemes) -> DataFrame:
+    """A row of ``rows`` for each window scheme, with ``scheme``, ``size`` and its ``window_idx``.
+
+    Place and origin of a row are found once; every scheme's window follows from them.
+    """
+    origin = rows.groupBy("node").agg(F.min("timestamp").alias("_origin"))
+    placed = sequence.add_position(rows, "_place").join(origin, "node")
+    elapsed = seconds_between(F.col("_origin"), F.col("timestamp"))
+    window = {
+        "fixed_count": lambda size: F.floor(F.col("_place") / size),
+        "fixed_time": lambda size: cell_index(elapsed, F.lit(float(size))),
+    }
+    each = [F.struct(F.lit(s).alias("scheme"), F.lit(int(size)).alias("size"), window[s](size).alias("window_idx")) for s, size in schemes]
+    return placed.withColumn("_w", F.explode(F.array(*each))).select(*rows.columns, "_w.*")
+
+
+def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), schemes=SCHEMES, *, all_detectors: bool = False, path: str | None = None) -> DataFrame:
+    """Confusion figures, lift and AUC for each fault, window scheme and detector; a window is true if any of its rows lies in a span.
+
+    Each fault is a run that is published when it is whole, as in :func:`multi_seed`.
+    """
+    cell, by = ["scheme", "size", *windows.CELL], ["scheme", "size", "detector"]
+    most = lambda flag, score: [F.bool_or("truth").alias("truth"), F.bool_or(flag).alias("flag"), F.max(score).alias("score")]
+
+    def run(fault_type: str) -> DataFrame:
+        moved, labels, _ = injected(clean.events, fault_type, clean.profile, clean=clean)
         if all_detectors:
-            rows = all_rows(clean, moved)
-        else:
-            t = timing_rows(clean, moved)
-            one = lambda name, score, flag: t.select(F.lit(name).alias("detector"), "row_id", F.col(score).alias("score"), F.col(flag).alias("flag"))  # noqa: B023, E731
-            rows = one("z_score_threshold", "z", "fz").unionByName(one("log_ratio_threshold", "r", "fr"))
-        rows = stage(rows.select("detector", "row_id", "score", "flag"), "sweep-rows")
-        for scheme, size in schemes:
-            met = rows.join(windows.assign(spans, scheme, size), "row_id")
-            cells = met.groupBy("detector", *windows.CELL).agg(F.bool_or("truth").alias("truth"), F.bool_or("flag").alias("flag"), F.max("score").alias("score"))
-            out.append(cells.withColumns({"fault_type": F.lit(kind), "scheme": F.lit(scheme), "size": F.lit(int(size))}))
-    cells, by = stage(reduce(DataFrame.unionByName, out), "sweep-cells"), ["fault_type", "scheme", "size", "detector"]
-    return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
+            spans = _in_schemes(inject.in_span(moved, labels, "truth").select("row_id", "node", "timestamp", "truth"), schemes)
+            met = all_rows(clean, moved).select("detector", "row_id", "score", "flag").join(spans, "row_id")
+            cells = met.groupBy("detector", *cell).agg(*most("flag", "score"))
+        else:  # both detectors' scores stand in a row: one pass, no join
+            rows = inject.in_span(timing_rows(clean, moved), labels, "truth").select("row_id", "node", "timestamp", "truth", "z", "fz", "r", "fr")
+            both = _in_schemes(rows, schemes).groupBy(*cell).agg(F.bool_or("truth").alias("truth"), F.bool_or("fz").alias("fz"), F.max("z").alias("z"), F.bool_or("fr").alias("fr"), F.max("r").alias("r"))
+            one = lambda name, flag, score: both.select(F.lit(name).alias("detector"), *cell, "truth", F.col(flag).alias("flag"), F.col(score).alias("score"))
+            cells = one("z_score_threshold", "fz", "z").unionByName(one("log_ratio_threshold", "fr", "r"))
+        cells = stage(cells, "sweep-cells")
+        return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
+
+    spark = clean.events.sparkSession
+    return sweep(spark, path or scratch(spark, "sweep"), [{"fault_type": k} for k in kinds], run)
 
 
 def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import audit, baseline, detect, evaluate, features, inject, seq
 from ..schema import SPARSE
 from ..sources import events as ev
 from ..sources import logs
-from ..sources.sinks import stage
+from ..sources.sinks import scratch, stage
 from . import experiments as ex
 from . import sql as q
 
@@ -597,6 +597,28 @@ def parse_hdfs_labels(e):
     return rows.select("row_id", us(), "node", "block_id", "label", "anomaly")
 
 
+@query(f"""WITH {q.EV}, f AS (SELECT *, CASE WHEN row_id % 10 < 6 THEN 2 WHEN row_id % 10 < 8 THEN 0 WHEN row_id % 10 = 8 THEN 1 ELSE 3 END AS file FROM ev)
+SELECT row_number() OVER (ORDER BY file, row_id) - 1 AS row_id, row_id || ' ' || node AS line FROM f""")
+def numbered_lines(e):
+    """Lines of files of very different size, numbered as one reader would from file to file."""
+    tenth = F.col("row_id") % 10
+    file = F.when(tenth < 6, 2).when(tenth < 8, 0).when(tenth == 8, 1).otherwise(3)
+    lines = e.select(file.alias("file"), "row_id", F.concat_ws(" ", "row_id", "node").alias("value"))
+    path = scratch(e.sparkSession, "log-files")
+    lines.repartitionByRange(8, "file", "row_id").sortWithinPartitions("file", "row_id").drop("row_id").write.partitionBy("file").text(path)
+    return logs.read_lines(e.sparkSession, f"{path}/*/*.txt")
+
+
+@query(f"""WITH {q.EV}, l AS (SELECT 'blk_-' || node AS block_id, arg_max(CASE WHEN row_id % 4 < 2 THEN 'Anomaly' ELSE 'Normal' END, row_id) AS label FROM ev WHERE row_id % 3 = 0 GROUP BY node)
+SELECT row_id, block_id, label, coalesce(label = 'Anomaly', false) AS anomaly FROM (SELECT row_id, 'blk_-' || node AS block_id FROM ev WHERE row_id % 50 <> 0) LEFT JOIN l USING (block_id)""")
+def block_labels_last(e):
+    """Of several labels of one block the last line stands."""
+    kind = F.when(F.col("row_id") % 4 < 2, "Anomaly").otherwise("Normal")
+    labels = e.where("row_id % 3 = 0").select("row_id", F.concat(F.lit("blk_-"), F.col("node")).alias("BlockId"), kind.alias("Label"))
+    rows = logs.well_formed(logs.parse_hdfs(synthetic_lines(e, "hdfs")))
+    return logs.join_block_labels(rows, labels, order="row_id").select("row_id", "block_id", "label", "anomaly")
+
+
 @query(f"WITH {q.EV} SELECT g AS grammar, count(*) FILTER (row_id % 50 = 0) AS n_malformed, count(*) AS n_lines FROM ev, (VALUES ('bgl'), ('thunderbird'), ('hdfs')) t(g) GROUP BY g")
 def malformed_lines(e):
     parsers = {"bgl": logs.parse_bgl, "thunderbird": logs.parse_thunderbird, "hdfs": logs.parse_hdfs}
@@ -652,16 +674,32 @@ def inject_plan_generator(e):
     return inject.plan_by_generator(c, *ex.normal_gaps(c), "stall", SPARSE)
 
 
+def _messages(e):
+    return e.select("row_id", "node", F.concat_ws(" ", "label", "raw_message").alias("raw_message"))
+
+
 @query()
 def drain_templates(e):
+    """One miner over the whole stream: each row's template as known at its line."""
+    return templates.mine_stream(_messages(e)).select("row_id", "event_template")
+
+
+@query()
+def drain_templates_final(e):
+    """The same groups by their templates at the end of the stream."""
+    return templates.mine_stream(_messages(e)).select("row_id", "template_id", F.col("final_template").alias("event_template"))
+
+
+@query()
+def drain_templates_by_node(e):
     """Each node's stream is mined by itself, in order."""
-    rows = e.select("row_id", "node", F.concat_ws(" ", "label", "raw_message").alias("raw_message"))
-    return templates.mine_online(rows, group="node").select("row_id", "event_template")
+    return templates.mine_online(_messages(e), group="node").select("row_id", "event_template")
 
 
 @query()
 def drain_templates_parallel(e):
-    rows = e.select("row_id", F.concat_ws(" ", "label", "raw_message").alias("raw_message"))
+    """Templates learned from the whole stream, then matched to each message without its place in the stream."""
+    rows = _messages(e)
     return templates.assign_templates(rows, templates.train_templates(rows)).select("row_id", "event_template")
 
 

@@ -141,7 +141,7 @@ m AS (SELECT x.row_id = y.row_id AS r, x.node = y.node AS n, x.event_template =
 SELECT bool_and(n) AS same_nodes, bool_and(r) AS same_rows, bool_and(t) AS same_templates, count(*) AS n_rows FROM m""")
 def order_equivalence(e):
     """Whether order by time and by row id give the same sequences."""
-    by_time = e.withColumn("place", F.row_number().over(sequence.node_window())).select("node", "place", "row_id", "event_template")
+    by_time = sequence.add_position(e, "place").select("node", (F.col("place") + 1).alias("place"), "row_id", "event_template")
     other = ev.position_order(e).select(F.col("node").alias("n2"), (F.col("position") + 1).alias("p2"), F.col("row_id").alias("r2"), F.col("event_template").alias("t2"))
     met = by_time.join(other, (F.col("node") == F.col("n2")) & (F.col("place") == F.col("p2")))
     return met.agg(
@@ -177,20 +177,15 @@ def picked_nodes(e):
     return ev.pick_nodes(ex.injected(e, "stall")[0], 10, 7)
 
 
-@query(f"WITH {q.EV} SELECT row_id FROM ev QUALIFY row_number() OVER (ORDER BY row_id) <= 500")
+@query(f"WITH {q.EV} SELECT row_id, us, node, label, anomaly, event_template, raw_message FROM ev")
 def event_sink_round_trip(e):
-    """Events written as an event table, with context columns on them, and read again."""
-    import tempfile
-
+    """Events written as an event table, with context columns on them, and read again: every row and column."""
     from ..sources import sinks
 
-    spark = e.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="chronoloom-sink-")
-    path = f"{folder.rstrip('/')}/events-{spark.sparkContext.applicationId}-{spark.sparkContext.startTime}"
-    sinks.write_events(context(e), path, mode="overwrite", files_by_node=4)
-    back = ev.read_events(spark, path)
-    assert not set(sinks.CONTEXT_COLUMNS) & set(back.columns)
-    return back.orderBy("row_id").limit(500).select("row_id")
+    path = sinks.scratch(e.sparkSession, "events")
+    sinks.write_events(context(e), path, files_by_node=4)
+    back = ev.read_events(e.sparkSession, path)
+    return back.drop("timestamp").withColumn("us", F.unix_micros(back["timestamp"]))
 
 
 # --- thresholds and score tables -------------------------------------------------------
@@ -215,8 +210,8 @@ def gap_lines(e):
     """Plot data: one injected node's gaps before and after."""
     moved, labels, _ = ex.injected(e, "stall")
     node = F.broadcast(labels.where("injection_id = 0").select("node"))
-    one = lambda d, name: context(d.join(node, "node", "left_semi")).select(
-        "node", (F.row_number().over(sequence.node_window()) - 1).alias("position"), F.lit(name).alias("state"), (F.unix_micros("timestamp") / 1e6).alias("at_s"), F.col("gap_prev_s").alias("gap_s")
+    one = lambda d, name: sequence.add_position(context(d.join(node, "node", "left_semi"))).select(
+        "node", "position", F.lit(name).alias("state"), (F.unix_micros("timestamp") / 1e6).alias("at_s"), F.col("gap_prev_s").alias("gap_s")
     )
     return one(e, "before").unionByName(one(moved, "after"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import by_node
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """An event table; columns and filters reach the scan."""
@@ -47,8 +49,7 @@ def chronological_prefix(events: DataFrame, n: int) -> DataFrame:
 
 def position_order(events: DataFrame) -> DataFrame:
     """Each event's position within its node by row id alone, whatever its clock says."""
-    w = Window.partitionBy("node").orderBy("row_id")
-    return events.withColumn("position", F.row_number().over(w) - 1)
+    return by_node(events, lambda rows, w, earlier: rows.withColumn("position", earlier("rows")), sums={"rows": F.lit(1)}, order=("row_id",))
 
 
 def node_subsample(events: DataFrame, n: int, must_include: DataFrame | None = None) -> DataFrame:

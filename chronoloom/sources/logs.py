@@ -23,21 +23,29 @@ _BLOCK, _TO = r"(blk_-?\d+)", r"dest: /([\d.]+)"
 
 
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(row_id, line): UTF-8 text with bad bytes replaced, numbered in file order.
+    """(row_id, line): UTF-8 text with bad bytes replaced, numbered file by file in order of path.
 
-    Numbers are dense and made without a global sort: lines of a split are
-    numbered from the count of those before it.
+    Numbers are dense and made without a global sort: a split (a stretch of a file)
+    begins at the number of lines in those before it, by path and then by offset, whatever
+    task reads it; a row for each split is summed and broadcast.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    split = F.shiftrightunsigned("at", 33)
-    sizes = raw.groupBy(split.alias("split")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    lines = raw.withColumn("split", split).join(F.broadcast(offsets), "split")
-    numbered = lines.select((F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("row_id"), "line")
+    at = F.monotonically_increasing_id().alias("at")
+    raw = spark.read.text(path).select(F.col("value").alias("line"), at, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # a task may read several splits, each in one piece
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    numbered = raw.join(F.broadcast(offsets), ["file", "block"]).select((F.col("at") + F.col("shift")).alias("row_id"), "line")
     return numbered if limit is None else numbered.where(F.col("row_id") < limit)
 
 
+def read_block_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, BlockId, Label) of a label file in order of its lines; the header and lines of other than two fields go."""
+    parts = F.split("line", ",")
+    found = read_lines(spark, path).select("row_id", parts.alias("f")).where(F.size("f") == 2)
+    return found.select("row_id", F.trim(F.col("f")[0]).alias("BlockId"), F.trim(F.col("f")[1]).alias("Label")).where("BlockId <> 'BlockId'")
+
+
 def _fields(lines: DataFrame, n: int, least: int) -> DataFrame:
     """(row_id, f, malformed): each line split once into ``n`` fields and the rest; fewer than ``least`` parts break the grammar."""
     parts = F.split(F.regexp_replace("line", "^" + _BLANK, ""), _BLANK, n + 1)
@@ -84,12 +92,14 @@ def well_formed(parsed: DataFrame) -> DataFrame:
     return parsed.where("not malformed").drop("malformed")
 
 
-def join_block_labels(events: DataFrame, labels: DataFrame) -> DataFrame:
+def join_block_labels(events: DataFrame, labels: DataFrame, *, order: str | None = None) -> DataFrame:
     """Block labels (BlockId, Label) onto lines; unmatched lines are unlabelled and normal.
 
-    Of several labels of one block the last in order of label stands.
+    Of several labels of one block the last by ``order`` stands; without it each
+    block has one label.
     """
-    one = labels.groupBy(F.col("BlockId").alias("block_id")).agg(F.max("Label").alias("label"))
+    last = F.max_by("Label", order) if order else F.max("Label")
+    one = labels.groupBy(F.col("BlockId").alias("block_id")).agg(last.alias("label"))
     return events.join(one, "block_id", "left").withColumn("anomaly", F.coalesce(F.col("label") == "Anomaly", F.lit(False)))
 
 

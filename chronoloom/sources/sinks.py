@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that only the analysis needs; they aren't part of an event table.
 CONTEXT_COLUMNS = ("prev_template", "next_template", "prev_anomaly", "gap_prev_s", "gap_next_s")
 _LOCAL: list[str] = []
+#: Paths given out by :func:`scratch` and not deleted yet.
+_WRITTEN: set[str] = set()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the folder that ``spark.checkpoint.dir`` names and read it back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    What several later steps use is worked out once, and lost executors cost
-    nothing.  Only a session on one machine may leave the folder unset.
+    Only a session on one machine may leave the folder unset.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", "").rstrip("/")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,8 +32,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="chronoloom-events-"))
         folder = _LOCAL[0]
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and read it back.
+
+    What several later steps use is worked out once, and lost executors cost nothing.
+    """
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_stages(spark: SparkSession) -> None:
+    """Delete all that :func:`scratch` and :func:`stage` have made: for the end of a job, as results are lazy and read such files."""
+    for path in list(_WRITTEN):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.discard(path)
 
 
 def write_events(events: DataFrame, path: str, *, mode: str = "error", files_by_node: int | None = None) -> None:
@@ -70,24 +90,67 @@ def write_injection(moved: DataFrame, labels: DataFrame, labelled: DataFrame, co
     write_config(config, f"{folder}/config", mode=mode)
 
 
-def missing_runs(spark: SparkSession, path: str, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``wanted`` (``keys``) that a growing table at ``path`` has no result for; all of them if there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return wanted
-    done = spark.read.parquet(path).select(*keys).distinct().withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return wanted.join(done, same, "left_anti")
+# --- sweeps: a table of runs, each published whole or not at all -----------------------
 
 
-def append_runs(results: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Add the results whose ``keys`` the growing table hasn't yet; the whole table is returned.
+def _marker(path: str, run: dict) -> str:
+    """The file whose existence publishes a run."""
+    return f"{path}/runs/{hashlib.sha256(json.dumps(run, sort_keys=True).encode()).hexdigest()[:32]}.json"
 
-    A sweep that stops half-way goes on with :func:`missing_runs`.
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def published(spark: SparkSession, path: str) -> list[dict]:
+    """[{run, folder}] of the runs of a sweep that are whole, in order of publication marks' names."""
+    fs, folder = _hadoop(spark, f"{path}/runs")
+    if not fs.exists(folder) or not len(fs.listStatus(folder)):
+        return []
+    lines = spark.read.text(f"{path}/runs").where("value <> ''").collect()  # a line a run
+    return sorted((json.loads(r["value"]) for r in lines), key=lambda m: json.dumps(m["run"], sort_keys=True))
+
+
+def publish_run(results: DataFrame, path: str, run: dict) -> bool:
+    """Write one run's results aside, then publish them by one mark; False if someone else's are published already.
+
+    A writer that fails leaves an unmarked folder that nobody reads, and of two
+    writers of one run the second's rows are never seen.
     """
     spark = results.sparkSession
-    new = missing_runs(spark, path, results.select(*keys).distinct(), keys)
-    same = new.withColumnsRenamed({k: f"_{k}" for k in keys})
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    results.join(same, match, "left_semi").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    folder = f"data/{uuid.uuid4().hex}"
+    results.withColumns({k: F.lit(v) for k, v in run.items()}).write.parquet(f"{path}/{folder}")
+    fs, marker = _hadoop(spark, _marker(path, run))
+    if fs.exists(marker) and fs.getFileStatus(marker).getLen():
+        return False
+    if fs.exists(marker):  # its writer ended between making and filling it
+        fs.delete(marker, False)
+    try:
+        out = fs.create(marker, False)  # fails if it has come to exist meanwhile
+    except Py4JJavaError:
+        return False
+    try:
+        out.write(bytearray(json.dumps({"run": run, "folder": folder}).encode() + b"\n"))
+    finally:
+        out.close()
+    return True
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """All published runs as one table; None if there are none."""
+    folders = [f"{path}/{m['folder']}" for m in published(spark, path)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def sweep(spark: SparkSession, path: str, runs: list[dict], compute: Callable[..., DataFrame]) -> DataFrame:
+    """The table of ``compute(**run)`` for all ``runs``, of which those published at ``path`` aren't worked out again.
+
+    A sweep that is stopped goes on where it was, from any session.
+    """
+    done = [m["run"] for m in published(spark, path)]
+    for run in runs:
+        if run not in done:
+            publish_run(compute(**run), path, run)
+    wanted = [f"{path}/{m['folder']}" for m in published(spark, path) if m["run"] in runs]
+    return spark.read.parquet(*wanted)

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -206,14 +207,37 @@ def test_sinks_round_trip(spark, tmp_path):
     assert config["n_eligible"] == 7 and config["grid_s"] == SPARSE.grid_s
 
 
-def test_a_growing_table_takes_each_run_once(spark, tmp_path):
-    path, keys = str(tmp_path / "sweep"), ["scheme", "seed"]
-    run = lambda *rows: spark.createDataFrame(list(rows), "scheme string, seed int, auc double")
-    sinks.append_runs(run(("a", 1, 0.5), ("a", 2, 0.6)), path, keys)
-    wanted = run(("a", 2, 0.0), ("b", 1, 0.0), (None, 1, 0.0)).select(*keys)
-    assert {tuple(r) for r in sinks.missing_runs(spark, path, wanted, keys).collect()} == {("b", 1), (None, 1)}
-    whole = sinks.append_runs(run(("a", 2, 0.9), ("b", 1, 0.7)), path, keys)
-    assert sorted(map(tuple, whole.collect())) == [("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, 0.7)]
+def test_a_sweep_that_was_stopped_goes_on(spark, tmp_path):
+    path, runs, done = str(tmp_path / "sweep"), [{"scheme": s, "seed": k} for s in "ab" for k in (1, 2)], []
+
+    def compute(scheme, seed, fail_at=None):
+        if (scheme, seed) == fail_at:
+            raise InterruptedError
+        done.append((scheme, seed))
+        return spark.createDataFrame([(f"{scheme}{seed}", seed / 10)], "detector string, auc double")
+
+    with pytest.raises(InterruptedError):
+        sinks.sweep(spark, path, runs, lambda **r: compute(**r, fail_at=("b", 1)))
+    assert len(sinks.published(spark, path)) == 2 and sinks.read_runs(spark, path).count() == 2
+    whole = sinks.sweep(spark, path, runs, compute)
+    assert done == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]  # nothing was worked out twice
+    want = [(f"{s}{k}", k / 10, s, k) for s in "ab" for k in (1, 2)]
+    assert sorted(map(tuple, whole.select("detector", "auc", "scheme", "seed").collect())) == want
+    # a second writer of a published run is not seen, nor a run without a mark, nor one with an empty mark
+    assert not sinks.publish_run(compute("a", 1), path, runs[0])
+    compute("z", 9).write.parquet(f"{path}/data/unmarked")
+    (tmp_path / "sweep/runs/0.json").write_text("")
+    assert sorted(map(tuple, sinks.read_runs(spark, path).select("detector", "auc", "scheme", "seed").collect())) == want
+    assert sinks.sweep(spark, path, runs[:1], compute).count() == 1 and sinks.read_runs(spark, str(tmp_path / "none")) is None
+
+
+def test_a_mark_left_empty_is_taken_over(spark, tmp_path):
+    path, run = str(tmp_path / "sweep"), {"seed": 1}
+    results = spark.createDataFrame([(0.5,)], "auc double")
+    (tmp_path / "sweep/runs").mkdir(parents=True)
+    Path(sinks._marker(path, run)).write_text("")
+    assert sinks.published(spark, path) == []
+    assert sinks.publish_run(results, path, run) and sinks.read_runs(spark, path).first()["seed"] == 1
 
 
 def test_next_event_scores_match_plain_back_off(spark):
@@ -260,7 +284,7 @@ def test_consolidation_wants_one_area_a_key(spark):
 
 def test_every_message_is_mined(spark):
     rows = spark.createDataFrame([(i, f"{'open' if i % 2 else 'close'} file f{i} at {i * 7}") for i in range(300)] + [(999, "a rare kind of message")], "row_id long, raw_message string")
-    found = {r["event_template"] for r in assign_templates(rows, train_templates(rows, parts=5)).collect()}
+    found = {r["event_template"] for r in assign_templates(rows, train_templates(rows.repartition(5))).collect()}
     assert found == {"open file <*> at <*>", "close file <*> at <*>", "a rare kind of message"}
 
 
