@@ -58,7 +58,7 @@ def _cut_points(rows: DataFrame, order: tuple[str, ...], block_rows: int) -> Dat
     if known in _SMALL:
         return None
     large = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    if large.isEmpty():
+    if nodes.count() <= block_rows or large.isEmpty():
         _SMALL.add(known)
         return None
     large = stage(large.select(F.col("node").alias("_node"), "n"), "large-nodes")

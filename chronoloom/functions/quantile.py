@@ -69,7 +69,7 @@ def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bin
     name = lambda d: d.select(F.col("key").alias(key), "n", "median")
     sizes = values.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     large = sizes.where(F.col("n") > few)
-    if large.isEmpty():
+    if values.count() <= few or large.isEmpty():
         return name(values.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")))
     large = stage(large, "large-keys")
     values = stage(values, "key-values")  # read by every pass

@@ -206,23 +206,48 @@ def timing_forest_on(clean: Clean, moved: DataFrame) -> DataFrame:
     return detect.fit_score(forest, train, build(sequence.add_sequence_context(moved)), clean.profile.threshold_quantile)
 
 
-def rescored(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
-    """(detector, unit, confusion figures): three detectors' test-period flags in windows or rows of their own, and on the common grid."""
+def native_flags(events: DataFrame, profile: Profile = SPARSE) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(test rows, (detector, row_id, flag), flags in each detector's own unit with its truth) of the count detectors and the timing forest.
+
+    All are fitted once on the training period; what they say of a row doesn't depend on the grid it is judged on.
+    """
     split = sequence.chronological_split(events, profile.train_fraction)
     test = stage(split.where("not is_train").drop("is_train", "cutoff_us"), "test")
-    grid = evaluate.eval_grid(test, profile).select("row_id", *windows.CELL, "anomaly")
-    native, common = [], []
+    own, rows = {}, []
     for name in COUNT_DETECTORS:
-        scored = stage(count_detector_windows(events, count_detector(name, profile), profile=profile).select(*windows.CELL, "label", "flag"), "flags")
-        native.append(evaluate.confusion(scored, truth="label").withColumns({"detector": F.lit(name), "unit": F.lit("window")}))
-        common.append((name, windows.back_to_rows(windows.by_count(test, profile.window_events), scored, "flag").select("row_id", "flag")))
-    forest = stage(timing_forest(events, profile).select("row_id", "anomaly", "flag"), "flags")
-    native.append(evaluate.confusion(forest, truth="anomaly").withColumns({"detector": F.lit("timing_isolation_forest"), "unit": F.lit("row")}))
-    common.append(("timing_isolation_forest", forest.select("row_id", "flag")))
-    for name, flags in common:
-        cells = evaluate.to_cells(grid.join(flags, "row_id", "left"), truth="anomaly", flag="flag")
-        native.append(evaluate.confusion(cells).withColumns({"detector": F.lit(name), "unit": F.lit("grid")}))
-    return reduce(DataFrame.unionByName, native)
+        own[name] = stage(count_detector_windows(events, count_detector(name, profile), profile=profile).select(*windows.CELL, F.col("label").alias("truth"), "flag"), "flags")
+        rows.append(windows.back_to_rows(windows.by_count(test, profile.window_events), own[name], "flag").select(F.lit(name).alias("detector"), "row_id", "flag"))
+    forest = stage(timing_forest(events, profile).select("row_id", F.col("anomaly").alias("truth"), "flag"), "flags")
+    own["timing_isolation_forest"] = forest
+    rows.append(forest.select(F.lit("timing_isolation_forest").alias("detector"), "row_id", "flag"))
+    return test, stage(reduce(DataFrame.unionByName, rows), "row-flags"), own
+
+
+def on_grids(test: DataFrame, flags: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(detector, grid_size_s, confusion figures): flags of rows on grids of several cell sizes, each test row in one cell of each.
+
+    A row without a flag isn't flagged.
+    """
+    gridded = _in_schemes(test.select("row_id", "node", "timestamp", "anomaly"), [("fixed_time", s) for s in sizes])
+    names = flags.select("detector").distinct()
+    met = gridded.crossJoin(F.broadcast(names)).join(flags, ["detector", "row_id"], "left")
+    cells = met.groupBy("detector", F.col("size").alias("grid_size_s"), *windows.CELL).agg(F.bool_or("anomaly").alias("truth"), F.bool_or(F.coalesce("flag", F.lit(False))).alias("flag"))
+    return evaluate.confusion(cells, by=["detector", "grid_size_s"])
+
+
+def rescored(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
+    """(detector, unit, confusion figures): three detectors' test-period flags in windows or rows of their own, and on the common grid."""
+    test, flags, own = native_flags(events, profile)
+    unit = lambda name: F.lit("row" if name == "timing_isolation_forest" else "window")
+    native = [evaluate.confusion(d).withColumns({"detector": F.lit(name), "unit": unit(name)}) for name, d in own.items()]
+    grid = on_grids(test, flags, (profile.grid_s,)).drop("grid_size_s").withColumn("unit", F.lit("grid"))
+    return reduce(DataFrame.unionByName, [*native, grid])
+
+
+def native_stability(events: DataFrame, sizes: tuple[int, ...], profile: Profile = SPARSE) -> DataFrame:
+    """(detector, grid_size_s, confusion figures) of the natively fitted detectors; ``certified`` marks the profile's own grid."""
+    test, flags, _ = native_flags(events, profile)
+    return on_grids(test, flags, sizes).withColumn("certified", F.col("grid_size_s") == profile.grid_s)
 
 
 def multi_seed(
@@ -230,19 +255,20 @@ def multi_seed(
 ) -> DataFrame:
     """(fault_type, seed, detector, auc_roc, ...) over several plans; the clean table's parts are made once.
 
-    Each fault and seed is a run of its own, published when it is whole: with a ``path``
-    a sweep that was stopped goes on.
+    Each fault and seed is a run of its own, whose scored cells are published when they
+    are whole: with a ``path`` a sweep that was stopped goes on.
     """
     spark, made = events.sparkSession, []
 
     def run(fault_type: str, seed: int) -> DataFrame:
         clean = made[0] if made else made.append(Clean.of(events, profile)) or made[0]
         if all_detectors:
-            return evaluate.auc(all_cells(clean, fault_type, seed)[0], ["detector"])
+            return all_cells(clean, fault_type, seed)[0]
         moved, _, labelled = injected(events, fault_type, profile, seed, clean=clean)
-        return evaluate.auc(by_detector(timing_cells(clean, moved, labelled)), ["detector"])
+        return by_detector(timing_cells(clean, moved, labelled))
 
-    return sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seed": s} for k in kinds for s in seeds], run)
+    cells = sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seed": s} for k in kinds for s in seeds], run)
+    return evaluate.auc(cells, ["fault_type", "seed", "detector"])
 
 
 #: Window schemes of the sweep.
@@ -268,9 +294,9 @@ def _in_schemes(rows: DataFrame, schemes) -> DataFrame:
 def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), schemes=SCHEMES, *, all_detectors: bool = False, path: str | None = None) -> DataFrame:
     """Confusion figures, lift and AUC for each fault, window scheme and detector; a window is true if any of its rows lies in a span.
 
-    Each fault is a run that is published when it is whole, as in :func:`multi_seed`.
+    Each fault is a run whose cells are published when they are whole, as in :func:`multi_seed`.
     """
-    cell, by = ["scheme", "size", *windows.CELL], ["scheme", "size", "detector"]
+    cell, by = ["scheme", "size", *windows.CELL], ["fault_type", "scheme", "size", "detector"]
     most = lambda flag, score: [F.bool_or("truth").alias("truth"), F.bool_or(flag).alias("flag"), F.max(score).alias("score")]
 
     def run(fault_type: str) -> DataFrame:
@@ -278,17 +304,16 @@ def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), sche
         if all_detectors:
             spans = _in_schemes(inject.in_span(moved, labels, "truth").select("row_id", "node", "timestamp", "truth"), schemes)
             met = all_rows(clean, moved).select("detector", "row_id", "score", "flag").join(spans, "row_id")
-            cells = met.groupBy("detector", *cell).agg(*most("flag", "score"))
+            return met.groupBy("detector", *cell).agg(*most("flag", "score"))
         else:  # both detectors' scores stand in a row: one pass, no join
             rows = inject.in_span(timing_rows(clean, moved), labels, "truth").select("row_id", "node", "timestamp", "truth", "z", "fz", "r", "fr")
             both = _in_schemes(rows, schemes).groupBy(*cell).agg(F.bool_or("truth").alias("truth"), F.bool_or("fz").alias("fz"), F.max("z").alias("z"), F.bool_or("fr").alias("fr"), F.max("r").alias("r"))
             one = lambda name, flag, score: both.select(F.lit(name).alias("detector"), *cell, "truth", F.col(flag).alias("flag"), F.col(score).alias("score"))
-            cells = one("z_score_threshold", "fz", "z").unionByName(one("log_ratio_threshold", "fr", "r"))
-        cells = stage(cells, "sweep-cells")
-        return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
+            return one("z_score_threshold", "fz", "z").unionByName(one("log_ratio_threshold", "fr", "r"))
 
     spark = clean.events.sparkSession
-    return sweep(spark, path or scratch(spark, "sweep"), [{"fault_type": k} for k in kinds], run)
+    cells = sweep(spark, path or scratch(spark, "sweep"), [{"fault_type": k} for k in kinds], run)
+    return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
 
 
 def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE) -> DataFrame:

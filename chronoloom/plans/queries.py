@@ -705,13 +705,13 @@ def drain_templates_parallel(e):
 
 def queries() -> dict[str, Query]:
     """Every query of the event-log operators."""
-    from . import results  # noqa: F401  registers its queries
+    from . import audits, results  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Their DuckDB SQL, where SQL can express them."""
-    from . import results  # noqa: F401
+    from . import audits, results  # noqa: F401
 
     return dict(_SQL)

@@ -11,7 +11,7 @@ from ..sources import events as ev
 from ..sources.sinks import stage
 from . import experiments as ex
 from . import sql as q
-from .queries import _GRID_RESULTS, _NORMAL, _SORTED, AUC, CONFUSION, context, grid_results, query, r6, rounded
+from .queries import _GRID_RESULTS, _NORMAL, _SIZES, _SORTED, AUC, CONFUSION, context, grid_results, query, r6, rounded
 
 FAULTS = ("stall", "burst")
 #: Names to show, in the order to show them.
@@ -185,7 +185,24 @@ def event_sink_round_trip(e):
     path = sinks.scratch(e.sparkSession, "events")
     sinks.write_events(context(e), path, files_by_node=4)
     back = ev.read_events(e.sparkSession, path)
-    return back.drop("timestamp").withColumn("us", F.unix_micros(back["timestamp"]))
+    return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
+
+
+# --- natively fitted detectors on several grids ------------------------------------------
+
+STABILITY = ["detector", "grid_size_s", *CONFUSION, "certified"]
+
+
+@query()
+def native_grid_stability(e):
+    """The count detectors and the timing forest, fitted once, on grids of half, one and two days; the certified one is marked."""
+    return rounded(ex.native_stability(e, _SIZES).select(*STABILITY))
+
+
+@query()
+def native_f1_ranking(e):
+    """Their order by F1 on each grid, and whether it is the same on all."""
+    return evaluate.f1_stability(rounded(ex.native_stability(e, _SIZES))).select("grid_size_s", F.array_join("ranking", ">").alias("ranking"), "stable")
 
 
 # --- thresholds and score tables -------------------------------------------------------
@@ -292,6 +309,24 @@ def multi_seed_auc(e):
     return rounded(ex.multi_seed(e, FAULTS, SEEDS).select("fault_type", "seed", "detector", *AUC))
 
 
+@query()
+def multi_seed_all(e):
+    """Both faults under five plans each, all four detectors."""
+    return rounded(ex.multi_seed(e, FAULTS, SEEDS, all_detectors=True).select("fault_type", "seed", "detector", *AUC))
+
+
+@query()
+def second_multi_seed_all(e):
+    """The same under the rules of a log with a coarse clock."""
+    return rounded(ex.multi_seed(hour_clock(e), FAULTS, SEEDS, SPARSE_SECOND, all_detectors=True).select("fault_type", "seed", "detector", *AUC))
+
+
+@query(q.second(_SEED_RUNS))
+def second_multi_seed_auc(e):
+    """The timing detectors under five plans each of both faults, coarse clock."""
+    return rounded(ex.multi_seed(hour_clock(e), FAULTS, SEEDS, SPARSE_SECOND).select("fault_type", "seed", "detector", *AUC))
+
+
 @query(f"""SELECT fault_type, detector, round(avg(auc_roc), 6) AS mean, round(coalesce(stddev_samp(auc_roc), 0.0), 6) AS std, count(auc_roc) AS n_seeds, min(auc_roc) AS min, max(auc_roc) AS max,
   min(auc_roc) < 0.5 AND max(auc_roc) > 0.5 AS crosses_chance FROM ({_SEED_RUNS}) GROUP BY ALL""")
 def multiseed_summary(e):
@@ -367,6 +402,12 @@ def window_sweep(e):
     return rounded(ex.window_sweep(ex.Clean.of(e)).select(*SWEEP))
 
 
+@query(q.second(_sweep_sql()))
+def second_window_sweep(e):
+    """The sweep of the coarse-clock log."""
+    return rounded(ex.window_sweep(ex.Clean.of(hour_clock(e), SPARSE_SECOND)).select(*SWEEP))
+
+
 @query()
 def window_sweep_all(e):
     """Six window schemes, both faults, all four detectors."""
