@@ -32,33 +32,40 @@ from .langid import held_out
 TRAIN_DOCS = 10_000
 #: Hash places: 2 to this power.
 BITS = 22
-_MEMO_ENTRIES = 500_000
+#: Bytes of pieces and their hashes that a worker keeps, about, and the longest piece kept.
+_MEMO_BYTES, _MEMO_PIECE = 96_000_000, 64
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class _Hashes(dict):
+    """Hashes of pieces of text, made on first use; those of long pieces aren't kept, so memory is bounded in bytes."""
+
+    def __init__(self):
+        super().__init__()
+        self.used = 0
+
+    def __missing__(self, piece: str) -> int:
+        word = piece.lower().strip("#*$%&|<>.,;:!?\"'()[]{}-_=+/\\~`@^")
+        found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        if len(piece) <= _MEMO_PIECE:
+            self[piece] = found
+            self.used += 150 + len(piece)
+        return found
+
+
 class Featurizer:
     """Texts to sorted, distinct feature places; word hashes are kept in a bounded table."""
 
     def __init__(self, bits: int = BITS):
         self.shift = np.uint64(64 - bits)
-        self._hash: dict[str, int] = {}
-
-    def _word(self, piece: str) -> int:
-        word = piece.lower().strip("#*$%&|<>.,;:!?\"'()[]{}-_=+/\\~`@^")
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        self._hash = _Hashes()
 
     def words(self, text: str | None) -> np.ndarray:
         """64-bit hashes of the words of a text."""
-        pieces, table = (text or "").split(), self._hash
-        try:
-            return np.fromiter(map(table.__getitem__, pieces), np.uint64, len(pieces))
-        except KeyError:
-            if len(table) > _MEMO_ENTRIES:
-                table.clear()
-            for p in pieces:
-                if p not in table:
-                    table[p] = self._word(p)
-            return np.fromiter(map(table.__getitem__, pieces), np.uint64, len(pieces))
+        pieces = (text or "").split()
+        if self._hash.used > _MEMO_BYTES:
+            self._hash = _Hashes()
+        return np.fromiter(map(self._hash.__getitem__, pieces), np.uint64, len(pieces))
 
     def places(self, text: str | None) -> np.ndarray:
         """Places of all features of a text, repeats included."""
