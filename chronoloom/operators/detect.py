@@ -174,18 +174,22 @@ class IsolationForest:
         return self._matrix(rows).withColumn("score", isolation("_x")).drop("_x")
 
 
+#: A context: its length and two hashes of its events, in place of the events.
+_CONTEXT = ["size", "h1", "h2"]
+
+
 def next_event_counts(train: DataFrame, order: int = 10) -> DataFrame:
-    """(ctx, total, kinds, targets): next events after every context of up to ``order`` events, the empty one included.
+    """(size, h1, h2, total, kinds, targets): next events after every context of up to ``order`` events, the empty one included.
 
     ``targets`` has the count and rank of each next event.  Stands in for a recurrent
     next-event model behind the same contract: a score -log p(target) and a top-k test.
     """
-    rows = _with_ids(train.select("row_id", "timestamp", "node", "template_id"), order).select("template_id", F.explode(_contexts()).alias("ctx"))
-    counts = rows.groupBy("ctx", "template_id").agg(F.count("*").alias("cnt"))
+    rows = _with_ids(train.select("row_id", "timestamp", "node", "template_id"), order).select("template_id", F.explode(_contexts()).alias("c"))
+    counts = rows.groupBy(*[F.col(f"c.{k}") for k in _CONTEXT], "template_id").agg(F.count("*").alias("cnt"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("less"), F.col("template_id").alias("target"))))
-    of = counts.groupBy("ctx").agg(F.sum("cnt").alias("total"), F.count("*").alias("kinds"), best.alias("best"))
+    of = counts.groupBy(*_CONTEXT).agg(F.sum("cnt").alias("total"), F.count("*").alias("kinds"), best.alias("best"))
     ranked = F.transform("best", lambda x, i: F.struct(x["target"].alias("target"), (-x["less"]).alias("cnt"), (i + 1).alias("rank")))
-    return of.select("ctx", "total", "kinds", ranked.alias("targets"))
+    return of.select(*_CONTEXT, "total", "kinds", ranked.alias("targets"))
 
 
 def _with_ids(encoded: DataFrame, order: int) -> DataFrame:
@@ -197,9 +201,15 @@ def _with_ids(encoded: DataFrame, order: int) -> DataFrame:
     return by_node(encoded, carried, before=order, sums={"rows": F.lit(1)})
 
 
-def _contexts():
-    """The contexts in ``ids``, longest first, each as an array."""
-    return F.transform(F.sequence(F.size("ids"), F.lit(0)), lambda n: F.slice("ids", F.size("ids") - n + 1, n))
+def _contexts(least: int = 0):
+    """The contexts in ``ids`` of ``least`` or more events, as lengths and hashes."""
+
+    def one(n):
+        events = F.slice("ids", F.size("ids") - n + 1, n)
+        return F.struct(n.alias("size"), F.xxhash64(events).alias("h1"), F.xxhash64(F.lit(7), events).alias("h2"))
+
+    lengths = F.when(F.size("ids") >= least, F.sequence(F.lit(least), F.size("ids"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(lengths, one)
 
 
 def next_event_scores(encoded: DataFrame, counts: DataFrame, n_templates: int, *, order: int = 10, history: int = 10, top_k: int = 9, alpha: float = 1.0) -> DataFrame:
@@ -210,14 +220,15 @@ def next_event_scores(encoded: DataFrame, counts: DataFrame, n_templates: int, *
     empty context, which every event has, is one row and joined apart.
     """
     rows = _with_ids(encoded.select("row_id", "timestamp", "node", "template_id"), order)
-    asked = rows.where(F.col("before") >= history).select("row_id", "template_id", F.explode(_contexts()).alias("ctx")).where(F.size("ctx") > 0)
-    hit = lambda: F.get(F.filter("targets", lambda t: t["target"] == F.col("template_id")), F.lit(0))
-    row = lambda size: F.struct(size.alias("size"), "total", "kinds", hit().alias("hit"))
-    met = asked.join(counts.where(F.size("ctx") > 0), "ctx").groupBy("row_id").agg(F.max_by(row(F.size("ctx")), F.size("ctx")).alias("seen"))
-    empty = F.broadcast(counts.where(F.size("ctx") == 0).select("total", "kinds", "targets"))
-    scored = rows.select("row_id", "node", "template_id", "before").join(met, "row_id", "left").crossJoin(empty).withColumn("seen", F.coalesce("seen", row(F.lit(0))))
-    p = (F.coalesce("seen.hit.cnt", F.lit(0)) + alpha) / (F.col("seen.total") + alpha * (n_templates + 1))
-    rank = F.coalesce(F.col("seen.hit.rank").cast("long"), F.col("seen.kinds") + 1)
+    asked = rows.where(F.col("before") >= history).select("row_id", "template_id", F.explode(_contexts(1)).alias("c")).select("row_id", "template_id", "c.*")
+    hit = F.get(F.filter("targets", lambda t: t["target"] == F.col("template_id")), F.lit(0))
+    # what a match says of an event, small enough to be combined before it is shuffled back
+    seen = lambda size: F.struct(size.alias("size"), "total", "kinds", hit["cnt"].alias("cnt"), hit["rank"].alias("rank"))
+    met = asked.join(counts.where("size > 0"), _CONTEXT).select("row_id", seen(F.col("size")).alias("seen")).groupBy("row_id").agg(F.max_by("seen", "seen.size").alias("seen"))
+    empty = F.broadcast(counts.where("size = 0").select("total", "kinds", "targets"))
+    scored = rows.select("row_id", "node", "template_id", "before").join(met, "row_id", "left").crossJoin(empty).withColumn("seen", F.coalesce("seen", seen(F.lit(0))))
+    p = (F.coalesce("seen.cnt", F.lit(0)) + alpha) / (F.col("seen.total") + alpha * (n_templates + 1))
+    rank = F.coalesce(F.col("seen.rank").cast("long"), F.col("seen.kinds") + 1)
     full = F.col("before") >= history
     return scored.select(
         "row_id", "node", F.when(full, -F.log(p)).otherwise(F.lit(0.0)).alias("score"), F.coalesce(full & (rank > min(top_k, n_templates + 1)), F.lit(False)).alias("flag")
