@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import cell_index, seconds_between
 
-from ..operators import audit, baseline, detect, evaluate, features, inject, sequence, windows
+from ..operators import audit, baseline, detect, evaluate, features, inject, recurrent, sequence, windows
 from ..schema import SPARSE, Profile
 from ..sources.sinks import scratch, stage, sweep
 
@@ -323,3 +323,12 @@ def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profi
     counts = stage(detect.next_event_counts(windows.encode(normal, vocab), order), "contexts")
     scores = detect.next_event_scores(windows.encode(scored, vocab), counts, vocab.count(), order=order)
     return scored.join(scores.drop("node"), "row_id")
+
+
+def recurrent_rows(events: DataFrame, scored: DataFrame, length: int = 10, profile: Profile = SPARSE) -> DataFrame:
+    """``scored`` with score and flag of the gated network learned from normal training events of ``events``."""
+    normal = sequence.chronological_split(events, profile.train_fraction).where("is_train and not anomaly")
+    vocab = stage(windows.sorted_vocabulary(normal), "vocabulary")
+    n = vocab.count() + 1
+    weights = recurrent.fit(windows.encode(normal, vocab), n, length=length)
+    return scored.join(recurrent.scores(windows.encode(scored, vocab), weights, n, length=length).drop("node"), "row_id")

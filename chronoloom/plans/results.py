@@ -472,6 +472,21 @@ def deeplog_injected(e):
     return rounded(evaluate.confusion(cells).crossJoin(evaluate.auc(cells)).select(*CONFUSION, *AUC))
 
 
+@query()
+def recurrent_native(e):
+    """The gated network against the events' own labels, on the test period's grid."""
+    rows = sequence.chronological_split(ex.recurrent_rows(e, e)).where("not is_train")
+    cells = stage(evaluate.to_cells(evaluate.eval_grid(rows, SPARSE), truth="anomaly", flag="flag", score="score"), "cells")
+    return rounded(evaluate.confusion(cells).crossJoin(evaluate.auc(cells)).select(*CONFUSION, *AUC))
+
+
+@query()
+def next_event_likelihoods(e):
+    """-log p of the test period's events, on average, under the gated network and the back-off model."""
+    mean = lambda d, name: sequence.chronological_split(d).where("not is_train and score > 0").agg(F.avg("score").alias("nll"), F.count("*").alias("n_events")).select(F.lit(name).alias("model"), "*")
+    return mean(ex.recurrent_rows(e, e), "recurrent").unionByName(mean(ex.next_event_rows(e, e), "back_off"))
+
+
 @query(f"""WITH {q.BASE}, {q.STALL}, {_DL}, {_EN.format('ev')}, {_EN.format('sti').replace('en AS', 'en2 AS')}, {q.contexts('h1', 'en')}, {q.contexts('h2', 'en2')}
 SELECT count(*) AS n_common_windows, count(*) FILTER (h1.h <> h2.h) AS n_input_mismatches, count(*) FILTER (h1.template_id <> h2.template_id) AS n_target_mismatches FROM h1 JOIN h2 USING (row_id) WHERE len(h1.h) = 10 AND len(h2.h) = 10""")
 def deeplog_invariance(e):
