@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..sources import events as ev
 from ..sources.sinks import stage
 from . import experiments as ex
 from . import sql as q
-from .queries import _GRID_RESULTS, _NORMAL, _SIZES, _SORTED, AUC, CONFUSION, context, grid_results, query, r6, rounded
+from .queries import _GRID_RESULTS, _NORMAL, _SIZES, _SORTED, _SQL, seq_context, AUC, CONFUSION, context, grid_results, query, r6, rounded
 
 FAULTS = ("stall", "burst")
 #: Names to show, in the order to show them.
@@ -188,6 +190,16 @@ def event_sink_round_trip(e):
     return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
 
 
+@query(_SQL["seq_context"])
+def bucketed_context(e):
+    """The context of an event table that is bucketed by node: no shuffle but that of the table's writing."""
+    from ..sources import sinks
+
+    name = f"events_{uuid.uuid4().hex}"
+    table = sinks.bucketed_events(e, name, sinks.scratch(e.sparkSession, "bucketed-events"))
+    return seq_context(table)
+
+
 # --- natively fitted detectors on several grids ------------------------------------------
 
 STABILITY = ["detector", "grid_size_s", *CONFUSION, "certified"]

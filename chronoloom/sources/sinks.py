@@ -66,6 +66,20 @@ def write_events(events: DataFrame, path: str, *, mode: str = "error", files_by_
     rows.write.mode(mode).parquet(path)
 
 
+def bucketed_events(events: DataFrame, table: str, path: str, *, buckets: int | None = None) -> DataFrame:
+    """An event table of files bucketed by node and sorted by node and time, registered as ``table``; it is returned as read again.
+
+    One shuffle here saves one in every later step by node: context, baselines,
+    windows and joins on ``node`` read a bucket a task.  ``buckets`` (the session's
+    shuffle partitions unless given) is the parallelism of those steps.
+    """
+    spark = events.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.drop(*CONTEXT_COLUMNS).repartition(buckets, "node")
+    rows.write.bucketBy(buckets, "node").sortBy("node", "timestamp", "row_id").option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_table(rows: DataFrame, path: str, *, mode: str = "error") -> None:
     """A small result table (labels, cells, figures) as one CSV file with a header; times are ISO with microseconds."""
     rows.coalesce(1).write.mode(mode).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)

@@ -312,3 +312,27 @@ def test_bootstrap_weighs_injections(spark):
 
 def test_profiles_bound_stalls():
     assert SYSTEM_LOG.max_mad_eff_s == 120.0 and SPARSE.max_mad_eff_s == 30_000.0
+
+
+def test_steps_by_node_of_a_bucketed_table_show_no_exchange(spark, tmp_path):
+    events = ev.from_event_stream(ev.read_events(spark, f"{SF}/events.parquet"))
+    table = sinks.bucketed_events(events, "bucketed_events_test", str(tmp_path / "t"), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        context = sequence.add_sequence_context(table)
+        steps = {
+            "context": context,
+            "windows": windows.by_count(table, 10),
+            "sizes": table.groupBy("node").count(),
+            "join": context.join(table.groupBy("node").count(), "node"),
+            "baselines": baseline.node_baselines(context.where("gap_prev_s is not null")),
+        }
+        for name, d in steps.items():
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan, name
+        key = lambda d: sorted(map(tuple, d.select("row_id", "prev_template", "gap_prev_s").collect()))
+        assert key(context) == key(sequence.add_sequence_context(events))
+        assert "Exchange hashpartitioning" in sequence.add_sequence_context(events)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_events_test")
