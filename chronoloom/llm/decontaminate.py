@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so that a benchmark question
-with other numbers and names keeps its template.  Windows of the templates are
-hash-joined.  A window has ``WINDOW`` words; where fewer than ``LITERALS`` of them
+Numbers (in digits or words), names (words with a capital) and units become typed
+placeholders, so that a benchmark question with other numbers and names keeps its
+template.  Where there are names, windows also go with these as words in small letters, so
+that a copy in other letter case, with other numbers or not, keeps one template too.
+Windows of the templates are hash-joined.  A window has ``WINDOW`` words; where fewer than ``LITERALS`` of them
 are literal it is lengthened until it holds that many, to the right from each word
 and to the left, so that every word of an item with that many literal words lies in
 some window.  Windows of ``WINDOW`` words with fewer literal ones also go by
@@ -67,6 +69,11 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur degree degrees km/h mph kmh hz khz mhz kb mb gb tb w kw v".split()
 )
+#: Number words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
+)
 _EDGES = "#*$&|<>.,;:!?\"'()[]{}-_=+/\\~`@^%"
 #: Starts of the hashes over real words, over whole lines and over both, which keep them apart from templates.
 _EXACT, _LINE, _EXACT_LINE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -76,14 +83,18 @@ _SKIP, _LITERAL, _NUMBER, _NAME, _UNIT = -1, 0, 1, 2, 3
 
 
 def _kind_of(core: str, low: str) -> int:
-    """Kind of a word without its punctuation; ``low`` is the word in lower case."""
+    """Kind of a word without its punctuation; ``low`` is the word in lower case.
+
+    A number has a digit or is made of number words; a name begins with a capital,
+    whatever follows (all capitals, McGregor, O'Brien).
+    """
     if not core:
         return _SKIP
-    if not core.isalpha() and _DIGIT.search(core):
+    if not core.isalpha() and _DIGIT.search(core) or low in NUMBER_WORDS or "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
         return _NUMBER
     if low in UNITS:
         return _UNIT
-    return _NAME if core != low and len(core) > 1 and core[0] != low[0] and core[1:] == low[1:] else _LITERAL
+    return _NAME if len(core) > 1 and core[0] != low[0] else _LITERAL
 
 
 class Sums:
@@ -106,6 +117,24 @@ class Template:
         self.kind, self.row, self.line_ends, self.ends = kind, row, line_ends, ends
         self._sums = {k: Sums(w, k) for k, w in ((np.uint64(0), hashed), (_EXACT, plain), (_LINE, hashed), (_EXACT_LINE, plain))}
         self._literals = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
+        self._names = np.concatenate([[0], np.cumsum(kind == _NAME)])
+        self._hashed, self._plain = hashed, plain
+
+    def nameless(self) -> Template:
+        """The same words with names as literal words in small letters, so that texts in other letter case match."""
+        name = self.kind == _NAME
+        return Template(np.where(name, self._plain, self._hashed), self._plain, np.where(name, _LITERAL, self.kind), self.row, self.line_ends, self.ends)
+
+    def stretches(self, lengths: np.ndarray | None = None) -> list[tuple[Template, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, start, end, hash) of windows and lines: with names as slots, and, where there are names, with them as words."""
+        found = []
+        for t in (self, self.nameless()):
+            at, end, hashed = (np.concatenate(x) for x in zip(t.windows(), t.lines(lengths)))
+            if t is not self:
+                some = self._names[end] > self._names[at]
+                at, end, hashed = at[some], end[some], hashed[some]
+            found.append((t, at, end, hashed))
+        return found
 
     def literals(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self._literals[end] - self._literals[at]
@@ -224,9 +253,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canonicalizer()
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            t = canon.template(batch.column(2).to_pylist())
-            found = [np.concatenate(x) for x in zip(t.windows(), t.lines())]
-            yield _window_batch(canon, t, batch.column(0).to_pylist(), batch.column(1).to_pylist(), *found)
+            for t, *found in canon.template(batch.column(2).to_pylist()).stretches():
+                yield _window_batch(canon, t, batch.column(0).to_pylist(), batch.column(1).to_pylist(), *found)
 
     return items.select("id", "content", "text").mapInArrow(run, _WINDOW_ROW)
 
@@ -238,10 +266,9 @@ def document_windows(docs: DataFrame, only: np.ndarray, lengths: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, (wanted, sizes) = Canonicalizer(), shared.value
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            t = canon.template(batch.column(2).to_pylist())
-            at, end, hashed = (np.concatenate(x) for x in zip(t.windows(), t.lines(sizes)))
-            hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)] == hashed)
-            yield _window_batch(canon, t, batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[hit], end[hit], hashed[hit])
+            for t, at, end, hashed in canon.template(batch.column(2).to_pylist()).stretches(sizes):
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)] == hashed)
+                yield _window_batch(canon, t, batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[hit], end[hit], hashed[hit])
 
     return docs.select("id", "content", "text").mapInArrow(run, _WINDOW_ROW)
 
