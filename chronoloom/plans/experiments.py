@@ -22,6 +22,7 @@ from ..sources.sinks import scratch, stage, sweep
 def normal_gaps(context: DataFrame, profile: Profile = SPARSE) -> tuple[DataFrame, DataFrame]:
     """(node baselines, pooled baseline) of a context's normal transitions."""
     gaps = context.where(sequence.normal_transition()).select("node", "gap_prev_s")
+    gaps = stage(gaps.select("node", "gap_prev_s"), "gaps")  # several passes read them
     return baseline.node_baselines(gaps, profile), baseline.pooled_baseline(gaps, profile)
 
 
@@ -191,7 +192,8 @@ def timing_forest(events: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     context = sequence.add_sequence_context(events)
     split = sequence.chronological_split(context, profile.train_fraction)
     train = split.where("is_train").where(sequence.normal_transition())
-    nodes, pooled = baseline.node_baselines(train, profile), baseline.pooled_baseline(train, profile)
+    gaps = stage(train.select("node", "gap_prev_s"), "gaps")
+    nodes, pooled = baseline.node_baselines(gaps, profile), baseline.pooled_baseline(gaps, profile)
     rows = features.build_features(split, nodes, pooled, profile)
     forest = detect.IsolationForest(features.FEATURES, profile.trees)
     return detect.fit_score(forest, rows.where("is_train").where(sequence.normal_transition()), rows.where("not is_train"), profile.threshold_quantile)
