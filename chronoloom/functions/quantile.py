@@ -56,9 +56,11 @@ def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> float:
     return left[0]
 
 
-def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bins: int = 512) -> DataFrame:
+def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bins: int = 512, rows: DataFrame | None = None) -> DataFrame:
     """(key, n, median) of the values of every key; null and NaN values aren't counted.
 
+    ``rows``: something cheaper with as many rows, to tell small tables by.
+
     Keys of up to ``few`` values are worked out in one grouped pass.  The middle ranks of
     all larger keys are looked for together, pass by pass: values are counted by key
     and bin before the shuffle, the bin that holds a rank becomes the range of the next
@@ -69,7 +71,7 @@ def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bin
     name = lambda d: d.select(F.col("key").alias(key), "n", "median")
     sizes = values.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     large = sizes.where(F.col("n") > few)
-    if values.count() <= few or large.isEmpty():
+    if (values if rows is None else rows).count() <= few or large.isEmpty():
         return name(values.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")))
     large = stage(large, "large-keys")
     values = stage(values, "key-values")  # read by every pass

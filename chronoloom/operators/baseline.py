@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quantile import exact_quantile, grouped_medians
 from ..functions.timing import log_ratio, robust_z, scale
 from ..schema import SYSTEM_LOG, Profile
+from ..sources.sinks import stage
 
 
 def node_baselines(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
@@ -17,9 +18,9 @@ def node_baselines(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
     status is ``valid``, ``low_count`` or ``zero_mad``.
     """
     gaps = gaps.select("node", "gap_prev_s")
-    middle = grouped_medians(gaps, "node", "gap_prev_s")
+    middle = stage(grouped_medians(gaps, "node", "gap_prev_s"), "medians")
     apart = gaps.join(middle.select("node", "median"), "node").select("node", F.abs(F.col("gap_prev_s") - F.col("median")).alias("spread"))
-    spread = grouped_medians(apart, "node", "spread").select("node", F.col("median").alias("mad"))
+    spread = grouped_medians(apart, "node", "spread", rows=gaps).select("node", F.col("median").alias("mad"))
     status = F.when(F.col("n") < profile.min_baseline, "low_count").when(F.col("mad") > 0, "valid").otherwise("zero_mad")
     return middle.join(spread, "node").select("node", "n", "median", "mad", status.alias("status"))
 

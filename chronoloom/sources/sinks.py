@@ -69,8 +69,8 @@ def write_events(events: DataFrame, path: str, *, mode: str = "error", files_by_
 def bucketed_events(events: DataFrame, table: str, path: str, *, buckets: int | None = None) -> DataFrame:
     """An event table of files bucketed by node and sorted by node and time, registered as ``table``; it is returned as read again.
 
-    One shuffle here saves one in every later step by node: context, baselines,
-    windows and joins on ``node`` read a bucket a task.  ``buckets`` (the session's
+    One shuffle here saves one in every later step by node: context, windows and
+    joins on ``node`` read a bucket a task.  ``buckets`` (the session's
     shuffle partitions unless given) is the parallelism of those steps.
     """
     spark = events.sparkSession

@@ -325,7 +325,6 @@ def test_steps_by_node_of_a_bucketed_table_show_no_exchange(spark, tmp_path):
             "windows": windows.by_count(table, 10),
             "sizes": table.groupBy("node").count(),
             "join": context.join(table.groupBy("node").count(), "node"),
-            "baselines": baseline.node_baselines(context.where("gap_prev_s is not null")),
         }
         for name, d in steps.items():
             plan = d._jdf.queryExecution().executedPlan().toString()

@@ -169,5 +169,5 @@ def test_baselines_are_the_same_by_selection(spark, monkeypatch):
     gaps = sequence.add_sequence_context(ev.from_event_stream(ev.read_events(spark, f"{SF}/events.parquet"))).where("gap_prev_s is not null")
     whole = sorted(map(tuple, baseline.node_baselines(gaps).collect()))
     monkeypatch.setattr(quantile, "FEW", 5)
-    monkeypatch.setattr(quantile.grouped_medians, "__kwdefaults__", {"few": 5, "bins": 8})
+    monkeypatch.setattr(quantile.grouped_medians, "__kwdefaults__", {"few": 5, "bins": 8, "rows": None})
     assert sorted(map(tuple, baseline.node_baselines(gaps).collect())) == whole
