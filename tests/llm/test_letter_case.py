@@ -59,3 +59,15 @@ def test_short_items_in_any_case(spark):
     docs = spark.createDataFrame([(0, "some line\nwho wrote hamlet?\nmore"), (1, "WHO WROTE HAMLET"), (2, "Who wrote novels about it"), (3, "twelve monkeys")], "doc_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(docs, items).collect()}
     assert {(0, 0), (1, 0), (3, 1)} <= found and not {d for d, _ in found} & {2}
+
+
+def test_hashes_of_words_are_bounded_in_bytes(monkeypatch):
+    from chronoloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "_MEMO_BYTES", 2000)
+    fresh, kept = toxicity.Featurizer(), toxicity.Featurizer()
+    texts = [" ".join(f"w{i}x{k}" for i in range(20)) + " " + "z" * 500 for k in range(30)]
+    for t in texts:
+        assert (kept.words(t) == toxicity.Featurizer().words(t)).all()
+        assert kept._hash.used <= 2000 + 21 * 250 and all(len(w) <= toxicity._MEMO_PIECE for w in kept._hash)
+    assert (fresh.places("a b c") == kept.places("a b c")).all()
