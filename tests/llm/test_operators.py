@@ -617,7 +617,7 @@ def test_pipeline_of_awkward_rows(spark, docs, messy):
 
 def test_every_query_is_registered():
     names = list(llm_queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(llm_queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and set(llm_queries.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
@@ -625,7 +625,7 @@ def test_matches_duckdb(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = llm_queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
