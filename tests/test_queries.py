@@ -9,7 +9,8 @@ from chronoloom.plans import queries as plans
 
 from .conftest import SF
 
-SLOW = {"bootstrap_table"}
+#: Five seeds of four detectors, and resampled tables: run by hand.
+SLOW = {"bootstrap_table", "multi_seed_all", "second_multi_seed_all"}
 
 
 def norm(v):
