@@ -29,9 +29,15 @@ def flag_above(scored: DataFrame, limit: DataFrame) -> DataFrame:
 
 def fit_score(detector, train: DataFrame, rows: DataFrame, q: float = 0.95) -> DataFrame:
     """Fit on ``train``, score ``rows`` and flag those above the training quantile."""
+    fitted, limit = fit_limit(detector, train, q)
+    return flag_above(fitted.score(rows), limit)
+
+
+def fit_limit(detector, train: DataFrame, q: float = 0.95) -> tuple:
+    """(the detector fitted on ``train``, its one-row threshold), to score any number of tables with."""
     train = stage(train, "training-rows")  # read by every step of a fit
     fitted = detector.fit(train)
-    return flag_above(fitted.score(rows), threshold(fitted.score(train), q))
+    return fitted, threshold(fitted.score(train), q)
 
 
 class FixedZ:

@@ -40,11 +40,15 @@ def with_cell_truth(cells: DataFrame, labelled: DataFrame) -> DataFrame:
     return cells.join(marks, CELL, "left").withColumn("truth", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def confusion(cells: DataFrame, truth: str = "truth", flag: str = "flag", by: list[str] | None = None) -> DataFrame:
-    """tp, fp, fn, tn, precision, recall, f1, flagged_frac, lift and n_cells; zero where a ratio has no base."""
+def confusion(cells: DataFrame, truth: str = "truth", flag: str = "flag", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, tn, precision, recall, f1, flagged_frac, lift and n_cells; zero where a ratio has no base.
+
+    ``weight``: how many cells a row stands for, less than none if it takes some away.
+    """
     t, p = F.col(truth), F.col(flag)
+    n = (lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0))) if weight else F.count_if
     counts = cells.groupBy(*(by or [])).agg(
-        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"), F.count("*").alias("n_cells")
+        n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), n(~t & ~p).alias("tn"), (F.sum(weight) if weight else F.count("*")).alias("n_cells")
     )
     c = F.col
     rows = counts.withColumns({"precision": ratio_or_zero(c("tp"), c("tp") + c("fp")), "recall": ratio_or_zero(c("tp"), c("tp") + c("fn")), "flagged_frac": ratio_or_zero(c("tp") + c("fp"), c("n_cells"))})
@@ -75,7 +79,11 @@ def score_table(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     task has to sort all distinct scores.
     """
     by = by or []
-    table = cells.groupBy(*by, "score").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
+    return _ranked(cells.groupBy(*by, "score").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg")), by)
+
+
+def _ranked(table: DataFrame, by: list[str]) -> DataFrame:
+    """The score table of (score, pos, neg), a row a score."""
     table = stage(table.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score").withColumn("_part", F.spark_partition_id()), "scores")
     parts = table.groupBy(*by, "_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
@@ -94,10 +102,15 @@ def score_table(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def auc(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """auc_roc (ties count half), auc_pr (step sum), prevalence and their ratio; null for a single class."""
+    return _areas(score_table(cells, by), by or [])
+
+
+def _areas(table: DataFrame, by: list[str]) -> DataFrame:
+    """The figures of :func:`auc` from a score table; scores without a positive add nothing to either area."""
     c = F.col
-    base = F.max("n_pos") / (F.max("n_pos") + F.max("n_neg"))
+    base = F.try_divide(F.max("n_pos"), F.max("n_pos") + F.max("n_neg"))
     both = (F.max("n_pos") > 0) & (F.max("n_neg") > 0)
-    rows = score_table(cells, by).groupBy(*(by or [])).agg(
+    rows = table.groupBy(*by).agg(
         F.when(both, F.try_divide(F.sum(c("pos") * (c("neg_below") + 0.5 * c("neg"))), F.max("n_pos").cast("double") * F.max("n_neg"))).alias("auc_roc"),
         F.when(both, F.sum(F.try_divide(c("pos"), c("n_pos")) * F.try_divide(c("tp"), c("tp") + c("fp")))).alias("auc_pr"),
         base.alias("no_skill_baseline"), (F.max("n_pos") + F.max("n_neg")).alias("n_eval_cells"), F.max("n_pos").alias("n_positive_cells"),
@@ -105,6 +118,44 @@ def auc(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.withColumn("auc_pr_ratio", ratio_or_null(c("auc_pr"), c("no_skill_baseline")))
 
 
+# --- tables that differ from one common table in few cells ---------------------------------
+
+
+def changed_confusion(clean: DataFrame, changes: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`confusion` by run and ``by`` of the tables that ``changes`` make of ``clean`` (``by``, score, flag), all of whose cells are negative.
+
+    ``changes`` has a run's key, ``by``, truth, flag, score and the weight of each cell that
+    comes (1) or goes (-1); ``runs`` has the keys of all runs, a few rows.
+    """
+    kept = clean.groupBy(*by, "flag").agg(F.count("*").alias("weight")).withColumn("truth", F.lit(False)).crossJoin(F.broadcast(runs))
+    keys = [*runs.columns, *by]
+    return confusion(kept.unionByName(changes.select(*keys, "flag", "truth", "weight")), by=keys, weight="weight")
+
+
+def changed_auc(clean: DataFrame, changes: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`auc` by run and ``by`` of the same tables.
+
+    Both areas are sums over the scores of positives, which only changes have.  So the
+    clean table is ranked once for all runs, with the scores asked for among its own;
+    the changes, which are few, are ranked by run, and the counts are added up.
+    """
+    keys, c, zero = [*runs.columns, *by], F.col, F.lit(0).cast("long")
+    n = lambda truth: F.coalesce(F.sum(F.when(truth, c("weight"))), zero)
+    moved = stage(changes.groupBy(*keys, "score").agg(n(c("truth")).alias("pos"), n(~c("truth")).alias("neg")), "changed-scores")
+    asked = moved.where("pos > 0").select(*by, "score").distinct().withColumns({"pos": zero, "neg": zero})
+    levels = clean.groupBy(*by, "score").agg(zero.alias("pos"), F.count("*").alias("neg")).unionByName(asked).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    told = _ranked(levels, by)
+    there = [told[k].eqNullSafe(asked[k]) for k in (*by, "score")]
+    told = told.join(asked, reduce(lambda a, b: a & b, there), "left_semi")
+    told = told.select(*[c(k).alias(f"_{k}") for k in (*by, "score")], c("neg").alias("_neg"), c("neg_below").alias("_below"))
+    own = _ranked(moved, keys).where("pos > 0")
+    met = own.join(told, reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in (*by, "score")]))
+    totals = clean.groupBy(*by).agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs)).select(*keys, zero.alias("p"), "n")
+    totals = totals.unionByName(moved.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    met = totals.join(met.select(*keys, "pos", "tp", (c("neg") + c("_neg")).alias("neg"), (c("neg_below") + c("_below")).alias("neg_below")), keys, "left")
+    return _areas(met.withColumn("fp", c("n_neg") - c("neg_below")), keys)
+
+
 def fusion(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: agreement of two detectors' cells (node, window_idx, truth, flag), and what flagging by either gains and costs."""
     left = a.select(*CELL, F.col("flag").alias("fa"), F.col("truth").alias("ta"))

@@ -6,6 +6,8 @@ and arithmetic in whole microseconds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -13,19 +15,27 @@ from pyspark.sql import functions as F
 from ..functions.ordered import by_node
 from ..functions.timing import cell_index, seconds_between, shifted
 from ..schema import SYSTEM_LOG, Profile
+from ..sources.sinks import stage
 from .baseline import scale_of, with_baseline, z_of
 from .sequence import add_position
 
 
 def with_position(events: DataFrame) -> DataFrame:
     """``position`` of each event in its node, from 0, and the node's size ``node_n``."""
-    sizes = events.groupBy("node").agg(F.count("*").alias("node_n"))
-    return add_position(events).join(sizes, "node")
+    return add_position(events).join(node_sizes(events), "node")
+
+
+def node_sizes(events: DataFrame) -> DataFrame:
+    """(node, node_n)."""
+    return events.groupBy("node").agg(F.count("*").alias("node_n"))
+
 
+def eligible_nodes(events: DataFrame, nodes: DataFrame, min_events: int, profile: Profile = SYSTEM_LOG, sizes: DataFrame | None = None) -> DataFrame:
+    """(node, node_n): enough events and a scale, by the node's own MAD, that keeps faults under the cap.
 
-def eligible_nodes(events: DataFrame, nodes: DataFrame, min_events: int, profile: Profile = SYSTEM_LOG) -> DataFrame:
-    """(node, node_n): enough events and a scale, by the node's own MAD, that keeps faults under the cap."""
-    sizes = events.groupBy("node").agg(F.count("*").alias("node_n")).where(F.col("node_n") >= min_events)
+    ``sizes``: those of :func:`node_sizes`, where they are known already.
+    """
+    sizes = (node_sizes(events) if sizes is None else sizes).where(F.col("node_n") >= min_events)
     scale = F.greatest(F.col("mad") * profile.mad_to_sigma, F.lit(profile.mad_floor_s))
     fit = nodes.where(scale <= profile.max_mad_eff_s)
     if profile.require_valid_baseline:
@@ -43,28 +53,38 @@ def _pick(choices: tuple, *parts) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (k + 1).cast("int"))
 
 
-def plan_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile = SYSTEM_LOG, seed: int | None = None) -> DataFrame:
+def plan_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile = SYSTEM_LOG, seed: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(injection_id, node, node_n, start_pos, burst_length, intensity): a plan made by hashes alone.
 
     Nodes with the smallest hashes are taken; of a node's admissible starts (all
     following gaps within the z limit, else any start in range) the one with the
     smallest hash.  Expressible in SQL, and no node's events leave their task.
     """
+    seed = (profile.stall_seed if kind == "stall" else profile.burst_seed) if seed is None else seed
+    return plans_by_hash(context, nodes, pooled, kind, profile, (seed,), sizes)
+
+
+def plans_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile, seeds: tuple[int, ...], sizes: DataFrame | None = None) -> DataFrame:
+    """The plans of several seeds at once; only the rows of the chosen nodes are put in order."""
     stall = kind == "stall"
-    seed = (profile.stall_seed if stall else profile.burst_seed) if seed is None else seed
     least, (lo, hi) = (profile.stall_min_events, profile.stall_range) if stall else (profile.burst_min_events, profile.burst_range)
-    chosen = eligible_nodes(context, nodes, least, profile).orderBy(_hash(seed, F.col("node")), "node").limit(profile.n_injections)
-    chosen = chosen.select(
-        (F.row_number().over(Window.orderBy(_hash(seed, F.col("node")), "node")) - 1).alias("injection_id"), "node", "node_n",
-        (F.lit(1) if stall else _pick(profile.burst_lengths, seed, "length", F.col("node"))).alias("burst_length"),
-        _pick(profile.intensities, seed, "intensity", F.col("node")).alias("intensity"),
-    )
-    rows = with_baseline(add_position(context).join(F.broadcast(chosen), "node"), nodes, pooled)
+    eligible = eligible_nodes(context, nodes, least, profile, sizes)
+
+    def chosen(seed: int) -> DataFrame:
+        return eligible.orderBy(_hash(seed, F.col("node")), "node").limit(profile.n_injections).select(
+            (F.row_number().over(Window.orderBy(_hash(seed, F.col("node")), "node")) - 1).alias("injection_id"), "node", "node_n",
+            (F.lit(1) if stall else _pick(profile.burst_lengths, seed, "length", F.col("node"))).alias("burst_length"),
+            _pick(profile.intensities, seed, "intensity", F.col("node")).alias("intensity"), F.lit(seed).alias("seed"),
+        )
+
+    own = stage(reduce(DataFrame.unionByName, [chosen(s) for s in seeds]), "chosen")
+    rows = with_baseline(context.select("node", "timestamp", "row_id", "gap_prev_s").join(F.broadcast(own), "node"), nodes, pooled)
     far = F.coalesce((F.abs(z_of("gap_prev_s", profile)) > profile.z_limit).cast("long"), F.lit(0))
+    rows = add_position(of_run(stage(rows.withColumns({"_far": far, "_plain": F.col("node")}), "chosen-rows")))
     lengths = sorted({1} if stall else set(profile.burst_lengths))
     # gaps beyond the limit among the burst_length events that follow: a difference of running counts
     upto = lambda d, w, earlier: d.withColumn("_upto", earlier("far") + F.col("_far"))
-    rows = by_node(rows.withColumn("_far", far), upto, sums={"far": F.col("_far")}, order=("position",))
+    rows = by_node(rows, upto, sums={"far": F.col("_far")}, order=("position",))
 
     def beyond(d: DataFrame, w: WindowSpec, _) -> DataFrame:
         later = F.lit(None).cast("long")
@@ -76,11 +96,22 @@ def plan_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind:
     first = F.floor(F.col("node_n") * lo)
     last = F.least(F.greatest(F.floor(F.col("node_n") * hi), first + 1), F.col("node_n") - F.col("burst_length") - (0 if stall else 1))
     inside = rows.withColumn("_bad", (F.col("_later") - F.col("_upto") > 0).cast("int")).where((F.col("position") >= first) & (F.col("position") < last))
-    best = F.min(F.struct("_bad", _hash(seed, "start", F.col("node"), F.col("position").cast("string")).alias("h"), "position"))
-    return inside.groupBy("injection_id", "node", "node_n", "burst_length", "intensity").agg(best["position"].alias("start_pos")).withColumn("seed", F.lit(seed))
+    best = F.min(F.struct("_bad", _hash(F.col("seed").cast("string"), "start", F.col("_plain"), F.col("position").cast("string")).alias("h"), "position"))
+    found = inside.groupBy("injection_id", F.col("_plain").alias("node"), "node_n", "burst_length", "intensity", "seed").agg(best["position"].alias("start_pos"))
+    return found.select("injection_id", "node", "node_n", "burst_length", "intensity", "start_pos", "seed")
+
+
+def of_run(rows: DataFrame) -> DataFrame:
+    """Rows with a ``seed`` under names of nodes that tell runs apart, so that one pass serves several plans of the same nodes."""
+    return rows.withColumn("node", F.concat_ws("|", F.col("seed").cast("string"), "node"))
+
+
+def run_of(rows: DataFrame) -> DataFrame:
+    """The node's own name again, and its ``seed``."""
+    return rows.withColumns({"seed": F.substring_index("node", "|", 1).cast("int"), "node": F.expr("substring(node, locate('|', node) + 1)")})
 
 
-def plan_by_generator(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile = SYSTEM_LOG, seed: int | None = None) -> DataFrame:
+def plan_by_generator(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile = SYSTEM_LOG, seed: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The same kind of plan with numpy's default generator: the draws of a published benchmark.
 
     Order of draws: nodes and seeds from the master generator; then, from each
@@ -92,7 +123,7 @@ def plan_by_generator(context: DataFrame, nodes: DataFrame, pooled: DataFrame, k
     seed = (profile.stall_seed if stall else profile.burst_seed) if seed is None else seed
     least, (lo_f, hi_f) = (profile.stall_min_events, profile.stall_range) if stall else (profile.burst_min_events, profile.burst_range)
     spark = context.sparkSession
-    ranked = eligible_nodes(context, nodes, least, profile).orderBy("node")
+    ranked = eligible_nodes(context, nodes, least, profile, sizes).orderBy("node")
     n_eligible = ranked.count()
     n = min(profile.n_injections, n_eligible)
     master = np.random.default_rng(seed)
@@ -180,11 +211,11 @@ def apply_bursts(events: DataFrame, plan: DataFrame, profile: Profile = SYSTEM_L
 def stall_labels(events: DataFrame, injected: DataFrame, scaled_plan: DataFrame) -> DataFrame:
     """A row of ground truth for each stall."""
     before = with_position(events).select("node", "position", F.col("timestamp").alias("t"), "row_id")
-    moved = injected.where("injected_row").select("row_id", F.col("timestamp").alias("end"))
+    moved = injected.where("injected_row").select("node", "row_id", F.col("timestamp").alias("end"))
     plan = scaled_plan.select("injection_id", "node", "node_n", "start_pos", "intensity", "seed", "node_mad_eff_s", "used_pooled", "delta_us")
     at = lambda k, name: before.select("node", (F.col("position") - k).alias("start_pos"), F.col("t").alias(name), *([F.col("row_id")] if k else []))
     return (
-        plan.join(at(0, "start"), ["node", "start_pos"]).join(at(1, "_next"), ["node", "start_pos"]).join(moved, "row_id")
+        plan.join(at(0, "start"), ["node", "start_pos"]).join(at(1, "_next"), ["node", "start_pos"]).join(moved, ["node", "row_id"])
         .select(
             "injection_id", "node", F.lit("stall").alias("type"), "start", "end", "intensity", "seed", "node_mad_eff_s",
             F.col("used_pooled").alias("used_pooled_fallback"), (F.col("delta_us") / 1e6).alias("delta_seconds"),
@@ -197,13 +228,13 @@ def stall_labels(events: DataFrame, injected: DataFrame, scaled_plan: DataFrame)
 def burst_labels(events: DataFrame, injected: DataFrame, plan: DataFrame) -> DataFrame:
     """A row of ground truth for each burst."""
     before = with_position(events).select("node", "position", F.col("timestamp").alias("t"), "row_id")
-    moved = injected.select("row_id", F.col("timestamp").alias("end"))
+    moved = injected.select("node", "row_id", F.col("timestamp").alias("end"))
     rows = plan.select("injection_id", "node", "node_n", "start_pos", "burst_length", "intensity", "seed").withColumn("end_pos", F.col("start_pos") + F.col("burst_length"))
     start = before.select("node", F.col("position").alias("start_pos"), F.col("t").alias("start"))
     end = before.select("node", F.col("position").alias("end_pos"), F.col("t").alias("_old_end"), "row_id")
     span = seconds_between(F.col("start"), F.col("end"))
     return (
-        rows.join(start, ["node", "start_pos"]).join(end, ["node", "end_pos"]).join(moved, "row_id")
+        rows.join(start, ["node", "start_pos"]).join(end, ["node", "end_pos"]).join(moved, ["node", "row_id"])
         .select(
             "injection_id", "node", F.lit("burst").alias("type"), "start", "end", "intensity", "seed", "burst_length",
             seconds_between(F.col("end"), F.col("_old_end")).alias("total_time_saved_s"), span.alias("compressed_span_s"),

@@ -6,7 +6,8 @@ are small next to it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,19 @@ class Clean:
     train_nodes: DataFrame
     train_pooled: DataFrame
     limit: DataFrame
+    sizes: DataFrame
+    #: What only some runs need, by name: worked out once, too.
+    made: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def once(self, name, make: Callable):
+        """``make()``, kept under ``name``."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    def rows(self) -> DataFrame:
+        """The events as they were given, read from the written context."""
+        return self.context.select(*self.events.columns)
 
     @classmethod
     def of(cls, events: DataFrame, profile: Profile = SPARSE) -> Clean:
@@ -67,17 +81,23 @@ class Clean:
         train_nodes, train_pooled = stage(baseline.node_baselines(train, profile), "baselines"), baseline.pooled_baseline(train, profile)
         ratio = baseline.with_baseline(train, train_nodes, train_pooled).withColumn("log_ratio", baseline.log_ratio_of("gap_prev_s", profile))
         limit = detect.threshold(detect.LogRatio().score(ratio), profile.threshold_quantile)
-        return cls(events, profile, context, stage(nodes, "baselines"), pooled, train_nodes, train_pooled, limit)
+        return cls(events, profile, context, stage(nodes, "baselines"), pooled, train_nodes, train_pooled, limit, stage(inject.node_sizes(context), "sizes"))
 
 
-def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int | None = None, planner=inject.plan_by_hash, clean: Clean | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(injected events, labels, labelled cells) of one fault type; moved events and labels are written once."""
+def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int | None = None, planner=inject.plan_by_hash, clean: Clean | None = None, *, planned_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(injected events, labels, labelled cells) of one fault type; moved events and labels are written once.
+
+    A fault moves events of the planned nodes alone, ``n_injections`` at most: with
+    ``planned_only`` the injected events are theirs, and those of all other nodes are the clean ones.
+    """
     if clean is None:
         context = stage(sequence.add_sequence_context(events), "context")
-        nodes, pooled = normal_gaps(context, profile)
+        nodes, pooled, sizes = *normal_gaps(context, profile), None
     else:
-        context, nodes, pooled = clean.context, clean.nodes, clean.pooled
-    plan = stage(planner(context, nodes, pooled, kind, profile, seed), "plan")
+        context, nodes, pooled, sizes = clean.context, clean.nodes, clean.pooled, clean.sizes
+    plan = stage(planner(context, nodes, pooled, kind, profile, seed, sizes), "plan")
+    if planned_only:
+        events = stage(context.join(F.broadcast(plan.select("node")), "node", "left_semi").select(*events.columns), "planned-rows")
     if kind == "stall":
         plan = stage(inject.stall_plan_scaled(plan, nodes, pooled, profile), "plan")
         moved = stage(inject.apply_stalls(events, plan, profile), "moved")
@@ -88,25 +108,28 @@ def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int
     return moved, labels, inject.grid_labels(labels, moved, profile.grid_s)
 
 
-def timing_rows(clean: Clean, moved: DataFrame) -> DataFrame:
+def timing_rows(clean: Clean, moved: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Rows of injected data with score and flag of the z (``z``, ``fz``) and log-ratio (``r``, ``fr``) detectors.
 
-    Both are fitted on the normal transitions of the clean training period.
+    Both are fitted on the normal transitions of the clean training period.  ``context``: that of ``moved``, where it is known.
     """
-    rows = baseline.with_baseline(sequence.add_sequence_context(moved), clean.train_nodes, clean.train_pooled).crossJoin(F.broadcast(clean.limit))
+    context = sequence.add_sequence_context(moved) if context is None else context
+    rows = baseline.with_baseline(context, clean.train_nodes, clean.train_pooled).crossJoin(F.broadcast(clean.limit))
     z, r = F.abs(F.coalesce(baseline.z_of("gap_prev_s", clean.profile), F.lit(0.0))), F.abs(baseline.log_ratio_of("gap_prev_s", clean.profile))
     return rows.select(*[c for c in moved.columns], z.alias("z"), (z > clean.profile.z_limit).alias("fz"), r.alias("r"), (r > F.col("threshold")).alias("fr"))
 
 
 def timing_cells(clean: Clean, moved: DataFrame, labelled: DataFrame) -> DataFrame:
     """Cells of injected data with truth and both timing detectors' scores and flags."""
-    rows = evaluate.eval_grid(timing_rows(clean, moved), clean.profile)
-    by_cell = rows.groupBy(*windows.CELL).agg(F.max("z").alias("z"), F.bool_or("fz").alias("fz"), F.max("r").alias("r"), F.bool_or("fr").alias("fr"))
-    return evaluate.with_cell_truth(by_cell, labelled)
+    return evaluate.with_cell_truth(_cells(clean, timing_rows(clean, moved), TIMING), labelled)
 
 
+#: Detectors by the name under which they report, with the columns of their scores and flags in wide form.
+TIMING = {"z_score_threshold": ("z", "fz"), "log_ratio_threshold": ("r", "fr")}
+COUNT = {"count_vector_pca": ("p", "fp"), "isolation_forest_counts": ("c", "fc")}
+ALL = TIMING | COUNT
 #: Count detectors, by the name under which they report.
-COUNT_DETECTORS = ("count_vector_pca", "isolation_forest_counts")
+COUNT_DETECTORS = tuple(COUNT)
 
 
 def count_detector(name: str, profile: Profile = SPARSE):
@@ -114,41 +137,105 @@ def count_detector(name: str, profile: Profile = SPARSE):
     return detect.CountPCA(profile.pca_components) if name == "count_vector_pca" else detect.IsolationForest("counts", profile.trees)
 
 
-def count_rows(clean: Clean, moved: DataFrame, names: tuple[str, ...] = COUNT_DETECTORS) -> DataFrame:
-    """(detector, row_id, node, timestamp, score, flag): count detectors fitted on the clean training period, scored on all injected rows.
+def count_fits(clean: Clean) -> tuple[DataFrame, dict]:
+    """(vocabulary, {name: (fitted detector, its threshold)}) of the count detectors on the clean training period, fitted once for all runs."""
+
+    def fit():
+        profile = clean.profile
+        train = windows.by_count(training_period(clean.context, profile), profile.window_events)
+        vocab = stage(windows.vocabulary(train, profile.vocabulary), "vocabulary")
+        fit_on = stage(windows.count_vectors(train, vocab, profile.vocabulary).where("not label"), "train-vectors")
+        return vocab, {name: detect.fit_limit(count_detector(name, profile), fit_on, profile.threshold_quantile) for name in COUNT}
+
+    return clean.once("count-fits", fit)
+
 
-    Windows of ``window_events`` events give the scores, which go back to their rows.
+def wide_rows(clean: Clean, moved: DataFrame, detectors: dict, context: DataFrame | None = None) -> DataFrame:
+    """Rows of ``moved`` with score and flag of the timing detectors or of all, as columns.
+
+    Windows of ``window_events`` events give the count detectors' scores, which go back to their rows.
     """
-    profile = clean.profile
-    train = windows.by_count(training_period(clean.context, profile), profile.window_events)
-    vocab = stage(windows.vocabulary(train, profile.vocabulary), "vocabulary")
-    fit_on = stage(windows.count_vectors(train, vocab, profile.vocabulary).where("not label"), "train-vectors")
-    windowed = windows.by_count(moved, profile.window_events)
-    vectors = stage(windows.count_vectors(windowed, vocab, profile.vocabulary), "vectors")
-    out = []
-    for name in names:
-        scored = detect.fit_score(count_detector(name, profile), fit_on, vectors, profile.threshold_quantile)
-        out.append(windows.back_to_rows(windowed, scored, "score", "flag").select(F.lit(name).alias("detector"), "row_id", "node", "timestamp", "score", "flag"))
-    return reduce(DataFrame.unionByName, out)
+    rows = timing_rows(clean, moved, context)
+    if detectors is TIMING:
+        return rows
+    windowed = windows.by_count(rows, clean.profile.window_events)
+    vocab, fits = count_fits(clean)
+    scored = stage(windows.count_vectors(windows.by_count(moved, clean.profile.window_events), vocab, clean.profile.vocabulary), "vectors")
+    for name, (score, flag) in COUNT.items():
+        fitted, limit = fits[name]
+        scored = detect.flag_above(fitted.score(scored), limit).withColumnsRenamed({"score": score, "flag": flag}).drop("threshold")
+    return windows.back_to_rows(windowed, scored, *[c for pair in COUNT.values() for c in pair])
+
+
+def long_form(wide: DataFrame, detectors: dict, *keys: str) -> DataFrame:
+    """(detector, ``keys``, score, flag): a row a detector."""
+    each = [F.struct(F.lit(name).alias("detector"), F.col(score).alias("score"), F.col(flag).alias("flag")) for name, (score, flag) in detectors.items()]
+    return wide.withColumn("_d", F.explode(F.array(*each))).select("_d.detector", *keys, "_d.score", "_d.flag")
 
 
 def all_rows(clean: Clean, moved: DataFrame) -> DataFrame:
     """(detector, row_id, node, timestamp, score, flag) of all four detectors."""
-    rows = timing_rows(clean, moved)
-    one = lambda name, score, flag: rows.select(F.lit(name).alias("detector"), "row_id", "node", "timestamp", F.col(score).alias("score"), F.col(flag).alias("flag"))
-    timing = one("z_score_threshold", "z", "fz").unionByName(one("log_ratio_threshold", "r", "fr"))
-    return timing.unionByName(count_rows(clean, moved))
+    return long_form(wide_rows(clean, moved, ALL), ALL, "row_id", "node", "timestamp")
+
+
+def _most(detectors: dict) -> list:
+    """Largest score and any flag of each detector."""
+    return [a for score, flag in detectors.values() for a in (F.max(score).alias(score), F.bool_or(flag).alias(flag))]
+
+
+def _cells(clean: Clean, rows: DataFrame, detectors: dict) -> DataFrame:
+    """Cells of wide rows on the profile's grid, wide, too."""
+    return evaluate.eval_grid(rows, clean.profile).groupBy(*windows.CELL).agg(*_most(detectors))
 
 
-def all_cells(clean: Clean, kind: str, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(detector, node, window_idx, truth, score, flag) of all four detectors on one fault, written; and the labelled cells."""
-    moved, _, labelled = injected(clean.events, kind, clean.profile, seed, clean=clean)
+def clean_cells(clean: Clean, detectors: dict) -> DataFrame:
+    """(detector, node, window_idx, score, flag) of the clean table's cells, written once for all runs."""
+    make = lambda: stage(long_form(_cells(clean, wide_rows(clean, clean.rows(), detectors, clean.context), detectors), detectors, *windows.CELL), "clean-cells")
+    return clean.once(("cells", *detectors), make)
+
+
+def changed_cells(clean: Clean, kind: str, seed: int | None, detectors: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, nodes, labelled cells) of one fault: those of the planned nodes alone, in long form and with truth, and which nodes these are.
+
+    Every other node has its clean events, and so its clean cells, none of them labelled.
+    """
+    moved, _, labelled = injected(clean.events, kind, clean.profile, seed, clean=clean, planned_only=True)
     labelled = stage(labelled, "labelled")
-    origin = moved.groupBy("node").agg(F.min("timestamp").alias("_origin"))
-    at = cell_index(seconds_between(F.col("_origin"), F.col("timestamp")), F.lit(float(clean.profile.grid_s)))
-    gridded = all_rows(clean, moved).join(origin, "node").withColumn("window_idx", at)
-    cells = gridded.groupBy("detector", *windows.CELL).agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.bool_or(F.coalesce("flag", F.lit(False))).alias("flag"))
-    return stage(evaluate.with_cell_truth(cells, labelled), "cells"), labelled
+    cells = long_form(_cells(clean, wide_rows(clean, moved, detectors), detectors), detectors, *windows.CELL)
+    return evaluate.with_cell_truth(cells, labelled), moved.select("node").distinct(), labelled
+
+
+def all_cells(clean: Clean, kind: str, seed: int | None = None, detectors: dict = ALL) -> tuple[DataFrame, DataFrame]:
+    """(detector, node, window_idx, truth, score, flag) of the detectors on one fault, written; and the labelled cells."""
+    come, nodes, labelled = changed_cells(clean, kind, seed, detectors)
+    stay = clean_cells(clean, detectors).join(F.broadcast(nodes), "node", "left_anti").withColumn("truth", F.lit(False))
+    return stage(stay.unionByName(come), "cells"), labelled
+
+
+def as_changes(come: DataFrame, clean: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The cells that come (``weight`` 1) and the clean ones of their nodes, which go (-1)."""
+    go = clean.join(F.broadcast(nodes), "node").withColumns({"truth": F.lit(False), "weight": F.lit(-1)})
+    return come.withColumn("weight", F.lit(1)).unionByName(go)
+
+
+def changed_runs(clean: Clean, kind: str, seeds: tuple[int, ...], detectors: dict) -> DataFrame:
+    """(seed, detector, node, window_idx, truth, score, flag, weight): the cells in which a fault's runs under several plans differ from the clean table.
+
+    All plans go through each step together, their nodes told apart by :func:`inject.of_run`.
+    """
+    profile, columns = clean.profile, clean.events.columns
+    plan = stage(inject.plans_by_hash(clean.context, clean.nodes, clean.pooled, kind, profile, seeds, clean.sizes), "plan")
+    if kind == "stall":
+        plan = stage(inject.stall_plan_scaled(plan, clean.nodes, clean.pooled, profile), "plan")
+    planned = plan.select("node", "seed")
+    events = stage(inject.of_run(clean.context.join(F.broadcast(planned), "node")).select(*columns), "planned-rows")
+    own = replace(clean, train_nodes=stage(inject.of_run(clean.train_nodes.join(F.broadcast(planned), "node")).drop("seed"), "baselines"))
+    apply, label = (inject.apply_stalls, inject.stall_labels) if kind == "stall" else (inject.apply_bursts, inject.burst_labels)
+    named = inject.of_run(plan)
+    moved = stage(apply(events, named, profile), "moved")
+    labelled = inject.grid_labels(stage(label(events, moved, named), "labels"), moved, profile.grid_s)
+    cells = evaluate.with_cell_truth(long_form(_cells(own, wide_rows(own, moved, detectors), detectors), detectors, *windows.CELL), labelled)
+    return as_changes(inject.run_of(cells), clean_cells(clean, detectors), planned)
 
 
 def result_rows(cells: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -168,8 +255,7 @@ def result_rows(cells: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def by_detector(cells: DataFrame) -> DataFrame:
     """The cells of both timing detectors in long form: detector, score, flag, truth."""
-    z = cells.select(*windows.CELL, "truth", F.lit("z_score_threshold").alias("detector"), F.col("z").alias("score"), F.col("fz").alias("flag"))
-    return z.unionByName(cells.select(*windows.CELL, "truth", F.lit("log_ratio_threshold").alias("detector"), F.col("r").alias("score"), F.col("fr").alias("flag")))
+    return long_form(cells, TIMING, *windows.CELL, "truth")
 
 
 def count_detector_windows(events: DataFrame, detector, scheme: str = "fixed_count", size: float | None = None, profile: Profile = SPARSE) -> DataFrame:
@@ -257,20 +343,19 @@ def multi_seed(
 ) -> DataFrame:
     """(fault_type, seed, detector, auc_roc, ...) over several plans; the clean table's parts are made once.
 
-    Each fault and seed is a run of its own, whose scored cells are published when they
-    are whole: with a ``path`` a sweep that was stopped goes on.
+    A fault under all plans is a run, which publishes, when they are whole, the cells in which
+    its plans differ from the clean table: with a ``path`` a sweep that was stopped goes on.
     """
-    spark, made = events.sparkSession, []
+    spark, detectors = events.sparkSession, ALL if all_detectors else TIMING
+    clean = Clean.of(events, profile)
+    told = ",".join(map(str, seeds))
 
-    def run(fault_type: str, seed: int) -> DataFrame:
-        clean = made[0] if made else made.append(Clean.of(events, profile)) or made[0]
-        if all_detectors:
-            return all_cells(clean, fault_type, seed)[0]
-        moved, _, labelled = injected(events, fault_type, profile, seed, clean=clean)
-        return by_detector(timing_cells(clean, moved, labelled))
+    def run(fault_type: str, seeds: str) -> DataFrame:
+        return changed_runs(clean, fault_type, tuple(int(s) for s in seeds.split(",")), detectors)
 
-    cells = sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seed": s} for k in kinds for s in seeds], run)
-    return evaluate.auc(cells, ["fault_type", "seed", "detector"])
+    changes = sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seeds": told} for k in kinds], run)
+    named = spark.createDataFrame([(k, s) for k in kinds for s in seeds], "fault_type string, seed int")
+    return evaluate.changed_auc(clean_cells(clean, detectors), changes, named, ["detector"])
 
 
 #: Window schemes of the sweep.
@@ -296,26 +381,28 @@ def _in_schemes(rows: DataFrame, schemes) -> DataFrame:
 def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), schemes=SCHEMES, *, all_detectors: bool = False, path: str | None = None) -> DataFrame:
     """Confusion figures, lift and AUC for each fault, window scheme and detector; a window is true if any of its rows lies in a span.
 
-    Each fault is a run whose cells are published when they are whole, as in :func:`multi_seed`.
+    Each fault is a run, published as in :func:`multi_seed`.
     """
-    cell, by = ["scheme", "size", *windows.CELL], ["fault_type", "scheme", "size", "detector"]
-    most = lambda flag, score: [F.bool_or("truth").alias("truth"), F.bool_or(flag).alias("flag"), F.max(score).alias("score")]
+    by, detectors = ["scheme", "size", "detector"], ALL if all_detectors else TIMING
+    cell = ["scheme", "size", *windows.CELL]
+
+    def in_windows(rows: DataFrame, *more) -> DataFrame:
+        columns = [c for c in rows.columns if c == "truth" or any(c in pair for pair in detectors.values())]
+        return _in_schemes(rows.select("row_id", "node", "timestamp", *columns), schemes).groupBy(*cell).agg(*_most(detectors), *more)
+
+    of_clean = stage(long_form(in_windows(wide_rows(clean, clean.rows(), detectors, clean.context)), detectors, *cell), "clean-windows")
 
     def run(fault_type: str) -> DataFrame:
-        moved, labels, _ = injected(clean.events, fault_type, clean.profile, clean=clean)
-        if all_detectors:
-            spans = _in_schemes(inject.in_span(moved, labels, "truth").select("row_id", "node", "timestamp", "truth"), schemes)
-            met = all_rows(clean, moved).select("detector", "row_id", "score", "flag").join(spans, "row_id")
-            return met.groupBy("detector", *cell).agg(*most("flag", "score"))
-        else:  # both detectors' scores stand in a row: one pass, no join
-            rows = inject.in_span(timing_rows(clean, moved), labels, "truth").select("row_id", "node", "timestamp", "truth", "z", "fz", "r", "fr")
-            both = _in_schemes(rows, schemes).groupBy(*cell).agg(F.bool_or("truth").alias("truth"), F.bool_or("fz").alias("fz"), F.max("z").alias("z"), F.bool_or("fr").alias("fr"), F.max("r").alias("r"))
-            one = lambda name, flag, score: both.select(F.lit(name).alias("detector"), *cell, "truth", F.col(flag).alias("flag"), F.col(score).alias("score"))
-            return one("z_score_threshold", "fz", "z").unionByName(one("log_ratio_threshold", "fr", "r"))
+        moved, labels, _ = injected(clean.events, fault_type, clean.profile, clean=clean, planned_only=True)
+        rows = inject.in_span(wide_rows(clean, moved, detectors), labels, "truth")
+        come = long_form(in_windows(rows, F.bool_or("truth").alias("truth")), detectors, *cell, "truth")
+        return as_changes(come, of_clean, moved.select("node").distinct())
 
     spark = clean.events.sparkSession
-    cells = sweep(spark, path or scratch(spark, "sweep"), [{"fault_type": k} for k in kinds], run)
-    return evaluate.confusion(cells, by=by).join(evaluate.auc(cells, by), by)
+    runs = [{"fault_type": k} for k in kinds]
+    changes, named = sweep(spark, path or scratch(spark, "sweep"), runs, run), spark.createDataFrame(runs, "fault_type string")
+    keys = ["fault_type", *by]
+    return evaluate.changed_confusion(of_clean, changes, named, by).join(evaluate.changed_auc(of_clean, changes, named, by), keys)
 
 
 def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE) -> DataFrame:

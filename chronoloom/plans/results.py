@@ -32,8 +32,7 @@ def hour_clock(e: DataFrame) -> DataFrame:
 
 def long_cells(clean: ex.Clean, kind: str) -> tuple[DataFrame, DataFrame]:
     """The timing detectors' cells in long form, written, and the labelled cells."""
-    moved, _, labelled = ex.injected(clean.events, kind, clean.profile, clean=clean)
-    return stage(ex.by_detector(ex.timing_cells(clean, moved, labelled)), "cells"), labelled
+    return ex.all_cells(clean, kind, detectors=ex.TIMING)
 
 
 # --- the second profile ------------------------------------------------------------
