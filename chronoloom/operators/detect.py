@@ -113,7 +113,7 @@ class IsolationForest:
     """Isolation forest (Liu, Ting and Zhou, 2008); larger scores are more isolated.
 
     Each tree sees at most ``sample`` rows, so a forest is small whatever the
-    training set: one bounded sample is drawn, trees are built from it on the
+    training set: one bounded sample is drawn (by hash), trees are built from it on the
     driver, and scoring is a vectorised map with the trees broadcast.
     """
 
@@ -127,15 +127,39 @@ class IsolationForest:
         return df.withColumn("_x", x)
 
     def fit(self, train: DataFrame) -> IsolationForest:
-        keys = [c for c in ("row_id", "node", "window_idx") if c in train.columns]
-        order = F.xxhash64(F.lit(self.seed), *keys)
-        drawn = self._matrix(train).select("_x", order.alias("_o"), *keys).orderBy("_o", *keys).limit(self.sample * self.trees).select("_x").toPandas()["_x"]
-        x = np.array(drawn.tolist(), float) if len(drawn) else np.zeros((1, 1))
+        x = self._sampled(train)
         rng = np.random.default_rng(self.seed)
         self.psi = min(self.sample, len(x))
         self.forest = [self._grow(x[rng.choice(len(x), self.psi, replace=False)], rng) for _ in range(self.trees)]
         return self
 
+    def _sampled(self, train: DataFrame) -> np.ndarray:
+        """The ``sample * trees`` rows of smallest hash, in order; vectors reach the driver without their zeros.
+
+        A sort with a limit has every task hand in that many rows, so rows are cut at a
+        hash first that leaves little more than as many in all.
+        """
+        keys, most = [c for c in ("row_id", "node", "window_idx") if c in train.columns], self.sample * self.trees
+        sparse = isinstance(self.columns, str)
+        filled = F.filter(F.transform("_x", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+        told = [F.size("_x").alias("width"), filled["i"].alias("at"), filled["x"].alias("values")] if sparse else [F.col("_x").alias("values")]
+        # zeros go before the sort: what follows a limit is worked out on the driver
+        rows = self._matrix(train).select(*told, F.xxhash64(F.lit(self.seed), *keys).alias("_o"), *keys)
+        n, some = rows.count(), rows
+        share = (most + 6 * most**0.5 + 100) / max(n, 1)
+        while keys and share < 1:
+            some = rows.where(F.col("_o") < int(share * 2.0**64) - 2**63)
+            if some.count() >= most:
+                break
+            some, share = rows, 2 * share
+        drawn = some.orderBy("_o", *keys).limit(most).drop("_o", *keys).toPandas()
+        if not sparse:
+            return np.array(drawn["values"].tolist(), float) if len(drawn) else np.zeros((1, 1))
+        x = np.zeros((max(len(drawn), 1), int(drawn["width"].max()) if len(drawn) else 1))
+        for row, at, values in zip(x, drawn["at"], drawn["values"]):
+            row[np.asarray(at, int)] = values
+        return x
+
     def _grow(self, x: np.ndarray, rng) -> _Tree:
         limit = int(np.ceil(np.log2(max(self.psi, 2))))
         feature, value, left, right = [], [], [], []
