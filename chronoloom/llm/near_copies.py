@@ -1,11 +1,13 @@
 """Near copies by the similarity of word shingles, for the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more.  SimHash can't find those: at 0.8 fingerprints lie
-some ten bits apart, too far for segments that still tell texts apart.  Minimum
-hashes in ``BANDS`` bands of ``ROWS`` propose candidates instead (a pair at 0.8
-shares a band in all but three of 100,000 cases), and every candidate is verified
-on the shingle sets themselves.
+shingles is 0.8 or more.  Candidates come from SimHash fingerprints of those sets that
+meet under Golay-code fuzzy keys (:func:`.simhash.links`): all within two bits, and
+those up to ``DISTANCE`` bits apart that share a key.  At 0.8, though, fingerprints lie
+some ten bits apart, too far for segments that still tell texts apart, so minimum
+hashes in ``BANDS`` bands of ``ROWS`` propose more (a pair at 0.8 shares a band in all
+but three of 100,000 cases).  Every candidate of either is verified on the shingle
+sets themselves.
 
 Texts with equal sets are one node.  Up to ``BUCKET`` nodes under one band are
 compared pair by pair.  Crowded bands mostly hold texts that share a passage and
@@ -41,12 +43,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, forget, slices
 from .components import connected_components
-from .simhash import row_key
+from .simhash import bit_counts, links, majority, row_key
 
 #: Words in a shingle and seed of its hash.
 SHINGLE, SEED = 5, 42
 #: Bands of minimum hashes and hashes in a band.
 BANDS, ROWS = 20, 4
+#: Bits in which fingerprints of candidates may differ.
+DISTANCE = 16
 #: Nodes under one band or key that are compared pair by pair.
 BUCKET = 16
 #: Counters that shingles are counted in, to tell rare from common ones.
@@ -88,17 +92,26 @@ def node_of(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """Signed SimHash of a shingle set: the bits that over half its hashes have."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        total += bit_counts(found[at : at + (1 << 16)])
+    return int(np.array([majority(total, len(found))], np.uint64).view(np.int64)[0])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp, size, bands) of every row; ``fp`` stands for the shingle set."""
+    """(doc_id, row_key, fp, size, print, bands) of every row; ``fp`` stands for the shingle set, ``print`` is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            out = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], ["doc_id", "row_key", "fp", "size", "bands"])
+            signed = lambda f: pa.array([f(s) for s in sets], pa.int64())  # noqa: B023, E731
+            out = [signed(node_of), pa.array([len(s) for s in sets], pa.int32()), signed(fingerprint), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], ["doc_id", "row_key", "fp", "size", "print", "bands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return slim.mapInArrow(run, "doc_id long, row_key long, fp long, size int, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, row_key long, fp long, size int, print long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -112,6 +125,22 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "fp long, shingles array<long>")
 
 
+def close_prints(rows: DataFrame, bucket: int) -> DataFrame:
+    """(a, b, parts): pairs of nodes of ``rows`` (``fp, size, print``) by their fingerprints.
+
+    Nodes with one fingerprint are paired with the first of them, which stands for all
+    of them in the pairs of fingerprints that meet under a fuzzy key.
+    """
+    nodes = rows.where("size > 0").select("fp", "size", "print").distinct()
+    first = nodes.groupBy("print").agg(F.min(F.struct("fp", "size")).alias("one"), F.count("*").alias("n"))
+    edges = links(first.select(F.col("print").alias("fp")), bucket=bucket, distance=DISTANCE)
+    of = lambda c: first.select(F.col("print").alias(c), F.col("one").alias(f"of_{c}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("x"), F.greatest("of_a", "of_b").alias("y"), F.lit(1).alias("parts"))
+    equal = nodes.join(first.where("n > 1"), "print").where(F.col("fp") != F.col("one.fp")).select(F.struct("fp", "size").alias("x"), F.col("one").alias("y"), _parts(F.col("n")).alias("parts"))
+    similar = fits(F.col("x.size"), F.col("x.size"), F.col("y.size"), F.col("y.size"))
+    return between.unionByName(equal).where(similar).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "parts")
+
+
 def shared_bands(rows: DataFrame) -> DataFrame:
     """(key, fp, size, rest, n): the nodes of ``rows`` (``fp, size, bands``) under every band that ``n`` > 1 of them share."""
     keyed = rows.select(F.explode("bands").alias("key"), "fp", "size").distinct().withColumn("rest", F.col("size"))
@@ -228,18 +257,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, rows: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """(node, label): the group of every node that has a link."""
     shared = durable(shared_bands(rows), "bands")
+    close = durable(close_prints(rows, bucket), "close-prints")
     doc = F.coalesce("doc_id", F.lit(0)).alias("doc")
-    some = rows.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(doc, "row_key")).alias("one"))
+    met = shared.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    some = rows.join(met, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(doc, "row_key")).alias("one"))
     wanted = durable(some.select("fp", "one.*"), "wanted")  # written, so that the join below is planned by its size
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), row_key().alias("row_key"), "text").join(wanted, ["doc", "row_key"]).groupBy("fp").agg(F.first("text").alias("text"))
     sets = durable(shingle_sets(texts), "shingles")
     crowded = sets.join(shared.where(F.col("n") > bucket).select("fp").distinct(), "fp", "left_semi")
     crowded = durable(crowded, "crowded")
     firsts = durable(shared_firsts(crowded), "first-keys")
-    near = durable(small_pairs(shared, bucket).unionByName(small_pairs(firsts, bucket)).distinct(), "pairs")
+    near = durable(close.unionByName(small_pairs(shared, bucket)).unionByName(small_pairs(firsts, bucket)).dropDuplicates(["a", "b"]), "pairs")
     labels = connected_components(verified(near, sets))
     large = durable(firsts.where(F.col("n") > bucket), "large")
-    for used in (wanted, crowded, near, shared, firsts):  # components and rows of large keys are written by now
+    for used in (wanted, crowded, near, shared, close, firsts):  # components and rows of large keys are written by now
         forget(used)
     largest, turn = large.agg(F.max("n")).first()[0] or 0, 0
     while FIRST * GROWTH ** (turn - 1) < largest:  # a last turn in which all have had theirs is over

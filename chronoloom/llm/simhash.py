@@ -51,8 +51,17 @@ def fingerprint(text: str | None) -> int:
     starts, ends = (ends - size)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     line, h, total, n = b" ".join(words), xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
     for at in range(0, n, 1 << 16):
-        part = np.array([h(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], ">u8")
-        total += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        total += bit_counts(np.array([h(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64))
+    return majority(total, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit set, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes from their bit counts."""
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
@@ -119,12 +128,16 @@ def fuzzy_keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "fp long, key long")
 
 
-def links(prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within two bits of each other."""
+def links(prints: DataFrame, *, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints within two bits of each other.
+
+    With a larger ``distance`` those that meet under a key of at most ``bucket`` are
+    edges up to it, too: for callers that verify edges by other means.
+    """
     keyed = fuzzy_keys(prints)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, "key")
-    close = lambda x, y: (x < y) & (F.bit_count(x.bitwiseXOR(y)) <= DISTANCE)
+    close = lambda x, y: (x < y) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
     pairs = (
         shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
         .select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda y: close(F.col("a"), y))).alias("b"))

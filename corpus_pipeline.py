@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more; candidates by SimHash and Golay keys, and by minimum hashes)."""
     return simhash.keep_one(docs, near_copies.near_copies)
 
 
