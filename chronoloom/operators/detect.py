@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.ordered import by_node
@@ -242,14 +242,18 @@ def _contexts(least: int = 0):
     return F.transform(lengths, one)
 
 
-def next_event_scores(encoded: DataFrame, counts: DataFrame, n_templates: int, *, order: int = 10, history: int = 10, top_k: int = 9, alpha: float = 1.0) -> DataFrame:
+def next_event_scores(
+    encoded: DataFrame, counts: DataFrame, n_templates: int, *, order: int = 10, history: int = 10, top_k: int = 9, alpha: float = 1.0, wanted: Column | None = None
+) -> DataFrame:
     """(row_id, node, score, flag): -log p of each event given those before it, and whether it is outside the top k.
 
     The longest context seen in training decides; counts are smoothed by ``alpha``.
     Events with fewer than ``history`` predecessors score 0 and aren't flagged.  The
-    empty context, which every event has, is one row and joined apart.
+    empty context, which every event has, is one row and joined apart.  ``wanted``: a
+    condition on the time stamp for the events to judge; the others are context alone.
     """
     rows = _with_ids(encoded.select("row_id", "timestamp", "node", "template_id"), order)
+    rows = rows if wanted is None else rows.where(wanted)
     asked = rows.where(F.col("before") >= history).select("row_id", "template_id", F.explode(_contexts(1)).alias("c")).select("row_id", "template_id", "c.*")
     hit = F.get(F.filter("targets", lambda t: t["target"] == F.col("template_id")), F.lit(0))
     # what a match says of an event, small enough to be combined before it is shuffled back

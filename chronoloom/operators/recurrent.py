@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
@@ -143,10 +143,11 @@ def fit(encoded: DataFrame, n_events: int, *, length: int = 10, **settings) -> n
     return train(sliding_sequences(encoded, length), n_events, **settings)
 
 
-def scores(encoded: DataFrame, weights: np.ndarray, n_events: int, *, length: int = 10, top_k: int = 9) -> DataFrame:
+def scores(encoded: DataFrame, weights: np.ndarray, n_events: int, *, length: int = 10, top_k: int = 9, wanted: Column | None = None) -> DataFrame:
     """(row_id, node, score, flag): -log p of each event given the ``length`` before it, and whether it is outside the top k.
 
     Events with fewer predecessors score 0 and aren't flagged, as with the back-off model.
+    ``wanted``: a condition on the time stamp for the events to judge; the others are context alone.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(weights)
 
@@ -162,5 +163,7 @@ def scores(encoded: DataFrame, weights: np.ndarray, n_events: int, *, length: in
                 score[full], flag[full] = -own, (logs > own[:, None]).sum(1) >= top_k
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array(flag)], ["row_id", "node", "score", "flag"])
 
-    rows = _with_ids(encoded.select("row_id", "timestamp", "node", "template_id"), length).select("row_id", "node", "ids", F.col("template_id").cast("long").alias("target"))
+    rows = _with_ids(encoded.select("row_id", "timestamp", "node", "template_id"), length)
+    rows = rows if wanted is None else rows.where(wanted)
+    rows = rows.select("row_id", "node", "ids", F.col("template_id").cast("long").alias("target"))
     return rows.mapInArrow(run, "row_id long, node string, score double, flag boolean")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import cell_index, seconds_between
@@ -405,19 +405,37 @@ def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), sche
     return evaluate.changed_confusion(of_clean, changes, named, by).join(evaluate.changed_auc(of_clean, changes, named, by), keys)
 
 
-def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE) -> DataFrame:
-    """``scored`` with score and flag of the next-event detector learned from normal training events of ``events``."""
-    normal = sequence.chronological_split(events, profile.train_fraction).where("is_train and not anomaly")
-    vocab = stage(windows.sorted_vocabulary(normal), "vocabulary")
+def _learning(events: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cutoff, normal training events, their vocabulary), the cutoff found once."""
+    cut = sequence.split_cutoff(events, profile.train_fraction)
+    normal = events.crossJoin(F.broadcast(cut)).where(F.unix_micros("timestamp") <= F.col("cutoff_us")).where("not anomaly").drop("cutoff_us")
+    return cut, normal, stage(windows.sorted_vocabulary(normal), "vocabulary")
+
+
+def _asked(scored: DataFrame, cut: DataFrame, test_only: bool) -> tuple[DataFrame, Column]:
+    """(``scored`` or its rows after the cutoff, a condition on its time stamp that holds for them)."""
+    if not test_only:
+        return scored, F.lit(True)
+    later = F.unix_micros("timestamp") > F.lit(cut.first()["cutoff_us"])
+    return scored.where(later), later
+
+
+def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profile: Profile = SPARSE, *, test_only: bool = False) -> DataFrame:
+    """``scored`` with score and flag of the next-event detector learned from normal training events of ``events``.
+
+    ``test_only``: rows after the training period alone are judged; those before them still are their context.
+    """
+    cut, normal, vocab = _learning(events, profile)
+    rows, wanted = _asked(scored, cut, test_only)
     counts = stage(detect.next_event_counts(windows.encode(normal, vocab), order), "contexts")
-    scores = detect.next_event_scores(windows.encode(scored, vocab), counts, vocab.count(), order=order)
-    return scored.join(scores.drop("node"), "row_id")
+    scores = detect.next_event_scores(windows.encode(scored, vocab), counts, vocab.count(), order=order, wanted=wanted)
+    return rows.join(scores.drop("node"), "row_id")
 
 
-def recurrent_rows(events: DataFrame, scored: DataFrame, length: int = 10, profile: Profile = SPARSE) -> DataFrame:
-    """``scored`` with score and flag of the gated network learned from normal training events of ``events``."""
-    normal = sequence.chronological_split(events, profile.train_fraction).where("is_train and not anomaly")
-    vocab = stage(windows.sorted_vocabulary(normal), "vocabulary")
+def recurrent_rows(events: DataFrame, scored: DataFrame, length: int = 10, profile: Profile = SPARSE, *, test_only: bool = False) -> DataFrame:
+    """``scored`` with score and flag of the gated network learned from normal training events of ``events``; ``test_only`` as above."""
+    cut, normal, vocab = _learning(events, profile)
+    rows, wanted = _asked(scored, cut, test_only)
     n = vocab.count() + 1
     weights = recurrent.fit(windows.encode(normal, vocab), n, length=length)
-    return scored.join(recurrent.scores(windows.encode(scored, vocab), weights, n, length=length).drop("node"), "row_id")
+    return rows.join(recurrent.scores(windows.encode(scored, vocab), weights, n, length=length, wanted=wanted).drop("node"), "row_id")

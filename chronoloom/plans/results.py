@@ -466,7 +466,7 @@ c AS (SELECT node, window_idx, bool_or(anomaly) AS truth, bool_or(flag) AS flag,
 SELECT * FROM ({q.confusion('c', 'truth', 'flag')}) CROSS JOIN ({q.auc('c')})""")
 def deeplog_native(e):
     """The next-event detector against the events' own labels, on the test period's grid."""
-    rows = sequence.chronological_split(ex.next_event_rows(e, e)).where("not is_train").withColumn("score", F.round("score", 9))
+    rows = ex.next_event_rows(e, e, test_only=True).withColumn("score", F.round("score", 9))
     cells = stage(evaluate.to_cells(evaluate.eval_grid(rows, SPARSE), truth="anomaly", flag="flag", score="score"), "cells")
     return rounded(evaluate.confusion(cells).crossJoin(evaluate.auc(cells)).select(*CONFUSION, *AUC))
 
@@ -486,7 +486,7 @@ def deeplog_injected(e):
 @query()
 def recurrent_native(e):
     """The gated network against the events' own labels, on the test period's grid."""
-    rows = sequence.chronological_split(ex.recurrent_rows(e, e)).where("not is_train")
+    rows = ex.recurrent_rows(e, e, test_only=True)
     cells = stage(evaluate.to_cells(evaluate.eval_grid(rows, SPARSE), truth="anomaly", flag="flag", score="score"), "cells")
     return rounded(evaluate.confusion(cells).crossJoin(evaluate.auc(cells)).select(*CONFUSION, *AUC))
 
@@ -494,8 +494,8 @@ def recurrent_native(e):
 @query()
 def next_event_likelihoods(e):
     """-log p of the test period's events, on average, under the gated network and the back-off model."""
-    mean = lambda d, name: sequence.chronological_split(d).where("not is_train and score > 0").agg(F.avg("score").alias("nll"), F.count("*").alias("n_events")).select(F.lit(name).alias("model"), "*")
-    return mean(ex.recurrent_rows(e, e), "recurrent").unionByName(mean(ex.next_event_rows(e, e), "back_off"))
+    mean = lambda d, name: d.where("score > 0").agg(F.avg("score").alias("nll"), F.count("*").alias("n_events")).select(F.lit(name).alias("model"), "*")
+    return mean(ex.recurrent_rows(e, e, test_only=True), "recurrent").unionByName(mean(ex.next_event_rows(e, e, test_only=True), "back_off"))
 
 
 @query(f"""WITH {q.BASE}, {q.STALL}, {_DL}, {_EN.format('ev')}, {_EN.format('sti').replace('en AS', 'en2 AS')}, {q.contexts('h1', 'en')}, {q.contexts('h2', 'en2')}
