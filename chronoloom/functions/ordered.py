@@ -21,8 +21,22 @@ from ..sources.sinks import stage
 BLOCK_ROWS = 1_000_000
 #: Sampled keys of a block, and cut points that are broadcast at most, about: beyond them blocks get longer.
 SAMPLES, MOST_CUTS = 64, 200_000
-#: Plans whose nodes are known to be small; a stale answer costs time, not results.
-_SMALL: set[tuple[int, int]] = set()
+#: Rows of the largest node of plans whose nodes are small; a stale answer costs time, not results.
+_SMALL: dict[int, int] = {}
+#: Metadata of a node column: rows of the largest node.  It is written with a table and goes through filters and joins, so
+#: that nodes are counted once, not before every window; a table that has come to hold more costs time, not results.
+_MOST = "most_rows"
+
+
+def most_rows(rows: DataFrame, key: str = "node") -> int | None:
+    """Rows of the largest node, if an earlier step has counted them."""
+    return rows.schema[key].metadata.get(_MOST) if key in rows.columns else None
+
+
+def with_most(node: Column, most: int | None) -> Column:
+    """The column under the name ``node``, marked with the rows of the largest."""
+    return node.alias("node") if most is None else node.alias("node", metadata={_MOST: most})
+
 
 Compute = Callable[[DataFrame, WindowSpec, Callable[[str], Column]], DataFrame]
 
@@ -38,10 +52,12 @@ def by_node(
     numbers, over all rows of the node before a row.
     """
     block_rows, sums = block_rows or BLOCK_ROWS, sums or {}
-    cuts = _cut_points(rows, order, block_rows)
+    known = most_rows(rows)
+    cuts, most = (None, known) if known is not None and known <= block_rows else _cut_points(rows, order, block_rows)
     whole = Window.partitionBy("node").orderBy(*order)
     if cuts is None:
-        return compute(rows, whole, lambda name: _sum(sums[name], whole))
+        done = compute(rows, whole, lambda name: _sum(sums[name], whole))
+        return done if known == most else done.withColumn("node", with_most(F.col("node"), most))
     small = compute(rows.join(cuts, F.col("node").eqNullSafe(cuts["_node"]), "left_anti"), whole, lambda name: _sum(sums[name], whole))
     return small.unionByName(_in_blocks(rows, cuts, compute, before, after, sums, order))
 
@@ -51,16 +67,18 @@ def _sum(value: Column, window: WindowSpec) -> Column:
     return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _cut_points(rows: DataFrame, order: tuple[str, ...], block_rows: int) -> DataFrame | None:
-    """(_node, _cuts): the keys at which each large node is cut, in order; None if no node is large."""
+def _cut_points(rows: DataFrame, order: tuple[str, ...], block_rows: int) -> tuple[DataFrame | None, int]:
+    """((_node, _cuts), rows of the largest node): the keys at which each large node is cut, in order; None if no node is large."""
     nodes = rows.select("node")
-    known = nodes.semanticHash(), block_rows
-    if known in _SMALL:
-        return None
-    large = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    if nodes.count() <= block_rows or large.isEmpty():
-        _SMALL.add(known)
-        return None
+    plan = nodes.semanticHash()
+    if _SMALL.get(plan, block_rows + 1) <= block_rows:
+        return None, _SMALL[plan]
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= block_rows:
+        _SMALL[plan] = most
+        return None, most
+    large = sizes.where(F.col("n") > block_rows)
     large = stage(large.select(F.col("node").alias("_node"), "n"), "large-nodes")
     rows_of_large = large.agg(F.sum("n")).first()[0]
     every = max(1, max(block_rows, rows_of_large // MOST_CUTS) // SAMPLES)
@@ -68,7 +86,7 @@ def _cut_points(rows: DataFrame, order: tuple[str, ...], block_rows: int) -> Dat
     keys = rows.join(large, F.col("node").eqNullSafe(F.col("_node"))).where(some).select("_node", F.struct(*order).alias("key"))
     ranked = keys.withColumn("at", F.row_number().over(Window.partitionBy("_node").orderBy("key"))).where(F.col("at") % SAMPLES == 0)
     cuts = ranked.groupBy(F.col("_node").alias("_of")).agg(F.sort_array(F.collect_set("key")).alias("_cuts"))
-    return stage(large.join(cuts, F.col("_node").eqNullSafe(F.col("_of")), "left").select("_node", "_cuts"), "cuts")
+    return stage(large.join(cuts, F.col("_node").eqNullSafe(F.col("_of")), "left").select("_node", "_cuts"), "cuts"), most
 
 
 def _block(order: tuple[str, ...]) -> Column:

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
+from .ordered import most_rows
 
 #: Values of a key whose median is worked out in one task.
 FEW = 100_000
 
 
-def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, small: int = 100_000) -> float | None:
+def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, small: int = 100_000, written: bool = False) -> float | None:
     """Linear-interpolated quantile of any number of values, within bounded memory.
 
     Few values go through ``percentile``, whose state holds every distinct value in
     one task.  Of more, counts per bin are combined before the shuffle, and the bin
-    that holds the wanted rank is split again until few values are left.
+    that holds the wanted rank is split again until few values are left.  ``written``:
+    ``df`` is read from files, so passes over it are cheap.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
     first = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
@@ -24,10 +26,10 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, bins: int = 4096, sm
         return None
     if first["n"] <= small:
         return values.agg(F.percentile("v", F.lit(q))).first()[0]
-    values = stage(values, "quantile-values")  # every round counts them again
+    values = values if written else stage(values, "quantile-values")  # every round counts them again
     rank = q * (first["n"] - 1)
-    low = _ranked(values, int(rank), first, bins, small)
-    return low + (_ranked(values, int(rank) + 1, first, bins, small) - low) * (rank % 1) if rank % 1 else low
+    low, high = _ranked(values, int(rank), first, bins, small)
+    return low + (high - low) * (rank % 1) if rank % 1 else low
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -37,23 +39,27 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(v == lo, 0).when(v == hi, bins - 1).otherwise(inner).cast("int")
 
 
-def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> float:
-    """The k-th smallest value, from 0."""
+def _ranked(values: DataFrame, k: int, stats, bins: int, small: int) -> tuple[float, float]:
+    """The k-th smallest value, from 0, and the one after it (the same at the end)."""
     n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    below = 0
+    below, beyond = 0, hi  # values under the range, and the least one over it
     while n > small and lo < hi:
         at = _bin(F.col("v"), F.lit(lo), F.lit(hi), bins)
         inside = values.where(F.col("v").between(lo, hi))
         seen = below
-        for row in inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+        counted = sorted(inside.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for i, row in enumerate(counted):
             if seen + row["n"] > k:
                 below, n, lo, hi = seen, row["n"], row["lo"], row["hi"]
+                beyond = counted[i + 1]["lo"] if i + 1 < len(counted) else beyond
                 break
             seen += row["n"]
+    last = k + 1 == below + n  # of the range
     if lo == hi:
-        return lo
-    left = values.where(F.col("v").between(lo, hi)).orderBy("v").limit(k - below + 1).agg(F.max("v")).first()
-    return left[0]
+        return lo, beyond if last else lo
+    upto = values.where(F.col("v").between(lo, hi)).orderBy("v").limit(k - below + 2)
+    top = [row["v"] for row in upto.orderBy(F.desc("v")).limit(2).collect()]
+    return (top[0], beyond) if last else (top[-1], top[0])
 
 
 def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bins: int = 512, rows: DataFrame | None = None) -> DataFrame:
@@ -71,7 +77,8 @@ def grouped_medians(df: DataFrame, key: str, column: str, *, few: int = FEW, bin
     name = lambda d: d.select(F.col("key").alias(key), "n", "median")
     sizes = values.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     large = sizes.where(F.col("n") > few)
-    if (values if rows is None else rows).count() <= few or large.isEmpty():
+    most = most_rows(df, key)
+    if (most is not None and most <= few) or (values if rows is None else rows).count() <= few or large.isEmpty():
         return name(values.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")))
     large = stage(large, "large-keys")
     values = stage(values, "key-values")  # read by every pass

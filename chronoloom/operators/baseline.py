@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantile import exact_quantile, grouped_medians
+from ..functions.ordered import most_rows
+from ..functions.quantile import FEW, exact_quantile, grouped_medians
 from ..functions.timing import log_ratio, robust_z, scale
 from ..schema import SYSTEM_LOG, Profile
 from ..sources.sinks import stage
@@ -14,22 +15,39 @@ from ..sources.sinks import stage
 def node_baselines(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
     """(node, n, median, mad, status) of ``gaps`` (node, gap_prev_s).
 
-    Two passes of exact medians by node, in bounded memory for nodes of any size;
-    status is ``valid``, ``low_count`` or ``zero_mad``.
+    Two passes of exact medians by node, in bounded memory for nodes of any size; one
+    if all nodes are known to be small.  Status is ``valid``, ``low_count`` or ``zero_mad``.
     """
     gaps = gaps.select("node", "gap_prev_s")
+    status = F.when(F.col("n") < profile.min_baseline, "low_count").when(F.col("mad") > 0, "valid").otherwise("zero_mad")
+    most = most_rows(gaps)
+    if most is not None and most <= FEW:
+        return _small_nodes(gaps).select("node", "n", "median", "mad", status.alias("status"))
     middle = stage(grouped_medians(gaps, "node", "gap_prev_s"), "medians")
     apart = gaps.join(middle.select("node", "median"), "node").select("node", F.abs(F.col("gap_prev_s") - F.col("median")).alias("spread"))
     spread = grouped_medians(apart, "node", "spread", rows=gaps).select("node", F.col("median").alias("mad"))
-    status = F.when(F.col("n") < profile.min_baseline, "low_count").when(F.col("mad") > 0, "valid").otherwise("zero_mad")
     return middle.join(spread, "node").select("node", "n", "median", "mad", status.alias("status"))
 
 
-def pooled_baseline(gaps: DataFrame, profile: Profile = SYSTEM_LOG) -> DataFrame:
-    """One row (pooled_median, pooled_mad) over all gaps, or those above zero."""
+def _small_nodes(gaps: DataFrame) -> DataFrame:
+    """(node, n, median, mad) in one pass: the gaps of a node are one list, put in order twice."""
+
+    def middle(values: Column) -> Column:
+        n = F.size(values)
+        return 0.5 * F.get(values, F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get(values, F.floor(n / 2).cast("int"))
+
+    known = gaps.where(F.col("gap_prev_s").isNotNull() & ~F.isnan("gap_prev_s"))
+    lists = known.groupBy("node").agg(F.sort_array(F.collect_list(F.col("gap_prev_s").cast("double"))).alias("gaps"))
+    lists = lists.withColumn("median", middle(F.col("gaps")))
+    apart = lists.withColumn("gaps", F.sort_array(F.transform("gaps", lambda x: F.abs(x - F.col("median")))))
+    return apart.select("node", F.size("gaps").cast("long").alias("n"), "median", middle(F.col("gaps")).alias("mad"))
+
+
+def pooled_baseline(gaps: DataFrame, profile: Profile = SYSTEM_LOG, *, written: bool = False) -> DataFrame:
+    """One row (pooled_median, pooled_mad) over all gaps, or those above zero; ``written``: they are read from files."""
     pool = gaps.where("gap_prev_s > 0") if profile.exclude_zero_from_pooled else gaps
-    middle = exact_quantile(pool, "gap_prev_s", 0.5)
-    spread = None if middle is None else exact_quantile(pool.select(F.abs(F.col("gap_prev_s") - middle).alias("spread")), "spread", 0.5)
+    middle = exact_quantile(pool, "gap_prev_s", 0.5, written=written)
+    spread = None if middle is None else exact_quantile(pool.select(F.abs(F.col("gap_prev_s") - middle).alias("spread")), "spread", 0.5, written=written)
     return gaps.sparkSession.createDataFrame([(middle, spread)], "pooled_median double, pooled_mad double")
 
 

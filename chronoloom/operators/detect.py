@@ -19,7 +19,8 @@ from ..sources.sinks import stage
 
 def threshold(normal_scores: DataFrame, q: float = 0.95) -> DataFrame:
     """One row: linear quantile of ``score`` over normal training rows."""
-    return normal_scores.sparkSession.createDataFrame([(exact_quantile(normal_scores, "score", q),)], "threshold double")
+    scores = stage(normal_scores.select("score"), "normal-scores")  # worked out once, whatever the passes
+    return normal_scores.sparkSession.createDataFrame([(exact_quantile(scores, "score", q, written=True),)], "threshold double")
 
 
 def flag_above(scored: DataFrame, limit: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def fit_score(detector, train: DataFrame, rows: DataFrame, q: float = 0.95) -> D
     return flag_above(fitted.score(rows), limit)
 
 
-def fit_limit(detector, train: DataFrame, q: float = 0.95) -> tuple:
-    """(the detector fitted on ``train``, its one-row threshold), to score any number of tables with."""
-    train = stage(train, "training-rows")  # read by every step of a fit
+def fit_limit(detector, train: DataFrame, q: float = 0.95, *, written: bool = False) -> tuple:
+    """(the detector fitted on ``train``, its one-row threshold), to score any number of tables with; ``written``: it is read from files."""
+    train = train if written else stage(train, "training-rows")  # read by every step of a fit
     fitted = detector.fit(train)
     return fitted, threshold(fitted.score(train), q)
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.ordered import by_node
+from ..functions.ordered import by_node, most_rows, with_most
 from ..functions.timing import cell_index, seconds_between, shifted
 from ..schema import SYSTEM_LOG, Profile
 from ..sources.sinks import stage
@@ -66,8 +66,13 @@ def plan_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind:
 
 def plans_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile, seeds: tuple[int, ...], sizes: DataFrame | None = None) -> DataFrame:
     """The plans of several seeds at once; only the rows of the chosen nodes are put in order."""
+    return starts(chosen_rows(context, nodes, pooled, kind, profile, seeds, sizes), kind, profile)
+
+
+def chosen_rows(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind: str, profile: Profile, seeds: tuple[int, ...], sizes: DataFrame | None = None) -> DataFrame:
+    """All rows of ``context`` of the nodes that each seed chooses, with the seed's choices and ``_far`` (gap beyond the z limit), written."""
     stall = kind == "stall"
-    least, (lo, hi) = (profile.stall_min_events, profile.stall_range) if stall else (profile.burst_min_events, profile.burst_range)
+    least = profile.stall_min_events if stall else profile.burst_min_events
     eligible = eligible_nodes(context, nodes, least, profile, sizes)
 
     def chosen(seed: int) -> DataFrame:
@@ -78,9 +83,17 @@ def plans_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind:
         )
 
     own = stage(reduce(DataFrame.unionByName, [chosen(s) for s in seeds]), "chosen")
-    rows = with_baseline(context.select("node", "timestamp", "row_id", "gap_prev_s").join(F.broadcast(own), "node"), nodes, pooled)
+    rows = with_baseline(context.join(F.broadcast(own), "node"), nodes, pooled)
     far = F.coalesce((F.abs(z_of("gap_prev_s", profile)) > profile.z_limit).cast("long"), F.lit(0))
-    rows = add_position(of_run(stage(rows.withColumns({"_far": far, "_plain": F.col("node")}), "chosen-rows")))
+    return stage(rows.withColumn("_far", far).drop("median", "mad", "used_pooled"), "chosen-rows")
+
+
+def starts(chosen: DataFrame, kind: str, profile: Profile) -> DataFrame:
+    """The plans on the rows of :func:`chosen_rows`."""
+    stall = kind == "stall"
+    lo, hi = profile.stall_range if stall else profile.burst_range
+    columns = ["node", "timestamp", "row_id", "injection_id", "node_n", "burst_length", "intensity", "seed", "_far"]
+    rows = add_position(of_run(chosen.select(*columns, F.col("node").alias("_plain"))))
     lengths = sorted({1} if stall else set(profile.burst_lengths))
     # gaps beyond the limit among the burst_length events that follow: a difference of running counts
     upto = lambda d, w, earlier: d.withColumn("_upto", earlier("far") + F.col("_far"))
@@ -103,7 +116,7 @@ def plans_by_hash(context: DataFrame, nodes: DataFrame, pooled: DataFrame, kind:
 
 def of_run(rows: DataFrame) -> DataFrame:
     """Rows with a ``seed`` under names of nodes that tell runs apart, so that one pass serves several plans of the same nodes."""
-    return rows.withColumn("node", F.concat_ws("|", F.col("seed").cast("string"), "node"))
+    return rows.withColumn("node", with_most(F.concat_ws("|", F.col("seed").cast("string"), "node"), most_rows(rows)))
 
 
 def run_of(rows: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def normal_transition() -> Column:
     return ~F.col("anomaly") & ~F.coalesce("prev_anomaly", F.lit(True)) & F.col("gap_prev_s").isNotNull()
 
 
-def split_cutoff(events: DataFrame, fraction: float) -> DataFrame:
-    """One row: the instant (microseconds) at the linear quantile of time."""
-    at = exact_quantile(events.select(F.unix_micros("timestamp").alias("us")), "us", fraction)
+def split_cutoff(events: DataFrame, fraction: float, *, written: bool = False) -> DataFrame:
+    """One row: the instant (microseconds) at the linear quantile of time; ``written``: ``events`` are read from files."""
+    at = exact_quantile(events.select(F.unix_micros("timestamp").alias("us")), "us", fraction, written=written)
     return events.sparkSession.createDataFrame([(at,)], "cutoff_us double")
 
 

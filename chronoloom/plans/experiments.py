@@ -6,9 +6,11 @@ are small next to it.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +19,14 @@ from ..functions.timing import cell_index, seconds_between
 
 from ..operators import audit, baseline, detect, evaluate, features, inject, recurrent, sequence, windows
 from ..schema import SPARSE, Profile
-from ..sources.sinks import scratch, stage, sweep
+from ..sources.sinks import scratch, stage, sweep, together
 
 
 def normal_gaps(context: DataFrame, profile: Profile = SPARSE) -> tuple[DataFrame, DataFrame]:
     """(node baselines, pooled baseline) of a context's normal transitions."""
     gaps = context.where(sequence.normal_transition()).select("node", "gap_prev_s")
     gaps = stage(gaps.select("node", "gap_prev_s"), "gaps")  # several passes read them
-    return baseline.node_baselines(gaps, profile), baseline.pooled_baseline(gaps, profile)
+    return baseline.node_baselines(gaps, profile), baseline.pooled_baseline(gaps, profile, written=True)
 
 
 def training_period(context: DataFrame, profile: Profile = SPARSE) -> DataFrame:
@@ -46,6 +48,10 @@ def audited(context: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     return audit.timing_gap(baseline.with_baseline(rows, nodes, pooled), profile)
 
 
+#: Columns of an event that no detector or fault looks at.
+UNUSED = ("label", "raw_message")
+
+
 @dataclass(frozen=True)
 class Clean:
     """The clean table's parts that every run needs, each worked out once and written."""
@@ -59,15 +65,23 @@ class Clean:
     train_pooled: DataFrame
     limit: DataFrame
     sizes: DataFrame
+    #: The end of the training period, one row.
+    cutoff: DataFrame
     #: What only some runs need, by name: worked out once, too.
     made: dict = field(default_factory=dict, repr=False, compare=False)
+    _making: dict = field(default_factory=lambda: defaultdict(RLock), repr=False, compare=False)
 
     def once(self, name, make: Callable):
-        """``make()``, kept under ``name``."""
-        if name not in self.made:
-            self.made[name] = make()
+        """``make()``, kept under ``name``; of several threads one makes it."""
+        with self._making[name]:
+            if name not in self.made:
+                self.made[name] = make()
         return self.made[name]
 
+    def training(self) -> DataFrame:
+        """The context's rows of the training period."""
+        return self.context.crossJoin(F.broadcast(self.cutoff)).where(F.unix_micros("timestamp") <= F.col("cutoff_us")).drop("cutoff_us")
+
     def rows(self) -> DataFrame:
         """The events as they were given, read from the written context."""
         return self.context.select(*self.events.columns)
@@ -75,13 +89,23 @@ class Clean:
     @classmethod
     def of(cls, events: DataFrame, profile: Profile = SPARSE) -> Clean:
         """Context, baselines of all and of the training period's normal transitions, and the log ratio's limit."""
-        context = stage(sequence.add_sequence_context(events), "context")
-        nodes, pooled = normal_gaps(context, profile)
-        train = training_period(context, profile).where(sequence.normal_transition())
-        train_nodes, train_pooled = stage(baseline.node_baselines(train, profile), "baselines"), baseline.pooled_baseline(train, profile)
-        ratio = baseline.with_baseline(train, train_nodes, train_pooled).withColumn("log_ratio", baseline.log_ratio_of("gap_prev_s", profile))
-        limit = detect.threshold(detect.LogRatio().score(ratio), profile.threshold_quantile)
-        return cls(events, profile, context, stage(nodes, "baselines"), pooled, train_nodes, train_pooled, limit, stage(inject.node_sizes(context), "sizes"))
+        events = events.drop(*UNUSED)
+        context = stage(sequence.add_sequence_context(events).drop("prev_template", "next_template", "gap_next_s"), "context")
+        gaps = context.where(sequence.normal_transition())
+        gaps = stage(gaps.select("node", "gap_prev_s", F.unix_micros("timestamp").alias("us")), "gaps")  # several passes read them
+
+        def baselines(rows: DataFrame) -> list[DataFrame]:
+            return together(lambda: stage(baseline.node_baselines(rows, profile), "baselines"), lambda: baseline.pooled_baseline(rows, profile, written=True))
+
+        def training() -> tuple[DataFrame, ...]:
+            cutoff = sequence.split_cutoff(context, profile.train_fraction, written=True)
+            train = gaps.crossJoin(F.broadcast(cutoff)).where(F.col("us") <= F.col("cutoff_us")).drop("cutoff_us")
+            nodes, pooled = baselines(train)
+            ratio = baseline.with_baseline(train, nodes, pooled).withColumn("log_ratio", baseline.log_ratio_of("gap_prev_s", profile))
+            return nodes, pooled, detect.threshold(detect.LogRatio().score(ratio), profile.threshold_quantile), cutoff
+
+        (nodes, pooled), (train_nodes, train_pooled, limit, cutoff), sizes = together(lambda: baselines(gaps), training, lambda: stage(inject.node_sizes(context), "sizes"))
+        return cls(events, profile, context, nodes, pooled, train_nodes, train_pooled, limit, sizes, cutoff)
 
 
 def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int | None = None, planner=inject.plan_by_hash, clean: Clean | None = None, *, planned_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,6 +116,7 @@ def injected(events: DataFrame, kind: str, profile: Profile = SPARSE, seed: int
     """
     if clean is None:
         context = stage(sequence.add_sequence_context(events), "context")
+        events = context.select(*events.columns)
         nodes, pooled, sizes = *normal_gaps(context, profile), None
     else:
         context, nodes, pooled, sizes = clean.context, clean.nodes, clean.pooled, clean.sizes
@@ -142,10 +167,11 @@ def count_fits(clean: Clean) -> tuple[DataFrame, dict]:
 
     def fit():
         profile = clean.profile
-        train = windows.by_count(training_period(clean.context, profile), profile.window_events)
+        train = windows.by_count(clean.training(), profile.window_events)
         vocab = stage(windows.vocabulary(train, profile.vocabulary), "vocabulary")
         fit_on = stage(windows.count_vectors(train, vocab, profile.vocabulary).where("not label"), "train-vectors")
-        return vocab, {name: detect.fit_limit(count_detector(name, profile), fit_on, profile.threshold_quantile) for name in COUNT}
+        fits = together(*[partial(detect.fit_limit, count_detector(name, profile), fit_on, profile.threshold_quantile, written=True) for name in COUNT])
+        return vocab, dict(zip(COUNT, fits))
 
     return clean.once("count-fits", fit)
 
@@ -224,12 +250,15 @@ def changed_runs(clean: Clean, kind: str, seeds: tuple[int, ...], detectors: dic
     All plans go through each step together, their nodes told apart by :func:`inject.of_run`.
     """
     profile, columns = clean.profile, clean.events.columns
-    plan = stage(inject.plans_by_hash(clean.context, clean.nodes, clean.pooled, kind, profile, seeds, clean.sizes), "plan")
-    if kind == "stall":
-        plan = stage(inject.stall_plan_scaled(plan, clean.nodes, clean.pooled, profile), "plan")
+    chosen = inject.chosen_rows(clean.context, clean.nodes, clean.pooled, kind, profile, seeds, clean.sizes)
+    plan = inject.starts(chosen, kind, profile)
+    plan = stage(inject.stall_plan_scaled(plan, clean.nodes, clean.pooled, profile) if kind == "stall" else plan, "plan")
     planned = plan.select("node", "seed")
-    events = stage(inject.of_run(clean.context.join(F.broadcast(planned), "node")).select(*columns), "planned-rows")
-    own = replace(clean, train_nodes=stage(inject.of_run(clean.train_nodes.join(F.broadcast(planned), "node")).drop("seed"), "baselines"))
+    events, train_nodes = together(
+        lambda: stage(inject.of_run(chosen.join(F.broadcast(planned), ["node", "seed"], "left_semi")).select(*columns), "planned-rows"),
+        lambda: stage(inject.of_run(clean.train_nodes.join(F.broadcast(planned), "node")).drop("seed"), "baselines"),
+    )
+    own = replace(clean, train_nodes=train_nodes)
     apply, label = (inject.apply_stalls, inject.stall_labels) if kind == "stall" else (inject.apply_bursts, inject.burst_labels)
     named = inject.of_run(plan)
     moved = stage(apply(events, named, profile), "moved")
@@ -353,7 +382,8 @@ def multi_seed(
     def run(fault_type: str, seeds: str) -> DataFrame:
         return changed_runs(clean, fault_type, tuple(int(s) for s in seeds.split(",")), detectors)
 
-    changes = sweep(spark, path or scratch(spark, "seeds"), [{"fault_type": k, "seeds": told} for k in kinds], run)
+    runs = [{"fault_type": k, "seeds": told} for k in kinds]
+    _, changes = together(lambda: clean_cells(clean, detectors), lambda: sweep(spark, path or scratch(spark, "seeds"), runs, run, at_once=len(runs)))
     named = spark.createDataFrame([(k, s) for k in kinds for s in seeds], "fault_type string, seed int")
     return evaluate.changed_auc(clean_cells(clean, detectors), changes, named, ["detector"])
 
@@ -400,7 +430,7 @@ def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), sche
 
     spark = clean.events.sparkSession
     runs = [{"fault_type": k} for k in kinds]
-    changes, named = sweep(spark, path or scratch(spark, "sweep"), runs, run), spark.createDataFrame(runs, "fault_type string")
+    changes, named = sweep(spark, path or scratch(spark, "sweep"), runs, run, at_once=len(runs)), spark.createDataFrame(runs, "fault_type string")
     keys = ["fault_type", *by]
     return evaluate.changed_confusion(of_clean, changes, named, by).join(evaluate.changed_auc(of_clean, changes, named, by), keys)
 

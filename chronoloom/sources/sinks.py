@@ -7,8 +7,11 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,13 @@ def forget_stages(spark: SparkSession) -> None:
         _WRITTEN.discard(path)
 
 
+def together(*calls: Callable, at_once: int = 4) -> list:
+    """What the calls return.  They don't need each other, so their jobs, most of them small, run side by side."""
+    inherit = inheritable_thread_target(SparkSession.active())  # the caller's job group and tags
+    with ThreadPoolExecutor(max(1, min(at_once, len(calls)))) as pool:
+        return [f.result() for f in [pool.submit(inherit(c)) for c in calls]]
+
+
 def write_events(events: DataFrame, path: str, *, mode: str = "error", files_by_node: int | None = None) -> None:
     """An event table (clean or injected) as Parquet, without the context columns.
 
@@ -157,14 +167,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(*folders) if folders else None
 
 
-def sweep(spark: SparkSession, path: str, runs: list[dict], compute: Callable[..., DataFrame]) -> DataFrame:
+def sweep(spark: SparkSession, path: str, runs: list[dict], compute: Callable[..., DataFrame], *, at_once: int = 1) -> DataFrame:
     """The table of ``compute(**run)`` for all ``runs``, of which those published at ``path`` aren't worked out again.
 
-    A sweep that is stopped goes on where it was, from any session.
+    A sweep that is stopped goes on where it was, from any session.  Up to ``at_once`` runs go side by side.
     """
     done = [m["run"] for m in published(spark, path)]
-    for run in runs:
-        if run not in done:
-            publish_run(compute(**run), path, run)
+    publish = lambda run: publish_run(compute(**run), path, run)
+    together(*[partial(publish, run) for run in runs if run not in done], at_once=at_once)
     wanted = [f"{path}/{m['folder']}" for m in published(spark, path) if m["run"] in runs]
     return spark.read.parquet(*wanted)
