@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, baseline, inject, sequence
 from ..schema import SPARSE, SPARSE_SECOND, Profile
 from ..sources import events as ev
-from ..sources.sinks import stage
+from ..sources.sinks import stage, together
 from . import experiments as ex
 from . import sql as q
 from .queries import _AUDIT, _BACK, _ORDER, _RARE, _SQL, context, query, rounded
@@ -79,10 +80,9 @@ _SHARE = "SELECT signature, pct_of_anomalies AS {0}_pct FROM ({1})"
 def audit_comparison(e):
     """The share of anomalies that bear each signature, log by log."""
     share = lambda d, name: d.select("signature", F.col("pct_of_anomalies").alias(f"{name}_pct"))
-    out = share(audit.audit_summary(ex.audited(context(e))), "first")
-    for name, (keyed, profile, _) in LOGS.items():
-        out = out.join(share(audit.audit_summary(ex.audited(context(keyed(e)), profile)), name), "signature")
-    return out
+    logs = {"first": (lambda d: d, SPARSE), **{name: log[:2] for name, log in LOGS.items()}}
+    of = lambda name, keyed, profile: stage(share(audit.audit_summary(ex.audited(context(keyed(e)), profile)), name), "shares")
+    return reduce(lambda a, b: a.join(b, "signature"), together(*[partial(of, name, *log) for name, log in logs.items()]))
 
 
 # --- what the instruments say of injected rows ----------------------------------------

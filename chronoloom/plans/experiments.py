@@ -43,6 +43,7 @@ def scored_timing(context: DataFrame, profile: Profile = SPARSE) -> DataFrame:
 
 def audited(context: DataFrame, profile: Profile = SPARSE) -> DataFrame:
     """Every row with all three signatures."""
+    context = stage(context.select("row_id", "timestamp", "node", "anomaly", "event_template", *sequence.CONTEXT), "context")  # six passes read it
     nodes, pooled = normal_gaps(context, profile)
     rows = audit.pure_order(audit.template_rarity(context, profile))
     return audit.timing_gap(baseline.with_baseline(rows, nodes, pooled), profile)

@@ -59,3 +59,16 @@ def test_a_part_is_made_by_one_thread(spark):
     clean, made = ex.Clean(*[None] * 10), []
     together(*[lambda: clean.once("part", lambda: made.append(1) or 1)] * 4)
     assert made == [1]
+
+
+def test_an_audit_reads_a_written_context(spark):
+    rows = ex.audited(sequence.add_sequence_context(plans.events(spark, SF)))
+    assert not any(f.endswith("events.parquet") for f in rows.inputFiles())  # windows aren't run again by every pass
+    assert rows.where("timing_gap is not null").count()
+
+
+def test_a_sweep_makes_clean_windows_once(spark, monkeypatch):
+    clean, names = ex.Clean.of(plans.events(spark, SF)), []
+    monkeypatch.setattr(ex, "stage", lambda d, name: names.append(name) or stage(d, name))
+    assert ex.window_sweep(clean, schemes=(("fixed_count", 5),)).count() == 4
+    assert names.count("clean-windows") == 1 and ("windows", ("fixed_count", 5), *ex.TIMING) in clean.made
