@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import baseline, detect, evaluate, inject, sequence, windows
 from ..schema import SPARSE, SPARSE_SECOND
 from ..sources import events as ev
-from ..sources.sinks import stage
+from ..sources.sinks import stage, together
 from . import experiments as ex
 from . import sql as q
 from .queries import _GRID_RESULTS, _NORMAL, _SIZES, _SORTED, _SQL, seq_context, AUC, CONFUSION, context, grid_results, query, r6, rounded
@@ -445,11 +445,13 @@ def invariance_fixed_count(e):
 def invariance_count_pca(e):
     """Count-PCA scores of position windows of clean and stalled data."""
     clean = ex.Clean.of(e)
-    vocab = stage(windows.vocabulary(ex.training_period(clean.context), SPARSE.vocabulary), "vocabulary")
+    vocab = stage(windows.vocabulary(clean.training(), SPARSE.vocabulary), "vocabulary")
     vectors = lambda d: stage(windows.count_vectors(windows.by_position(d, SPARSE.window_events), vocab, SPARSE.vocabulary), "vectors")
-    fitted = detect.CountPCA(SPARSE.pca_components).fit(vectors(ex.training_period(clean.context)).where("not label"))
-    score = lambda d: fitted.score(vectors(d)).select(*windows.CELL, r6(F.col("score")).alias("score"))
-    return evaluate.invariance(score(e), score(ex.injected(e, "stall", clean=clean)[0]))
+    fit = lambda: detect.CountPCA(SPARSE.pca_components).fit(vectors(clean.training()).where("not label"))
+    moved = lambda: vectors(ex.injected(clean.rows(), "stall", clean=clean)[0])
+    fitted, before, after = together(fit, lambda: vectors(clean.rows()), moved)
+    score = lambda d: fitted.score(d).select(*windows.CELL, r6(F.col("score")).alias("score"))
+    return evaluate.invariance(score(before), score(after))
 
 
 _DL = f"""{q.SPLIT}, {_SORTED}, tr_en AS (SELECT sp.*, coalesce(template_id, 0) AS template_id FROM sp LEFT JOIN sv USING (event_template) WHERE is_train AND NOT anomaly)"""
