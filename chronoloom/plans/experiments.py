@@ -421,17 +421,20 @@ def window_sweep(clean: Clean, kinds: tuple[str, ...] = ("stall", "burst"), sche
         columns = [c for c in rows.columns if c == "truth" or any(c in pair for pair in detectors.values())]
         return _in_schemes(rows.select("row_id", "node", "timestamp", *columns), schemes).groupBy(*cell).agg(*_most(detectors), *more)
 
-    of_clean = stage(long_form(in_windows(wide_rows(clean, clean.rows(), detectors, clean.context)), detectors, *cell), "clean-windows")
+    def clean_windows() -> DataFrame:
+        make = lambda: stage(long_form(in_windows(wide_rows(clean, clean.rows(), detectors, clean.context)), detectors, *cell), "clean-windows")
+        return clean.once(("windows", *schemes, *detectors), make)
 
     def run(fault_type: str) -> DataFrame:
         moved, labels, _ = injected(clean.events, fault_type, clean.profile, clean=clean, planned_only=True)
         rows = inject.in_span(wide_rows(clean, moved, detectors), labels, "truth")
         come = long_form(in_windows(rows, F.bool_or("truth").alias("truth")), detectors, *cell, "truth")
-        return as_changes(come, of_clean, moved.select("node").distinct())
+        return as_changes(come, clean_windows(), moved.select("node").distinct())
 
     spark = clean.events.sparkSession
     runs = [{"fault_type": k} for k in kinds]
-    changes, named = sweep(spark, path or scratch(spark, "sweep"), runs, run, at_once=len(runs)), spark.createDataFrame(runs, "fault_type string")
+    of_clean, changes = together(clean_windows, lambda: sweep(spark, path or scratch(spark, "sweep"), runs, run, at_once=len(runs)))
+    named = spark.createDataFrame(runs, "fault_type string")
     keys = ["fault_type", *by]
     return evaluate.changed_confusion(of_clean, changes, named, by).join(evaluate.changed_auc(of_clean, changes, named, by), keys)
 
