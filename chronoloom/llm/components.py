@@ -16,27 +16,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the graph along that map.  A fixed share of the nodes falls away in each round
     on average, whatever the order of ids (a chain of rising ids included);
     minima are combined before they are shuffled.  Each round is written to the
-    shared folder, which cuts the lineage.
+    shared folder, which cuts the lineage, in as many files as its rows ask for.
     """
     graph = durable(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    found, turn = None, 0
-    while not graph.isEmpty():
+    found, turn, nodes = None, 0, None
+    while n := graph.count():
+        nodes = nodes or 2 * n  # at most
         both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
         placed = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         step = both.groupBy(F.col("a").alias("node")).agg(F.min(placed("b")).alias("m"))
-        step = durable(step.select("node", F.least(placed("node"), "m")["node"].alias("label")), "step")
+        step = durable(step.select("node", F.least(placed("node"), "m")["node"].alias("label")), "step", rows=2 * n)
         if found is None:
-            after = durable(step, "labels")
+            after = durable(step, "labels", rows=nodes)
         else:
             following = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            after = durable(found.join(following, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            after = durable(found.join(following, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels", rows=nodes)
             forget(found)
         found, turn = after, turn + 1
         a, b = (step.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
         smaller = durable(
             graph.join(a, "a").join(b, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(),
-            "edges",
-        )
+            "edges", rows=n,
+        )
         forget(graph)
         forget(step)
         graph = smaller

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, slices
+from .common import durable, forget, marked, marks, slices
 from .components import connected_components
 from .simhash import bit_counts, links, majority, row_key
 
@@ -262,19 +262,23 @@ def groups(docs: DataFrame, rows: DataFrame, *, bucket: int = BUCKET) -> DataFra
     met = shared.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
     some = rows.join(met, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(doc, "row_key")).alias("one"))
     wanted = durable(some.select("fp", "one.*"), "wanted")  # written, so that the join below is planned by its size
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), row_key().alias("row_key"), "text").join(wanted, ["doc", "row_key"]).groupBy("fp").agg(F.first("text").alias("text"))
-    sets = durable(shingle_sets(texts), "shingles")
+    mark = marks(wanted, "row_key")
+    texts = marked(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), row_key().alias("row_key"), "text"), "row_key", mark)
+    sets = durable(shingle_sets(texts.join(wanted, ["doc", "row_key"]).groupBy("fp").agg(F.first("text").alias("text"))), "shingles")
+    for used in (wanted, mark):
+        forget(used)
     crowded = sets.join(shared.where(F.col("n") > bucket).select("fp").distinct(), "fp", "left_semi")
     crowded = durable(crowded, "crowded")
     firsts = durable(shared_firsts(crowded), "first-keys")
+    forget(crowded)
     near = durable(close.unionByName(small_pairs(shared, bucket)).unionByName(small_pairs(firsts, bucket)).dropDuplicates(["a", "b"]), "pairs")
     labels = connected_components(verified(near, sets))
     large = durable(firsts.where(F.col("n") > bucket), "large")
-    for used in (wanted, crowded, near, shared, close, firsts):  # components and rows of large keys are written by now
+    for used in (near, shared, close, firsts):  # components and rows of large keys are written by now
         forget(used)
-    largest, turn = large.agg(F.max("n")).first()[0] or 0, 0
+    largest, turn, n = large.agg(F.max("n")).first()[0] or 0, 0, large.count()
     while FIRST * GROWTH ** (turn - 1) < largest:  # a last turn in which all have had theirs is over
-        left = durable(open_keys(large, labels), "open")
+        left = durable(open_keys(large, labels), "open", rows=n)
         forget(large)
         if left.isEmpty():
             break
@@ -286,7 +290,7 @@ def groups(docs: DataFrame, rows: DataFrame, *, bucket: int = BUCKET) -> DataFra
         joined = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("next"))
         old = labels.join(joined, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         new = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("next").alias("label"))
-        labels, large, turn = durable(old.unionByName(new), "labels"), left.select(*large.columns), turn + 1
+        labels, large, turn = durable(old.unionByName(new), "labels", rows=labels.count() + joined.count()), left.select(*large.columns), turn + 1
         forget(near)
     forget(large)
     forget(sets)
