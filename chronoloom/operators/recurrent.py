@@ -1,30 +1,36 @@
 """A recurrent next-event model: a small gated network, trained in step by a few tasks.
 
-Examples are ``length`` events and the one that follows.  A bounded sample of them (by
-hash, ``SAMPLE`` at most) is dealt over ``workers`` tasks of one barrier stage; each
-takes gradient steps on its own share, and after every round the tasks gather each
-other's weights and go on from their mean, so all end with the same model.  If one is
-lost the stage starts again.  Scoring is a map over all events with the weights
-broadcast (their size follows the number of templates, not of events).
+Examples are ``length`` events and the one that follows.  All of them are dealt by hash
+into shares of about ``SHARE``, and the shares over the tasks of one barrier stage, which
+keep theirs in a local file and hold one at a time.  In every round gradient steps go
+through each share from the same weights; then the tasks gather each other's sums and go
+on from the mean over all shares, by their examples, so all end with the same model,
+which is (to rounding) the same for any number of tasks.  If one is lost the stage starts
+again.  Scoring is a map over all events with the weights broadcast (their size follows
+the number of templates, not of events).
 """
 
 from __future__ import annotations
 
 import base64
+import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import BarrierTaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
 from .detect import _with_ids
 from .sequence import sliding_sequences
 
-#: Examples that are learned from at most.
-SAMPLE = 20_000
+#: Examples of a share, about; a task holds one share at a time.
+SHARE = 10_000
+#: Bytes that the tasks tell each other in a round at most: with very many templates fewer tasks train.
+TOLD = 64_000_000
 
 
 class GatedNetwork:
@@ -106,36 +112,80 @@ class Adam:
         self.s = 0.999 * self.s + 0.001 * gradient**2
         return vector - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.999**self.t)) + 1e-8)
 
-
-def train(examples: DataFrame, n_events: int, *, workers: int = 2, rounds: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of a network fitted to ``examples`` (``row_id, context, target``).
-
-    Needs ``workers`` free task slots at once.
+    def state(self, vector: np.ndarray) -> np.ndarray:
+        """Weights, moments and the number of steps in one row, so that means of several can be taken."""
+        return np.concatenate([vector, self.m, self.s, [self.t]])
+
+    def resume(self, state: np.ndarray) -> np.ndarray:
+        """Go on from a row; its weights are returned."""
+        size = len(self.m)
+        self.m, self.s, self.t = state[size : 2 * size], state[2 * size : -1], state[-1]
+        return state[:size]
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run at once as far as the session's settings tell; 2 if they don't."""
+    conf = spark.sparkContext.getConf()
+    each = int(conf.get("spark.task.cpus", "1"))
+    if conf.contains("spark.default.parallelism"):  # which need not be the cores
+        cores = int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1")) or 2 * each
+    else:
+        cores = spark.sparkContext.defaultParallelism
+    return max(1, cores // each)
+
+
+def _keep(batches: Iterator[pa.RecordBatch], file) -> list[tuple[int, int]]:
+    """(share, examples) in the order in which their examples, contexts with targets, are written to ``file``."""
+    sizes: dict[int, int] = {}
+    for b in batches:
+        target = b.column(1).to_numpy(zero_copy_only=False)
+        np.column_stack([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(target), -1), target]).astype("<i4").tofile(file)
+        for share, rows in groupby(b.column(2).to_pylist()):
+            sizes[share] = sizes.get(share, 0) + sum(1 for _ in rows)
+    return list(sizes.items())
+
+
+def train(
+    examples: DataFrame, n_events: int, *, workers: int | None = None, rounds: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0, share: int | None = None
+) -> np.ndarray:
+    """Weights of a network fitted to all ``examples`` (``row_id, context, target``), each seen once a round.
+
+    Needs ``workers`` free task slots at once (all that the session has, unless given).
     """
-    drawn = stage(examples.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(sample).select("row_id", "context", "target"), "examples")
-    shares = drawn.select("context", "target", F.pmod(F.xxhash64("row_id"), F.lit(workers)).alias("share")).repartitionByRange(workers, "share")
+    spark = examples.sparkSession
+    kept = stage(examples.select("row_id", "context", "target"), "examples")
+    n_examples, begun = kept.count(), GatedNetwork(n_events, seed=seed).vector()
+    if not n_examples:
+        return begun
+    shares, size = max(2, -(-n_examples // (share or SHARE))), len(begun)
+    workers = workers or max(1, min(_slots(spark), shares, TOLD // (4 * 8 * size)))
+    of = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(shares)).cast("int")
+    dealt = kept.withColumn("share", of).repartitionById(workers, F.col("share") % workers).sortWithinPartitions("share", "row_id").select("context", "target", "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        context = np.concatenate([np.array(c.to_pylist(), np.int64) for c, _ in parts]) if parts else np.zeros((0, 1), np.int64)
-        target = np.concatenate([t for _, t in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        task = BarrierTaskContext.get()
-        net = GatedNetwork(n_events, seed=seed)
-        vector, rng = net.vector(), np.random.default_rng([seed, task.partitionId()])
-        steps = Adam(len(vector), rate)
-        for k in range(rounds):
-            steps.rate = rate * (1 - k / rounds)
-            order = rng.permutation(len(target))
-            for at in range(0, len(order), batch):
-                some = order[at : at + batch]
-                vector = steps.step(vector, net.load(vector).gradient(context[some], target[some])[1])
-            told = task.allGather(base64.b64encode(np.append(vector, len(target)).astype("<f8").tobytes()).decode())
-            told = np.array([np.frombuffer(base64.b64decode(x), "<f8") for x in told])
-            if told[:, -1].sum():  # a task's weights count by its examples
-                vector = np.average(told[:, :-1], axis=0, weights=told[:, -1])
-        yield pa.RecordBatch.from_arrays([pa.array([vector.astype("<f8").tobytes()], pa.binary())], ["weights"])
-
-    return np.frombuffer(shares.mapInArrow(run, "weights binary", barrier=True).collect()[0]["weights"], "<f8")
+        task, net, steps = BarrierTaskContext.get(), GatedNetwork(n_events, seed=seed), Adam(size, rate)
+        state = steps.state(begun)
+        with tempfile.TemporaryFile() as file:
+            sizes = _keep(batches, file)
+            width = file.tell() // max(1, sum(n for _, n in sizes))  # bytes of an example
+            for k in range(rounds):
+                steps.rate, total = rate * (1 - k / rounds), np.zeros(len(state) + 1)
+                file.seek(0)
+                for share, n in sizes:
+                    some = np.frombuffer(file.read(n * width), "<i4").reshape(n, -1)
+                    some = some[np.random.default_rng([seed, share, k]).permutation(n)]
+                    vector = steps.resume(state)
+                    for at in range(0, n, batch):
+                        part = some[at : at + batch]
+                        vector = steps.step(vector, net.load(vector).gradient(part[:, :-1], part[:, -1])[1])
+                    total += n * np.append(steps.state(vector), 1)  # a share counts by its examples
+                told = task.allGather(base64.b64encode(total.astype("<f8").tobytes()).decode())
+                total = sum(np.frombuffer(base64.b64decode(x), "<f8") for x in told)
+                state = total[:-1] / total[-1]
+        if task.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([state[:size].astype("<f8").tobytes()], pa.binary())], ["weights"])
+
+    return np.frombuffer(dealt.mapInArrow(run, "weights binary", barrier=True).collect()[0]["weights"], "<f8")
 
 
 def fit(encoded: DataFrame, n_events: int, *, length: int = 10, **settings) -> np.ndarray:
