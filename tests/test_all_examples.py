@@ -1,9 +1,11 @@
 """The recurrent model is learned from all training examples, whatever their number and the tasks'."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import recurrent, sequence
+from chronoloom.plans import results
 
 from .test_recurrent import cycle
 
@@ -39,3 +41,18 @@ def test_every_example_counts_once_a_round(spark, tmp_path):
     want = dealt.toPandas()
     assert sizes == list(want.groupby("share").size().items())
     assert np.array_equal(kept, np.column_stack([np.stack(want["context"]), want["target"]]))
+
+
+def test_native_judges_by_nodes_of_late_hashes(spark):
+    """One node always says the same; forty whose rows have late hashes go through a cycle, and half of them leave it in the test period."""
+    place = F.row_number().over(Window.partitionBy("late").orderBy("row_id")) - 1
+    rows = apart(spark, n=34_000, first=30_000).withColumn("k", place)
+    node, at = F.col("k") % 40, F.floor(F.col("k") / 40)  # a hundred events a late node
+    wrong = F.col("late") & (node % 2 == 0) & (at == 95)
+    said = F.when(~F.col("late"), "same").when(wrong, "p0").otherwise(F.concat(F.lit("p"), (at % 3).cast("string")))
+    events = rows.select(
+        "row_id", F.timestamp_seconds(F.when(F.col("late"), at * 9_000).otherwise(F.col("k") * 30)).alias("timestamp"),
+        F.when(F.col("late"), F.concat(F.lit("n"), node.cast("string"))).otherwise("m").alias("node"), wrong.alias("anomaly"), said.alias("event_template"),
+    )
+    got = results.recurrent_native(events).first()
+    assert got["n_positive_cells"] == 20 and got["auc_roc"] > 0.95
