deeplog_native, deeplog_scores: contexts are made after the shuffle

Symptom: deeplog_native and deeplog_scores shuffled each event's ten or eleven contexts three times, so deeplog_scores wrote 40 times what it read, and CPU seconds of deeplog_native grew as the input to the power 1.04 from sf0.1 to 10 times that.
Evidence: by Spark's event log of deeplog_scores on 10 x sf0.1 (16.5 MB) the contexts' two aggregates wrote 126 and 138 MB, the contexts read back from files 128 MB, the contexts asked for 240 MB and their matches 99 MB, of 784 MB in all.
Fix: Equal histories are counted first and dealt by their last two events; the contexts of two events or more are made, counted and met with those asked for in that task, by a window over a union, as a join by more keys deals both sides anew. The parts are eight times the session's partitions, as a task makes up to ten contexts of a history.

@@ -461,7 +461,7 @@ def next_event_rows(events: DataFrame, scored: DataFrame, order: int = 10, profi
     """
     cut, normal, vocab = _learning(events, profile)
     rows, wanted = _asked(scored, cut, test_only)
-    counts = stage(detect.next_event_counts(windows.encode(normal, vocab), order), "contexts")
+    counts = detect.next_event_counts(windows.encode(normal, vocab), order)
     scores = detect.next_event_scores(windows.encode(scored, vocab), counts, vocab.count(), order=order, wanted=wanted)
     return rows.join(scores.drop("node"), "row_id")
 
