pure_order: templates and successions are looked up where the context lies

Symptom: pure_order wrote 14 times what it read to shuffle files: 282 MB on 20.2 MB of events (10 x sf0.1).
Evidence: by Spark's event log on 10 x sf0.1 (16.5 MB) each of five joins by node and template dealt all rows anew, 36 to 43 MB each of 282 MB written, though the context lies dealt by node; a second context for the pairs wrote 27 MB.
Fix: A row's own flags come from one window over its node and template, its neighbours' flags from the rows beside it by place, so the context's shuffle is the only one. Contexts that were written or joined since they were made, and logs with a node of more than a million rows, still take the joins.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 684 -> 300 s, shuffle 1.84 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.11 GB, longest task 10 -> 12 s, most memory of a task 185 -> 252 MB; at 6 GB of input CPU 2539 -> 795 s, shuffle 11.40 -> 1.17 GB, spill 0.00 -> 0.00 GB, read 1.75 -> 0.85 GB, longest task 26 -> 28 s, most memory of a task 638 -> 805 MB; with hot keys, at 1 GB of input CPU 1033 -> 1031 s, shuffle 1.62 -> 1.62 GB, spill 0.00 -> 0.00 GB, read 0.87 -> 0.87 GB, longest task 12 -> 12 s, most memory of a task 235 -> 235 MB.

@@ -308,7 +308,7 @@ def template_rarity(e):
 
 @query(f"WITH {_AUDIT} SELECT row_id, order_status, pure_order FROM au")
 def pure_order(e):
-    return audit.pure_order(context(e)).select("row_id", "order_status", "pure_order")
+    return audit.pure_order(context(e), in_order=True).select("row_id", "order_status", "pure_order")
 
 
 @query(f"WITH {_AUDIT} SELECT row_id, timing_gap FROM au")
